@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quirework.llm import quality_rules
+from quirework.llm import near_dedup, quality_rules, suffix_dedup
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
+    "op5_near_dedup": near_dedup.query,
+    "op7_suffix_dedup": suffix_dedup.query,
 }
 ORACLES: dict[str, str] = {}
