@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.functions.shipping import ship
+
 #: A side is broadcast only when its measured row count times row width stays below this.
 BROADCAST_BYTES = 32 << 20
 
@@ -50,6 +52,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_root(spark)}/quirework-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
         _live.setdefault(spark.sparkContext.applicationId, []).append(self)
@@ -82,10 +85,12 @@ def _sweep() -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quirework.llm import near_dedup, quality_rules, suffix_dedup
+from quirework.llm import curve_packing, near_dedup, quality_rules, source_mixing, suffix_dedup
 
 QUERIES = {
+    "op2_curve_packing": curve_packing.query,
     "op4_quality_rules": quality_rules.query,
     "op5_near_dedup": near_dedup.query,
     "op7_suffix_dedup": suffix_dedup.query,
+    "op10_source_mixing": source_mixing.query,
 }
 ORACLES: dict[str, str] = {}
