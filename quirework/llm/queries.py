@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quirework.llm import curve_packing, near_dedup, quality_rules, source_mixing, suffix_dedup
+from quirework.llm import curve_packing, html_text, near_dedup, quality_rules, source_mixing, suffix_dedup, tiff, url_rules
 
 QUERIES = {
+    "op1_tiff": tiff.query,
     "op2_curve_packing": curve_packing.query,
+    "op3_html_text": html_text.query,
     "op4_quality_rules": quality_rules.query,
     "op5_near_dedup": near_dedup.query,
+    "op6_url_rules": url_rules.query,
     "op7_suffix_dedup": suffix_dedup.query,
     "op10_source_mixing": source_mixing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_rules": url_rules.oracle()}
