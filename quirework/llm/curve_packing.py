@@ -123,8 +123,8 @@ def tokenised(df: DataFrame, doc_id: str, text: str, path: str, with_curve: bool
     return source.mapInArrow(_tokenised(path, with_curve), "doc_id long, " + "curve long, " * with_curve + "doc_tokens long, ids binary")
 
 
-def _ranged(bounds: np.ndarray):
-    """Adds the range of each row's curve key."""
+def with_range(bounds: np.ndarray):
+    """Adds the range (part) that each row's curve key falls in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,14 +182,14 @@ def pack_along_curve(df: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     found = tokens.agg(F.percentile_approx("curve", marks, max(10_000, 20 * ranges))).first()[0] if marks else []
     bounds = np.unique(np.array(found or [], dtype=np.int64))
 
-    keyed = tokens.select("curve", "doc_tokens").mapInArrow(_ranged(bounds), "curve long, doc_tokens long, part int")
+    keyed = tokens.select("curve", "doc_tokens").mapInArrow(with_range(bounds), "curve long, doc_tokens long, part int")
     sums = {r["part"]: r["n"] for r in keyed.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}  # one row for each range
     first, at = {}, 0
     for p in range(len(bounds) + 1):
         first[p] = at
         at += sums.get(p, 0)
 
-    dealt = tokens.mapInArrow(_ranged(bounds), "doc_id long, curve long, doc_tokens long, ids binary, part int")
+    dealt = tokens.mapInArrow(with_range(bounds), "doc_id long, curve long, doc_tokens long, ids binary, part int")
     dealt = dealt.withColumn("crc", F.crc32("ids")).repartition("part").sortWithinPartitions("part", "curve", "doc_id", "crc")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
     return dealt.mapInArrow(_cut(first, width, with_ids), schema + (", piece binary" if with_ids else ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import curve_packing, html_text, near_dedup, quality_rules, source_mixing, suffix_dedup, tiff, url_rules
+from quirework.llm import curve_packing, html_text, license_scan, near_dedup, quality_rules, source_mixing, suffix_dedup, tiff, training_order, url_rules
 
 QUERIES = {
     "op1_tiff": tiff.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_near_dedup": near_dedup.query,
     "op6_url_rules": url_rules.query,
     "op7_suffix_dedup": suffix_dedup.query,
+    "op8_training_order": training_order.query,
+    "op9_license_scan": license_scan.query,
     "op10_source_mixing": source_mixing.query,
 }
 ORACLES: dict[str, str] = {"op6_url_rules": url_rules.oracle()}
