@@ -1,6 +1,9 @@
-"""Registry of the engine's queries: name -> (callable, DuckDB SQL or None)."""
+"""Registry of the engine's queries: name -> callable, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quirework.plans import text_queries
+
+PARTS = (text_queries,)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
