@@ -64,11 +64,12 @@ def pages(blocks_: DataFrame) -> DataFrame:
 
 
 def layout(blocks_: DataFrame) -> DataFrame:
-    """A layout box a block, shifted by an eighth of a line; kinds by line number."""
+    """A layout box a block, every third shifted by an eighth of a line; kinds by line number."""
+    shift = F.when((F.col("doc_id") + F.col("block_seq")) % 3 == 0, F.lit(0.015625)).otherwise(F.lit(0.0))
     labels = F.array(*(F.lit(x) for x in ("text", "paragraph_title", "figure_title", "image", "table", "text", "formula", " Text ", "seal")))
     return blocks_.select(
         "doc_id", "page_no", F.col("block_seq").alias("obs_seq"), F.col("block_seq").alias("reading_order"),
-        F.element_at(labels, (F.col("line_no") % 9 + 1).cast("int")).alias("raw_label"), "l", (F.col("t") + 0.015625).alias("t"), "r", (F.col("b") + 0.015625).alias("b"),
+        F.element_at(labels, (F.col("line_no") % 9 + 1).cast("int")).alias("raw_label"), "l", (F.col("t") + shift).alias("t"), "r", (F.col("b") + shift).alias("b"),
     )
 
 
@@ -79,3 +80,22 @@ def recognised(blocks_: DataFrame) -> DataFrame:
     changed = F.when(F.col("line_no") % 4 == 3, F.transform(pieces, lambda x: F.replace(x, F.lit("th"), F.lit("tb")))).otherwise(pieces)
     out = blocks_.select("doc_id", "page_no", F.col("block_seq").alias("obs_seq"), "line_no", F.posexplode(changed).alias("text_seq", "text"))
     return out.withColumn("confidence", F.lit(1.0) - (F.col("line_no") % 8) / F.lit(16.0))
+
+
+INTERACTIONS = ("NoForegroundWordIntersection", "LowForegroundWordInteraction", "ForegroundWordInteraction", "NoNativeWords")
+
+
+def visuals(blocks_: DataFrame) -> DataFrame:
+    """Two measured visuals on every page, placed on eighths of it."""
+    pages_ = blocks_.select("doc_id", "page_no").distinct()
+    out = pages_.withColumn("visual_idx", F.explode(F.array(F.lit(0), F.lit(1))))
+    d, p, i = F.col("doc_id"), F.col("page_no"), F.col("visual_idx")
+    left, top = (d + i) % 3 * F.lit(0.125), (d + p * 2 + i) % 6 * F.lit(0.125)
+    right, bottom = left + F.lit(0.25) + (d + p + i) % 3 * F.lit(0.25), top + F.lit(0.125) * (1 + (d + i) % 3)
+    kind = (d + p + i) % 7
+    return out.select(
+        "doc_id", "page_no", "visual_idx", left.alias("l"), top.alias("t"), right.alias("r"), bottom.alias("b"),
+        F.when(kind == 0, "BlankCanvas").when(kind == 1, "Unavailable").otherwise("Measured").alias("fg_state"), ((d * 7 + p * 3 + i) % 20 / F.lit(200.0)).alias("fg_ratio"),
+        ((d + p) % 4 / F.lit(100.0)).alias("words_touched"), ((d + i) % 4).cast("int").alias("components"), ((right - left) * (bottom - top)).alias("area"),
+        F.element_at(F.array(*map(F.lit, INTERACTIONS)), ((d + p * 3 + i) % 4 + 1).cast("int")).alias("interaction"),
+    )
