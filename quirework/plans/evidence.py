@@ -10,6 +10,22 @@ from quirework.operators.segment import with_headings
 from quirework.operators.text import normalize_blocks
 from quirework.sources import plaintext
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def shared(build):
+    """Evidence that many queries of a session start from is computed once and kept in memory and on disk."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__module__, build.__name__)
+        if key not in _kept:
+            _kept[key] = build(spark, sf_dir).persist()
+        return _kept[key]
+
+    get.__doc__ = build.__doc__
+    return get
+
+
 HINTS = ["Chapter 2", " chapter 2 ", "the end", "--"]
 
 
@@ -22,14 +38,17 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plaintext.blocks(documents(spark, sf_dir))
 
 
+@shared
 def norm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_blocks(blocks(spark, sf_dir))
 
 
+@shared
 def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_headings(norm_blocks(spark, sf_dir), HINTS)
 
 
+@shared
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with what assessment looks at; some have a replacement character or a wrong word count."""
     out = plaintext.pages(blocks(spark, sf_dir))
@@ -93,24 +112,25 @@ routed AS (
          CASE status WHEN 'Missing' THEN 'Missing' WHEN 'Healthy' THEN 'Trusted' WHEN 'Unverified' THEN 'NeedsVerification' ELSE 'Corrupted' END AS authority FROM assessed)"""
 )
 
-NORM_BLOCKS = (
-    BLOCKS
-    + """,
-norm0 AS (SELECT *, """
-    + norm_sql("nfc_normalize(text)")
-    + """ AS norm_text, CASE WHEN b - t > 0 AND b - t <= 2e-1 AND t <= 12e-2 THEN 'Header' WHEN b - t > 0 AND b - t <= 2e-1 AND b >= 88e-2 THEN 'Footer' END AS zone FROM blocks),
-norm1 AS (SELECT *, regexp_replace("""
-    + upper_sql("norm_text")
-    + """, '\\p{Nd}+', '#', 'g') AS key FROM norm0),
-sizes AS (SELECT doc_id, count(DISTINCT page_no) AS page_count FROM norm1 GROUP BY doc_id),
-margins AS (
-  SELECT n.doc_id, n.zone, n.key, count(DISTINCT n.page_no) AS pages FROM norm1 n JOIN sizes s ON n.doc_id = s.doc_id
+
+
+def norm_ctes(source: str, p: str = "") -> str:
+    """B1-B6 over a table with doc_id, page_no, t, b and text: the last table is {p}norm."""
+    return f""",
+{p}norm0 AS (SELECT *, {norm_sql("nfc_normalize(text)")} AS norm_text, CASE WHEN b - t > 0 AND b - t <= 2e-1 AND t <= 12e-2 THEN 'Header' WHEN b - t > 0 AND b - t <= 2e-1 AND b >= 88e-2 THEN 'Footer' END AS zone FROM {source}),
+{p}norm1 AS (SELECT *, regexp_replace({upper_sql("norm_text")}, '\\p{{Nd}}+', '#', 'g') AS key FROM {p}norm0),
+{p}sizes AS (SELECT doc_id, count(DISTINCT page_no) AS page_count FROM {p}norm1 GROUP BY doc_id),
+{p}margins AS (
+  SELECT n.doc_id, n.zone, n.key, count(DISTINCT n.page_no) AS pages FROM {p}norm1 n JOIN {p}sizes s ON n.doc_id = s.doc_id
   WHERE n.zone IS NOT NULL AND length(n.norm_text) BETWEEN 1 AND 160 GROUP BY n.doc_id, n.zone, n.key, s.page_count
   HAVING count(DISTINCT n.page_no) >= greatest(3, least(10, ceil(2e-2 * s.page_count)))),
-norm AS (
-  SELECT n.*, CASE WHEN m.key IS NOT NULL THEN 'Repeated' || n.zone END AS exclusion FROM norm1 n
-  LEFT JOIN margins m ON m.doc_id = n.doc_id AND m.zone = n.zone AND m.key = n.key)"""
-)
+{p}norm AS (
+  SELECT n.*, CASE WHEN m.key IS NOT NULL THEN 'Repeated' || n.zone END AS exclusion FROM {p}norm1 n
+  LEFT JOIN {p}margins m ON m.doc_id = n.doc_id AND m.zone = n.zone AND m.key = n.key)"""
+
+
+NORM_BLOCKS = BLOCKS + norm_ctes("blocks")
+
 
 def _hint_sql(hint: str) -> str:
     key, compact = hint.upper(), "".join(c for c in hint if c.isalnum()).upper()

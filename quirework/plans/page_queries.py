@@ -122,9 +122,14 @@ def native_extents(spark, sf_dir):
     return _long(out, "page_no", "obs_seq", "block_seq", "first_word", "last_word")
 
 
-def pairings_of(spark, sf_dir):
+@ev.shared
+def _pairings(spark, sf_dir):
     boxes, words = layout(spark, sf_dir), _words(spark, sf_dir)
-    return boxes, reconcile.pairings(boxes, reconcile.native_extents(ev.blocks(spark, sf_dir), words, boxes), words)
+    return reconcile.pairings(boxes, reconcile.native_extents(ev.blocks(spark, sf_dir), words, boxes), words)
+
+
+def pairings_of(spark, sf_dir):
+    return layout(spark, sf_dir), _pairings(spark, sf_dir)
 
 
 @register("native_pairings", "WITH " + ev.BLOCKS + PAIRS + " SELECT doc_id, page_no, obs_seq, status, native_text, ambiguous_words, l, t, r, b FROM pairs")
@@ -183,6 +188,7 @@ rec AS (SELECT *, CASE WHEN decision = 'OcrOnly' THEN 'Ocr' WHEN decision IN ('N
 )
 
 
+@ev.shared
 def reconciled(spark, sf_dir):
     """Every readable box whose words it alone owns, with its page's status, native and recognised text."""
     blocks = ev.blocks(spark, sf_dir)
@@ -292,6 +298,7 @@ classified AS (SELECT *, CASE WHEN fg_state = 'BlankCanvas' THEN 'BlankCanvas' W
 )
 
 
+@ev.shared
 def enriched(spark, sf_dir):
     blocks = ev.blocks(spark, sf_dir)
     structural = visual.structural_blocks(ev.heading_blocks(spark, sf_dir))
