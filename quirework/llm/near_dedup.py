@@ -9,14 +9,16 @@ every shingle, so the sketch of a one-shingle set has no empty register.
 2. Compressed registers, three to a band, give 21 band keys; classes that share a key are
    candidates. A pair at similarity 0.85 shares none with probability 2e-9.
 3. In each bucket, every member is tested against one centre, the member that lies in the
-   most populous buckets. Linked classes are merged.
-4. In buckets that still hold several merged groups, the members outside the largest
-   group are compared, block by block, with every member of another group.
-5. Candidates pass the collision-corrected Jaccard estimate of the registers (a margin of
-   five standard errors under the threshold), then the exact test on full shingle sets.
+   most populous buckets: the original of a crowd of copies. Linked classes are merged.
+4. All members of a bucket share its centre, so the pairs not tested yet lie around common
+   centres. Where several merged groups meet around one, the members outside the largest
+   group are compared with all members of other groups, a block of members with another at
+   a time; a block pair gives the links that join groups, not its pairs.
+5. Every comparison is the collision-corrected Jaccard estimate of the registers (a margin
+   of five standard errors under the threshold), then the exact test on full shingle sets.
 
-No bucket is capped and none is expanded into all pairs: step 4 leaves out pairs that
-are in one group already, as another link cannot change the groups.
+No bucket is capped, no row holds a bucket and no bucket is expanded into its pairs; pairs
+inside one group are left out, as another link cannot change the groups.
 
 Behaviour on odd input: a null, empty or blank text has no shingle, links with nothing
 and is kept; fewer than five words are one shingle; equal rows are copies; rows with a
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.common import Scratch, maybe_broadcast
@@ -41,7 +43,8 @@ SHINGLE = 5
 BANDS, ROWS = 21, 3
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-BLOCK = 256
+#: Members of a block whose sketches are compared, shingles of a block whose sets are.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 CHUNK_BYTES = 1 << 20
 
 _MULTIPLIERS = stream(11, REGISTERS) | U64(1)
@@ -197,29 +200,95 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pairs_of_blocks(percent: int):
-    least = floor_estimate(percent)
+def _side(members: list[dict]):
+    ids = np.array([m["class"] for m in members], dtype=np.int64)
+    groups = np.array([m["component"] for m in members], dtype=np.int64)
+    sizes = np.array([m["n_shingles"] for m in members], dtype=np.int64)
+    return ids, groups, sizes, np.frombuffer(b"".join(m["registers"] for m in members), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _near(a, b, percent: int) -> np.ndarray:
+    """Members of two blocks that may be linked: other groups, sizes and estimate near enough, a band in common."""
+    (_, ga, na, ra), (_, gb, nb, rb) = a, b
+    equal = np.zeros((len(na), len(nb)), dtype=np.uint8)
+    shared = np.zeros(equal.shape, dtype=bool)
+    for band in range(BANDS):
+        whole = np.ones(equal.shape, dtype=bool)
+        for j in range(band * ROWS, band * ROWS + ROWS):
+            same = ra[:, j][:, None] == rb[:, j][None, :]
+            equal += same
+            whole &= same
+        shared |= whole
+    near = shared & (ga[:, None] != gb[None, :])
+    near &= 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
+    x, y = np.nonzero(near)
+    near[x, y] = estimate(equal[x, y], na[x], nb[y]) >= floor_estimate(percent)
+    return near
 
-    def side(row: dict, s: str):
-        members = row[s]
-        ids = np.array([m["class"] for m in members], dtype=np.int64)
-        groups = np.array([m["component"] for m in members], dtype=np.int64)
-        sizes = np.array([m["n_shingles"] for m in members], dtype=np.int64)
-        return ids, groups, sizes, np.frombuffer(b"".join(m["registers"] for m in members), dtype=np.uint16).reshape(-1, REGISTERS)
+
+def _block_candidates(percent: int):
+    """(centre, class) of the members of two blocks that have a possible link between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                (a, ga, na, ra), (b, gb, nb, rb) = side(row, "minor"), side(row, "members")
-                equal = np.zeros((len(a), len(b)), dtype=np.int16)
-                for j in range(REGISTERS):
-                    equal += ra[:, j][:, None] == rb[:, j][None, :]
-                near = estimate(equal, na[:, None], nb[None, :]) >= least
-                near &= (ga[:, None] != gb[None, :]) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
-                x, y = np.nonzero(near)
-                if len(x):
-                    u, v = np.maximum(a[x], b[y]), np.minimum(a[x], b[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                a, b = _side(row["minor"]), _side(row["members"])
+                near = _near(a, b, percent)
+                found = np.unique(np.concatenate([a[0][near.any(axis=1)], b[0][near.any(axis=0)]]))
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["centre"])), pa.array(found)], names=["centre", "class"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links between two blocks, as many as join their groups: checked on full sets."""
+
+    def matrix(members: list[dict], common: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(members), len(common)), dtype=np.float32)
+        for i, m in enumerate(members):
+            keys = np.array(m["shingles"], dtype=np.int64)
+            at = np.searchsorted(common, keys)
+            at = at[(at < len(common)) & (common[np.minimum(at, len(common) - 1)] == keys)] if len(common) else at[:0]
+            out[i, at] = 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = _side(row["minor"]), _side(row["members"])
+                near = _near(a, b, percent)
+                rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(rows):
+                    continue
+                left, right = [row["minor"][i] for i in rows], [row["members"][j] for j in columns]
+                # only shingles on both sides can be common to a pair
+                common = np.intersect1d(np.concatenate([m["shingles"] for m in left]), np.concatenate([m["shingles"] for m in right]))
+                both = np.zeros((len(left), len(right)), dtype=np.float32)
+                for at in range(0, len(common), 8192):
+                    part = common[at : at + 8192]
+                    both += matrix(left, part) @ matrix(right, part).T
+                na, nb = a[2][rows], b[2][columns]
+                both = both.astype(np.int64)
+                linked = near[np.ix_(rows, columns)] & (100 * both >= percent * (na[:, None] + nb[None, :] - both))
+                parent: dict[int, int] = {}
+
+                def top(x: int, parent=parent) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                u, v = [], []
+                for i, j in zip(*np.nonzero(linked), strict=True):
+                    g, h = top(int(a[1][rows[i]])), top(int(b[1][columns[j]]))
+                    if g != h:
+                        parent[g] = h
+                        x, y = int(a[0][rows[i]]), int(b[0][columns[j]])
+                        u.append(max(x, y))
+                        v.append(min(x, y))
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -243,22 +312,35 @@ def _star_pairs(percent: int):
 # --- the operator -----------------------------------------------------------------------
 
 
+def _sets(nodes: DataFrame, source: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes named, from the text of a row of each."""
+    wanted = nodes.join(classes.select("class", F.col("first_id").alias("wanted_id")), "class")
+    texts = source.join(maybe_broadcast(wanted, 24), source["doc_id"].eqNullSafe(wanted["wanted_id"])).select("class", "__text")
+    return texts.mapInArrow(_set_rows, "class long, shingles array<long>").dropDuplicates(["class"])
+
+
 def _verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """Pairs (u, v) of classes whose full shingle sets have 100 * intersection >= percent * union."""
-    named = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    wanted = scratch.save(named.join(classes.select("class", F.col("first_id").alias("wanted_id")), "class"), f"{name}-wanted")
-    texts = source.join(maybe_broadcast(wanted, 24), source["doc_id"].eqNullSafe(wanted["wanted_id"])).select("class", "__text")
-    sets = texts.mapInArrow(_set_rows, "class long, shingles array<long>").dropDuplicates(["class"])
-    sets = scratch.save(sets, f"{name}-sets")
+    nodes = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), f"{name}-nodes")
+    sets = scratch.save(_sets(nodes, source, classes), f"{name}-sets")
     both = pairs.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     links = both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("a") + F.size("b") - common)).select("u", "v")
     links = scratch.save(links, f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-wanted")
+    scratch.drop(f"{name}-sets", f"{name}-nodes")
     return links
 
 
+def _block_pairs(around: DataFrame, entry: list[str], weight: Column, most: int) -> DataFrame:
+    """(centre, minor, members): a block of minor members beside a block of any, blocks of about ``most`` weight."""
+    spread = around.groupBy("centre", "minor").agg(F.sum(weight).alias("total"))
+    blocks = around.join(spread, ["centre", "minor"]).withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("total") / most)))
+    arrays = blocks.groupBy("centre", "minor", "block").agg(F.collect_list(F.struct(*entry)).alias("held"))
+    left = arrays.filter("minor").select("centre", F.col("held").alias("minor"))
+    return left.join(arrays.select("centre", F.col("held").alias("members")), "centre")
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) of every row.
 
@@ -282,6 +364,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     weight = members.groupBy("class").agg(F.sum("size").alias("weight"))
     weighed = members.join(weight, "class")
     centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "class")).alias("top")).select("bucket", F.col("top.class").alias("centre"))
+    centres = scratch.save(centres, "centres")
     star = members.join(centres, "bucket").filter("class <> centre")
     star = star.select(F.greatest("class", "centre").alias("u"), F.least("class", "centre").alias("v")).distinct()
     tested = scratch.save(star, "star")
@@ -296,23 +379,24 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     links = _verified(near, source, classes, scratch, "star", percent)
     merged = connected_components(links, scratch, "merged")
 
-    grouped = members.filter("size > 2").join(merged.withColumnRenamed("node", "class"), "class", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "class")).select("bucket", "class", "component")
-    counts = grouped.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    major = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = grouped.join(major.select("bucket", F.col("top.component").alias("major")), "bucket")
+    # who meets around a centre: its buckets' members and itself, each with its merged group
+    around = tested.select(F.col("u").alias("class"), F.col("v").alias("other")).join(centres.select(F.col("centre").alias("other")).distinct(), "other")
+    other = tested.select(F.col("v").alias("class"), F.col("u").alias("other")).join(centres.select(F.col("centre").alias("other")).distinct(), "other")
+    around = around.unionByName(other).select(F.col("other").alias("centre"), "class").distinct()
+    around = around.join(merged.withColumnRenamed("node", "class"), "class", "left")
+    around = around.select("centre", "class", F.coalesce("component", "class").alias("component"))
+    counts = around.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    major = counts.groupBy("centre").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    mixed = around.join(major.select("centre", F.col("top.component").alias("major")), "centre")
     mixed = mixed.join(classes.select("class", "n_shingles", "registers"), "class")
-    mixed = scratch.save(mixed.withColumn("minor", F.col("component") != F.col("major")), "mixed")
-    # blocks of about BLOCK members: a row of arrays for each, so that no bucket has to fit a task
-    spread = mixed.groupBy("bucket", "minor").agg(F.count("*").alias("n"))
-    blocks = mixed.join(spread, ["bucket", "minor"]).withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK)))
-    entry = F.struct("class", "component", "n_shingles", "registers")
-    arrays = scratch.save(blocks.groupBy("bucket", "minor", "block").agg(F.collect_list(entry).alias("held")), "blocks")
-    left = arrays.filter("minor").select("bucket", F.col("held").alias("minor"))
-    right = arrays.select("bucket", F.col("held").alias("members"))
-    found = left.join(right, "bucket").select("minor", "members").mapInArrow(_pairs_of_blocks(percent), "u long, v long").distinct()
-    found = scratch.save(found.join(tested, ["u", "v"], "left_anti"), "found")
-    more = _verified(found, source, classes, scratch, "rest", percent)
+    mixed = scratch.save(mixed.withColumn("minor", F.col("component") != F.col("major")).drop("major"), "mixed")
+    entry = ["class", "component", "n_shingles", "registers"]
+    pairs = _block_pairs(mixed, entry, F.lit(1), BLOCK).select("centre", "minor", "members")
+    found = scratch.save(pairs.mapInArrow(_block_candidates(percent), "centre long, class long").distinct(), "found")
+    sets = scratch.save(_sets(found.select("class").distinct(), source, classes), "found-sets")
+    close = mixed.join(found, ["centre", "class"], "left_semi").join(sets, "class")
+    pairs = _block_pairs(close, [*entry, "shingles"], F.col("n_shingles"), BLOCK_SHINGLES).select("minor", "members")
+    more = scratch.save(pairs.mapInArrow(_block_links(percent), "u long, v long").distinct(), "more")
     final = connected_components(links.unionByName(more), scratch, "final")
 
     label = classes.select("class", "first_id").join(final.withColumnRenamed("node", "class"), "class", "left")
