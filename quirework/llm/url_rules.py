@@ -60,15 +60,17 @@ def glob_symbols(text: str) -> list[int]:
 
 
 class Automaton:
-    """All patterns at once; a pattern is a list of bytes, ANY and STAR."""
+    """All patterns at once; a pattern is a list of bytes, ANY (one character) and STAR."""
 
     def __init__(self, patterns: list[list[int]]):
         width = max(1, sum(max(1, sum(s != STAR for s in p)) for p in patterns))
         self.words = -(-width // 64)
         self.masks = np.zeros((256, self.words), dtype=np.uint64)
-        self.loop, self.first, self.always = (np.zeros(self.words, dtype=np.uint64) for _ in range(3))
+        self.keep = np.zeros((256, self.words), dtype=np.uint64)  # bits that stay on over a byte
+        self.first, self.always = (np.zeros(self.words, dtype=np.uint64) for _ in range(2))
         self.last: list[tuple[int, int]] = []
-        self.empty = [all(s == STAR for s in p) for p in patterns]
+        self.whole = [bool(p) and all(s == STAR for s in p) for p in patterns]
+        self.empty = [not p for p in patterns]
         bit = 0
         for p in patterns:
             begin, floating = bit, False
@@ -77,10 +79,14 @@ class Automaton:
                     if bit == begin:
                         floating = True
                     else:
-                        self._set(self.loop, bit - 1)
+                        for byte in range(256):
+                            self._set(self.keep[byte], bit - 1)
                     continue
-                for byte in range(256) if s == ANY else (s,):
+                # a character is a byte that begins one, and stays matched over its continuation bytes
+                for byte in [*range(0x80), *range(0xC0, SEPARATOR)] if s == ANY else (s,):
                     self._set(self.masks[byte], bit)
+                for byte in range(0x80, 0xC0) if s == ANY else ():
+                    self._set(self.keep[byte], bit)
                 bit += 1
             if bit == begin:  # stars alone, or nothing: a bit of its own that no byte sets
                 bit += 1
@@ -111,12 +117,15 @@ class Automaton:
             moved[:, 1:] |= now[:, :-1] >> top
             moved &= ~self.first
             moved |= self.always if t else self.first
-            state[:k] = (moved & self.masks[flat[begins[:k] + t]]) | (now & self.loop)
+            byte = flat[begins[:k] + t]
+            state[:k] = (moved & self.masks[byte]) | (now & self.keep[byte])
         out = np.zeros((n, len(self.last)), dtype=bool)
         for j, (word, bit) in enumerate(self.last):
             out[order, j] = ((state[:, word] >> np.uint64(bit)) & one) == one
-            if self.empty[j]:
+            if self.whole[j]:
                 out[:, j] = True
+            elif self.empty[j]:
+                out[:, j] = lengths == 0
         return out
 
 
