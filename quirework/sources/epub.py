@@ -90,6 +90,9 @@ class _Blocks(HTMLParser):
             del self.stack[len(self.stack) - 1 - self.stack[::-1].index(tag) :]
 
     def handle_endtag(self, tag):
+        # the end of an element around the leaf ends the leaf
+        if self.leaf is not None and tag != self.leaf[0] and tag in self.stack and len(self.stack) - self.stack[::-1].index(tag) < self.leaf[3]:
+            self._close(self.leaf[0])
         self._close(tag)
 
     def handle_data(self, data):
