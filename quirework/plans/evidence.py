@@ -13,6 +13,13 @@ from quirework.sources import plaintext
 _kept: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """Lets go of kept evidence; the next query computes its own."""
+    for frame in _kept.values():
+        frame.unpersist()
+    _kept.clear()
+
+
 def shared(build):
     """Evidence that many queries of a session start from is computed once and kept in memory and on disk."""
 

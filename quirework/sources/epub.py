@@ -25,6 +25,8 @@ MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_TOTAL_BYTES, MOST_RATIO = 10_000, 64 << 20,
 LEAF_KINDS = {**dict.fromkeys(("p", "li", "blockquote", "pre", "dt", "dd", "aside"), "Text"), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "Heading"), "figcaption": "Caption"}
 SKIPPED = {"script", "style", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "image"}
+#: A start tag of these ends an open paragraph.
+_ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split())
 _OPEN_ENDED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 BLOCK_SCHEMA = "unit string, block_idx int, kind string, text string, fragment_id string"
@@ -69,7 +71,7 @@ class _Blocks(HTMLParser):
             if tag == "br" and self.leaf is not None:
                 self.leaf[2].append(" ")
             return
-        if tag in LEAF_KINDS and self.stack and self.leaf is not None and (self.leaf[0] in _OPEN_ENDED.get(tag, set()) or (self.leaf[0] == "p" and tag != "aside")):
+        if self.leaf is not None and (self.leaf[0] in _OPEN_ENDED.get(tag, set()) or (self.leaf[0] == "p" and tag in _ENDS_P)):
             self._close(self.leaf[0])
         self.stack.append(tag)
         if self.leaf is None and tag in LEAF_KINDS and not SKIPPED & set(self.stack):
