@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import curve_packing, html_text, license_scan, near_dedup, quality_rules, source_mixing, suffix_dedup, tiff, training_order, url_rules
+from quirework.llm import curve_packing, html_text, license_scan, near_dedup, oracles, quality_rules, source_mixing, suffix_dedup, tiff, training_order, url_rules
 
 QUERIES = {
     "op1_tiff": tiff.query,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_license_scan": license_scan.query,
     "op10_source_mixing": source_mixing.query,
 }
-ORACLES: dict[str, str] = {"op6_url_rules": url_rules.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.quality(),
+    "op5_near_dedup": oracles.near(),
+    "op6_url_rules": url_rules.oracle(),
+    "op7_suffix_dedup": oracles.repeats(),
+}
