@@ -13,11 +13,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
 DEFAULT_FILE = "word_bpe_49k.json"
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 600_000
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-įĲ-ſ–—‘-„…€]")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Signs that \w, \d and the tokenizer's letter and digit classes see differently.
@@ -41,6 +42,16 @@ class WordCoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary doesn't fit 16 bits")
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        # the same model without normalisation and splitting, for runs that are through both
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self.library.model.end_of_word_suffix
+        if not mark:
+            raise ValueError("the vocabulary has no mark for the end of a run")
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(mark)]] = True
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -48,15 +59,29 @@ class WordCoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Many runs in one text; a token that ends a run says where the next begins."""
+        for at in range(0, len(runs), 4096):
+            part = runs[at : at + 4096]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u2")
+            raw, cuts = ids.tobytes(), (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.runs.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+
     def _learn(self, chunks: set[str]) -> None:
         if len(self.chunks) + len(chunks) > MOST_CHUNKS:
             self.chunks.clear()
+        if len(self.runs) > MOST_CHUNKS:
             self.runs.clear()
-        split = {c: _RUNS.findall(c.lower()) for c in chunks}
-        new = list({r for runs in split.values() for r in runs if r not in self.runs})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.runs.update(zip(part, self._batch(part), strict=True))
+        split = {}
+        for c in chunks:
+            low = c.lower()
+            if low.isalpha():
+                split[c] = (low,)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                split[c] = (low[:-1], low[-1])
+            else:
+                split[c] = _RUNS.findall(low)
+        self._learn_runs(list({r for runs in split.values() for r in runs if r not in self.runs}))
         known = self.runs.__getitem__
         self.chunks.update((c, b"".join(map(known, runs))) for c, runs in split.items())
 
@@ -69,12 +94,12 @@ class WordCoder:
             split.append(t.split() if self.plain(t) else None)
             out.append(t)
         seen = self.chunks
-        wanted = {c for chunks in split if chunks for c in chunks if c not in seen}
+        wanted = {c for c in set(chain.from_iterable(filter(None, split))) if c not in seen}
         if wanted:
             before = len(seen)
             self._learn(wanted)
             if len(self.chunks) < before:  # forgot the others
-                self._learn({c for chunks in split if chunks for c in chunks} - self.chunks.keys())
+                self._learn({c for c in set(chain.from_iterable(filter(None, split))) if c not in self.chunks})
         known = self.chunks.__getitem__
         return [self._batch([t])[0] if chunks is None else b"".join(map(known, chunks)) for t, chunks in zip(out, split, strict=True)]
 
