@@ -8,10 +8,10 @@ without a table of the permutation. Slots are dealt in ranges to shards; a shard
 of fixed-stride records, so the record of a slot lies at a known byte and a reader resumes
 at any slot with one seek.
 
-Texts are tokenised twice, so that their ids cross the network once: the first pass only
-counts, which gives every document its first position; the second sends pieces straight to
-the shards of their slots. A shard is written to a temporary name and renamed, by any
-attempt alike: a lost executor repeats its shards and nothing else.
+Texts are tokenised once, into a table of compressed ids. Its counts give every document
+its first position, and its ids then go in compressed pieces straight to the shards of
+their slots, crossing the network once. A shard is written to a temporary name and renamed,
+by any attempt alike: a lost executor repeats its shards and nothing else.
 
 Behaviour on odd input: a null or empty text is its end id alone; long texts run over many
 sequences; the last sequence is filled with the padding id; repeated rows are laid one after
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from quirework.llm.token_ids import coder, tokenizer_path
 STRIDE = 2048
 END, PAD = 1, 0
 ROUNDS = 6
+LEVEL = 3
 KEY = 0x5DEECE66D
 SHARD_SEQUENCES = 2048  # 8 MB a shard
 RANGE_ROWS = 1 << 20
@@ -87,45 +89,49 @@ def unfeistel(slots: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -
     return out.astype(np.int64)
 
 
-def _counted(path: str):
+def _encoded(path: str):
+    """Number and compressed 16-bit ids of each text, its end id with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = coder(path)
+        encoder, pack = coder(path), zstandard.ZstdCompressor(level=LEVEL).compress
+        end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
-            sizes = [len(x) // 2 + 1 for part in chunks(texts, lambda t: len(t) + 64, 1 << 20) for x in encoder.encode(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "n"])
+            at = 0
+            for part in chunks(texts, lambda t: len(t) + 64, 1 << 20):
+                held = [x + end for x in encoder.encode(part)]
+                keys = [batch.column(i).slice(at, len(part)) for i in (0, 1)]
+                at += len(part)
+                sizes = pa.array([len(x) // 2 for x in held], pa.int64())
+                yield pa.RecordBatch.from_arrays([*keys, sizes, pa.array([pack(x) for x in held], pa.binary())], names=["doc_id", "text_key", "n", "ids"])
 
     return run
 
 
-def _pieces(path: str, total: int, stride: int, key: int, shard: int):
-    """Cuts each text at sequence ends: (shard, slot, at, ids)."""
+def _pieces(total: int, stride: int, key: int, shard: int):
+    """Cuts each document's ids at sequence ends: (shard, slot, sequence_id, at, ids)."""
     n = -(-total // stride)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = coder(path)
-        end = np.array([END], dtype="<u2").tobytes()
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            starts = batch.column(0).to_pylist()
-            for part in chunks(list(zip(starts, texts, strict=True)), lambda r: len(r[1]) + 64, 1 << 20):
-                sequence, offset, held = [], [], []
-                for (first, _), ids in zip(part, encoder.encode([t for _, t in part]), strict=True):
-                    ids += end
-                    size, at = len(ids) // 2, 0
-                    while at < size:
-                        where = (first + at) % stride
-                        length = min(size - at, stride - where)
-                        sequence.append((first + at) // stride)
-                        offset.append(where)
-                        held.append(ids[2 * at : 2 * (at + length)])
-                        at += length
-                numbers = np.array(sequence, dtype=np.int64)
-                slots = feistel(numbers, n, key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots // shard), pa.array(slots), pa.array(numbers), pa.array(offset, pa.int32()), pa.array(held, pa.binary())],
-                    names=["shard", "slot", "sequence_id", "at", "ids"],
-                )
+            sequence, offset, held = [], [], []
+            for first, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = unpack(packed)
+                size, at = len(ids) // 2, 0
+                while at < size:
+                    where = (first + at) % stride
+                    length = min(size - at, stride - where)
+                    sequence.append((first + at) // stride)
+                    offset.append(where)
+                    held.append(pack(ids[2 * at : 2 * (at + length)]))
+                    at += length
+            numbers = np.array(sequence, dtype=np.int64)
+            slots = feistel(numbers, n, key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots // shard), pa.array(slots), pa.array(numbers), pa.array(offset, pa.int32()), pa.array(held, pa.binary())],
+                names=["shard", "slot", "sequence_id", "at", "ids"],
+            )
 
     return run
 
@@ -134,7 +140,7 @@ def _records(stride: int):
     """Whole records, out of pieces in the order of (shard, slot, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = np.array([PAD], dtype="<u2").tobytes()
+        pad, unpack = np.array([PAD], dtype="<u2").tobytes(), zstandard.ZstdDecompressor().decompress
         names = ["shard", "slot", "sequence_id", "n_tokens", "payload"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         slot, held, out = None, [], []
@@ -152,7 +158,7 @@ def _records(stride: int):
                     if slot is not None:
                         close()
                     slot, held = (shard, s, number), []
-                held.append(ids)
+                held.append(unpack(ids))
                 if len(out) >= 1024:
                     yield batch_of(out)
                     out = []
@@ -176,9 +182,9 @@ def training_sequences(
     path = tokenizer or tokenizer_path()
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body, F.length(body)).alias("text_key"), body.alias("__text"))
-    counted = scratch.save(source.mapInArrow(_counted(path), "doc_id long, text_key long, n long"), "counts")
+    tokens = scratch.save(source.mapInArrow(_encoded(path), "doc_id long, text_key long, n long, ids binary"), "tokens")
     # equal rows have equal keys: they get one range of positions and share it out by number
-    distinct = counted.groupBy("doc_id", "text_key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    distinct = tokens.groupBy("doc_id", "text_key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     distinct = scratch.save(distinct, "distinct")
     rows, total = distinct.agg(F.count("*"), F.sum(F.col("n") * F.col("copies"))).first()
     total = total or 0
@@ -199,16 +205,16 @@ def training_sequences(
     starts = ranged.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("copies")).over(inside), F.lit(0))).join(F.broadcast(base), "part")
     starts = starts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("base") + F.col("before")).alias("__start"), "n", "copies")
     starts = scratch.save(starts, "starts")
-    scratch.drop("counts", "distinct", "ranged")
+    scratch.drop("distinct", "ranged")
 
-    same = source["doc_id"].eqNullSafe(F.col("__id")) & (source["text_key"] == F.col("__key"))
+    same = tokens["doc_id"].eqNullSafe(F.col("__id")) & (tokens["text_key"] == F.col("__key"))
     # one row of equal ones speaks for all of them, at every copy's position
-    repeated = starts.filter("copies > 1")
-    single = source.join(maybe_broadcast(starts.filter("copies = 1"), 32), same).select(F.col("__start").alias("start"), "__text")
-    many = source.join(maybe_broadcast(repeated, 40), same).dropDuplicates(["__id", "__key"])
+    repeated = starts.filter("copies > 1").withColumnRenamed("n", "size")
+    single = tokens.join(maybe_broadcast(starts.filter("copies = 1").drop("n"), 32), same).select(F.col("__start").alias("start"), "ids")
+    many = tokens.join(maybe_broadcast(repeated, 40), same).dropDuplicates(["__id", "__key"])
     many = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    placed = single.unionByName(many.select((F.col("__start") + F.col("copy") * F.col("n")).alias("start"), "__text"))
-    pieces = placed.mapInArrow(_pieces(path, total, stride, key, shard_sequences), "shard long, slot long, sequence_id long, at int, ids binary")
+    placed = single.unionByName(many.select((F.col("__start") + F.col("copy") * F.col("size")).alias("start"), "ids"))
+    pieces = placed.mapInArrow(_pieces(total, stride, key, shard_sequences), "shard long, slot long, sequence_id long, at int, ids binary")
     shards = -(-(-(-total // stride)) // shard_sequences)
     tasks = int(max(1, min(shards, 10_000)))
     ordered = pieces.repartition(tasks, "shard").sortWithinPartitions("shard", "slot", "at")
