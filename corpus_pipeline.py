@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import Scratch, documents
+from quirework.llm.common import Scratch, documents, maybe_broadcast
 from quirework.llm.curve_packing import pack_along_curve
 from quirework.llm.near_dedup import near_duplicates
 from quirework.llm.quality_rules import quality_rules
@@ -30,9 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of equal rows with this id one stays; a row without an id stays only if its whole group has none.
     """
-    groups = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["__kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    scratch = Scratch(spark, "near-dedup-stage")
+    groups = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    groups = scratch.save(groups.select(F.col("doc_id").alias("__kept_id"), "rows"), "kept")
+    kept = docs.join(maybe_broadcast(groups, 24), docs["doc_id"].eqNullSafe(groups["__kept_id"]), "left_semi").select(*COLUMNS)
+    # ids are rarely repeated: only then the texts are dealt out by id
+    return kept if groups.filter("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ corpus; a sample of positions that repeats find again does the same work:
   is unique: any string it serves shares 144 bytes behind the anchor with its equal.
 * At the threshold, runs whose whole stretch is repeated are decided at once. The others -
   a few at the ends of each repeat - are compared within their rank: groups of up to 64
-  stretches byte by byte, larger ones by the hashes of their single strings.
+  stretches byte by byte, larger ones by the hashes of cells of eight neighbouring strings
+  and, where a cell is neither repeated whole nor without repeats, of the single strings.
 
 Groups are counted by partial aggregation; a hot passage is one row for each task before
 its shuffle, and joins that bring ranks back are plain joins that AQE can split.
@@ -43,7 +44,7 @@ LENGTH = 400
 GRAM = 32
 REACH = 256  # anchor candidates of a string: its first 256 positions
 STEP = 72  # first rank; 2 * STEP bytes behind an anchor are in every string it serves
-PAIRWISE = 64
+PAIRWISE, CELL = 64, 8
 _POSITION = 20  # bits of a position inside a buffer
 BUFFER = 1 << 19
 
@@ -207,25 +208,63 @@ def _pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every single string of a stretch: its rank, distance to the anchor and hash."""
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stretch's strings in cells of CELL neighbouring distances from the anchor.
+
+    core names the bytes that all strings of a cell share, whole the bytes that any of them
+    has (null for a cell that the stretch has in part), strings the single strings.
+    """
     for batch in batches:
+        out: list[tuple] = []
         for row in batch.to_pylist():
-            data = np.frombuffer(row["bytes"], dtype=np.uint8)
-            at = np.arange(row["hi"] - row["lo"] + 1)
-            names = PrefixHash(data).slices(at, at + LENGTH) + (row["anchor"] - row["lo"] - at).astype(U64) * U64(0xA24BAED4963EE407)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["rank"]] * n, pa.int64()),
-                    pa.array(mix(names).view(np.int64)),
-                    pa.array([row["doc_id"]] * n, pa.int64()),
-                    pa.array([row["text_key"]] * n, pa.int64()),
-                    pa.array((at + row["lo"]).astype(np.int32)),
-                    pa.array([row["done"]] * n),
-                ],
-                names=["rank", "string", "doc_id", "text_key", "lo", "done"],
-            )
+            lo, hi, q = row["lo"], row["hi"], row["anchor"]
+            hashes = PrefixHash(np.frombuffer(row["bytes"], dtype=np.uint8))
+            d = np.arange(q - hi, q - lo + 1)
+            single = hashes.slices(q - d - lo, q - d - lo + LENGTH).view(np.int64)
+            first = np.arange((q - hi) // CELL, (q - lo) // CELL + 1) * CELL
+            core = hashes.slices(q - first - lo, q - first - lo + LENGTH - CELL + 1).view(np.int64)
+            for f, c in zip(first.tolist(), core.tolist(), strict=True):
+                a, b = max(f, q - hi), min(f + CELL - 1, q - lo)
+                whole = None
+                if b - a == CELL - 1:
+                    at = np.array([q - b - lo])
+                    whole = int(hashes.slices(at, at + LENGTH + CELL - 1).view(np.int64)[0])
+                out.append((row["rank"], f, c, whole, row["doc_id"], row["text_key"], q, a, single[a - d[0] : b - d[0] + 1].tolist(), row["done"]))
+        if out:
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
+            names = ["rank", "cell", "core", "whole", "doc_id", "text_key", "anchor", "distance", "strings", "done"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+CELL_SCHEMA = "rank long, cell int, core long, whole long, doc_id long, text_key long, anchor int, distance int, strings array<long>, done boolean"
+
+
+def _crowded(stretches: DataFrame, scratch: Scratch) -> DataFrame:
+    """Runs of repeated starts in ranks of many stretches.
+
+    Cells whose core is unique hold no repeat, cells that are repeated whole are decided, and
+    only the strings of the cells between - where a repeat ends - are compared one by one.
+    """
+    cells = scratch.save(stretches.mapInArrow(_cell_rows, CELL_SCHEMA), "cells")
+    cores = cells.groupBy("rank", "cell", "core").agg(F.count("*").alias("n"), F.bool_and("done").alias("closed")).filter("n > 1 and not closed")
+    alive = scratch.save(cells.join(cores.select("rank", "cell", "core"), ["rank", "cell", "core"], "left_semi"), "alive")
+    wholes = alive.filter("whole is not null").groupBy("rank", "cell", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("distance", "strings")).alias("one"))
+    wholes = scratch.save(wholes.filter("n > 1").drop("n"), "wholes")
+    key = ["rank", "cell", "whole"]
+    decided = alive.filter("not done").join(wholes.select(*key), key, "left_semi")
+    decided = decided.select("doc_id", "text_key", (F.col("anchor") - F.col("distance") - (CELL - 1)).alias("lo"), (F.col("anchor") - F.col("distance")).alias("hi"))
+    rest = scratch.save(alive.filter("not done").join(wholes.select(*key), key, "left_anti"), "rest")
+    # what the strings of the rest are compared with: each other, one of each repeated cell, and decided stretches
+    core = ["rank", "cell", "core"]
+    sides = wholes.select(*core, "one.distance", "one.strings").unionByName(alive.filter("done").join(wholes.select(*key), key, "left_anti").select(*core, "distance", "strings"))
+    sides = sides.join(rest.select(*core).distinct(), core, "left_semi").select("rank", "distance", "strings")
+    spread = lambda df, *more: df.select("rank", *more, "distance", F.posexplode("strings").alias("k", "string")).withColumn("distance", F.col("distance") + F.col("k")).drop("k")
+    open_strings = scratch.save(spread(rest, "doc_id", "text_key", "anchor"), "strings")
+    one = ["rank", "distance", "string"]
+    twice = open_strings.select(*one).unionByName(spread(sides).select(*one)).groupBy(*one).agg(F.count("*").alias("n")).filter("n > 1").select(*one)
+    found = open_strings.join(twice, one, "left_semi")
+    start = F.col("anchor") - F.col("distance")
+    return decided.unionByName(found.select("doc_id", "text_key", start.alias("lo"), start.alias("hi")))
 
 
 def _rank(positions: DataFrame, key: list[str], scratch: Scratch, table: str) -> DataFrame:
@@ -248,7 +287,8 @@ def repeated_starts(source: DataFrame, scratch: Scratch) -> DataFrame:
     at = _rank(at, ["rank", "n1"], scratch, "round-1")
     scratch.drop("round-0", "round-1-ranks")
 
-    whole = at.groupBy("rank", "stretch").agg(F.count("*").alias("n"))
+    entry = F.struct("doc_id", "text_key", "anchor", "lo", "hi")
+    whole = at.groupBy("rank", "stretch").agg(F.count("*").alias("n"), F.min(entry).alias("first"))
     whole = whole.withColumn("done", F.col("n") > 1)
     open_ranks = whole.groupBy("rank").agg(F.count("*").alias("stretches"), F.bool_and("done").alias("closed"))
     whole = scratch.save(whole, "stretches")
@@ -256,14 +296,10 @@ def repeated_starts(source: DataFrame, scratch: Scratch) -> DataFrame:
     done = at.join(whole.filter("done").select("rank", "stretch"), ["rank", "stretch"], "left_semi")
     done = scratch.save(done.select("doc_id", "text_key", "lo", "hi"), "done")
 
-    # of an open rank: the undecided positions, and one of each decided stretch to compare them with
-    undecided = at.join(whole.filter("not done").select("rank", "stretch"), ["rank", "stretch"], "left_semi").withColumn("done", F.lit(False))
-    decided = at.join(whole.filter("done").select("rank", "stretch"), ["rank", "stretch"], "left_semi")
-    entry = F.struct("doc_id", "text_key", "anchor", "lo", "hi")
-    decided = decided.join(open_ranks.select("rank"), "rank", "left_semi").groupBy("rank", "stretch").agg(F.min(entry).alias("m"))
-    decided = decided.select("rank", "m.*").withColumn("done", F.lit(True))
-    undecided = undecided.join(open_ranks.select("rank"), "rank", "left_semi")
-    asked = undecided.select("rank", "doc_id", "text_key", "anchor", "lo", "hi", "done").unionByName(decided)
+    # of an open rank: the undecided positions, each alone with its stretch, and one position of each decided
+    # stretch to compare them with
+    firsts = whole.join(open_ranks.select("rank"), "rank", "left_semi")
+    asked = firsts.select("rank", "first.*", "done")
     asked = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("rank", "anchor", "lo", "hi", "done")).alias("asked"))
     asked = scratch.save(asked, "asked")
     wanted = source.alias("s").join(
@@ -280,11 +316,8 @@ def repeated_starts(source: DataFrame, scratch: Scratch) -> DataFrame:
     few = stretches.filter(F.col("stretches") <= PAIRWISE).groupBy("rank")
     few = few.agg(F.collect_set(F.struct("doc_id", "text_key", "anchor", "lo", "hi", "bytes", "done")).alias("members"))
     starts = scratch.save(few.select("members").mapInArrow(_pairwise, "doc_id long, text_key long, lo int, hi int"), "pairwise")
-    strings = stretches.filter(F.col("stretches") > PAIRWISE).mapInArrow(_string_rows, "rank long, string long, doc_id long, text_key long, lo int, done boolean")
-    strings = scratch.save(strings, "strings")
-    twice = strings.groupBy("rank", "string").agg(F.count("*").alias("n")).filter("n > 1").select("rank", "string")
-    single = strings.filter("not done").join(twice, ["rank", "string"], "left_semi").select("doc_id", "text_key", "lo", F.col("lo").alias("hi"))
-    return done.unionByName(starts).unionByName(single)
+    crowded = _crowded(stretches.filter(F.col("stretches") > PAIRWISE), scratch)
+    return done.unionByName(starts).unionByName(crowded)
 
 
 def _merge(spans) -> list[list[int]]:
