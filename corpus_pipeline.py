@@ -18,6 +18,8 @@ from quirework.llm.source_mixing import mix_sources
 from quirework.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity, in percent, from which the near-dedup stage links two texts; op5's 85 is that query's own.
+PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of equal rows with this id one stays; a row without an id stays only if its whole group has none.
     """
     scratch = Scratch(spark, "near-dedup-stage")
-    groups = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    groups = near_duplicates(docs, percent=PERCENT).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     groups = scratch.save(groups.select(F.col("doc_id").alias("__kept_id"), "rows"), "kept")
     kept = docs.join(maybe_broadcast(groups, 24), docs["doc_id"].eqNullSafe(groups["__kept_id"]), "left_semi").select(*COLUMNS)
     # ids are rarely repeated: only then the texts are dealt out by id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,7 +19,7 @@ from quirework.llm import training_order as to
 from quirework.llm.hashing import chunks
 from quirework.llm.token_ids import WordCoder, coder, tokenizer_path
 from tests.llm.helpers import docs, odd_rows, prose
-from tests.llm.test_dedup import brute_cut, brute_groups, repeat_rows
+from tests.llm.test_dedup import brute_cut, brute_groups, edited, repeat_rows
 from tests.llm.test_measures_and_media import brute_quality
 
 
@@ -243,6 +244,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r.doc_id: r.t for r in copies} == sizes and all(1 <= r.n <= 2 for r in copies)
 
 
+def test_near_copies_from_80_percent(spark, tmp_path):
+    r = random.Random(8)
+    base = prose(61, 300).split()
+    rows = [(1, " ".join(base))] + [(10 + i, edited(base, r, 5 + i % 4)) for i in range(12)]
+    far = [(30 + i, prose(700 + i, 80)) for i in range(3)]
+    leaders = {p: {d for d, _, g in brute_groups(rows + far, p) if d == g} for p in (80, 85)}
+    assert leaders[80] < leaders[85]  # some pairs lie between
+    got = corpus_pipeline.near_dedup(spark, docs(spark, rows + far).select(*corpus_pipeline.COLUMNS), str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in got) == sorted(leaders[80])
+
+
 def test_stage_without_rows(spark, tmp_path):
     empty = docs(spark, [(1, "a")]).select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     for _, stage in corpus_pipeline.STAGES:
