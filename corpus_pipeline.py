@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import Scratch, documents, maybe_broadcast
 from quirework.llm.curve_packing import pack_along_curve
-from quirework.llm.near_dedup import near_duplicates
+from quirework.llm.near_dedup import near_duplicates, text_key
 from quirework.llm.quality_rules import quality_rules
 from quirework.llm.source_mixing import mix_sources
 from quirework.llm.suffix_dedup import remove_repeats
@@ -28,16 +28,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the least id.
+    """Keeps one document of each near-duplicate group: the one with the least id, a null id last.
 
-    Of equal rows with this id one stays; a row without an id stays only if its whole group has none.
+    Of several rows of a group with this id one stays. Rows are told apart by id and text: an id
+    that is null or repeated decides nothing about other groups. Texts without a word all stay.
     """
     scratch = Scratch(spark, "near-dedup-stage")
-    groups = near_duplicates(docs, percent=PERCENT).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    groups = scratch.save(groups.select(F.col("doc_id").alias("__kept_id"), "rows"), "kept")
-    kept = docs.join(maybe_broadcast(groups, 24), docs["doc_id"].eqNullSafe(groups["__kept_id"]), "left_semi").select(*COLUMNS)
-    # ids are rarely repeated: only then the texts are dealt out by id
-    return kept if groups.filter("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, percent=PERCENT).filter("kept and group_id is not null")
+    groups = kept.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.count("*").alias("rows"))
+    groups = scratch.save(groups.select(F.col("one.doc_id").alias("__kept_id"), F.col("one.text_key").alias("__kept_key"), "rows"), "kept")
+    key = text_key(F.col("text"))
+
+    def chosen(side: DataFrame, how: str) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(side["__kept_id"]) & (key == side["__kept_key"])
+        return docs.join(maybe_broadcast(side, 32), same, how)
+
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    alone = chosen(groups.filter("rows = 1"), "left").filter(F.col("__kept_key").isNotNull() | blank).select(*COLUMNS)
+    # ids are rarely null or repeated: only then rows with equal text are dealt out
+    several = groups.filter("rows > 1")
+    if several.isEmpty():
+        return alone
+    equal = chosen(several, "left_semi").groupBy("doc_id", key.alias("__key")).agg(F.min(F.struct(*COLUMNS)).alias("one"))
+    return alone.unionByName(equal.select("one.*"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

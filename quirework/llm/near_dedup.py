@@ -166,15 +166,16 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, bounds = shingle_sets([t for _, t in part])
             sizes = np.diff(bounds)
             registers = sketch(keys, bounds)
-            ids = batch.column(0).slice(part[0][0], len(part))
+            ids, text_keys = (batch.column(i).slice(part[0][0], len(part)) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
+                    text_keys,
                     pa.array(sizes),
                     pa.array(digests(keys, bounds).view(np.int64)),
                     pa.array([r.tobytes() if s else None for r, s in zip(registers, sizes, strict=True)], type=pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "class", "registers"],
+                names=["doc_id", "text_key", "n_shingles", "class", "registers"],
             )
 
 
@@ -341,17 +342,25 @@ def _block_pairs(around: DataFrame, entry: list[str], weight: Column, most: int)
     return left.join(arrays.select("centre", F.col("held").alias("members")), "centre")
 
 
+def text_key(text: Column) -> Column:
+    """64 bits that tell texts under one id apart."""
+    body = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(body, F.length(body))
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id) of every row.
+    """(doc_id, n_shingles, component_id, kept, class_id, group_id, text_key) of every row.
 
     class_id names equal shingle sets (null for the empty set); component_id is the least
     doc_id reachable over links with 100 * intersection >= percent * union; kept marks the
-    row whose id it is.
+    rows whose id it is; group_id names the group also where ids are null or in several
+    groups (null for the empty set).
     """
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "near-dedup")
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    rows = scratch.save(source.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, class long, registers binary"), "rows")
+    keyed = source.select("doc_id", text_key(F.col("__text")).alias("text_key"), "__text")
+    rows = scratch.save(keyed.mapInArrow(_sketch_rows, "doc_id long, text_key long, n_shingles long, class long, registers binary"), "rows")
 
     full = rows.filter("n_shingles > 0")
     # the sketch is a function of the set: any member's will do
@@ -402,18 +411,18 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     label = classes.select("class", "first_id").join(final.withColumnRenamed("node", "class"), "class", "left")
     label = label.withColumn("component", F.coalesce("component", "class"))
     least = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    label = scratch.save(label.join(least, "component").select("class", "component_id"), "label")
-    result = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class_id"))
-    result = result.join(label.select(F.col("class").alias("class_id"), "component_id"), "class_id", "left")
+    label = scratch.save(label.join(least, "component").select("class", "component_id", F.col("component").alias("group_id")), "label")
+    result = rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class_id"))
+    result = result.join(label.select(F.col("class").alias("class_id"), "component_id", "group_id"), "class_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    result = result.select("doc_id", "n_shingles", component.alias("component_id"), "class_id")
+    result = result.select("doc_id", "n_shingles", component.alias("component_id"), "class_id", "group_id", "text_key")
     result = result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     scratch.drop(*(t for t in list(scratch.paths) if t not in ("rows", "label")))
-    return result.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    return result.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "group_id", "text_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document's shingle count, group and whether it stays."""
     from quirework.llm.common import documents
 
-    return near_duplicates(documents(spark, sf_dir)).drop("class_id")
+    return near_duplicates(documents(spark, sf_dir)).drop("class_id", "group_id", "text_key")

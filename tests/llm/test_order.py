@@ -255,6 +255,30 @@ def test_near_copies_from_80_percent(spark, tmp_path):
     assert sorted(x.doc_id for x in got) == sorted(leaders[80])
 
 
+def test_near_dedup_decides_by_row(spark, tmp_path):
+    r = random.Random(9)
+    a, b, c, d = (prose(620 + i, 200).split() for i in range(4))
+    near = lambda w: edited(w, r, 2)
+    text = " ".join
+    rows = [
+        (None, text(a)), (None, near(a)), (None, text(b)), (None, text(b)),  # two groups without an id
+        (5, text(c)), (5, prose(630, 90)), (5, prose(631, 90)),  # unlike texts under an id
+        (1, text(d)), (8, near(d)), (8, prose(632, 90)),  # one of two rows of id 8 is a near copy of 1
+        (9, prose(633, 90)), (9, prose(633, 90)), (None, prose(633, 90)), (3, None), (3, " \n"), (None, ""),
+    ]
+    frame = docs(spark, rows).select(*corpus_pipeline.COLUMNS)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, frame, str(tmp_path)).collect()]
+    firsts = [x for x in got if x[1] in (rows[0][1], rows[1][1])]
+    assert len(firsts) == 1 and firsts[0][0] is None
+    want = [rows[i] for i in (2, 4, 5, 6, 7, 9, 10, 13, 14, 15)]
+    assert Counter(x for x in got if x not in firsts) == Counter(want)
+
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0").select("doc_id", "doc_tokens").distinct().collect()
+    left = Counter((i, len(library_ids(t))) for i, t in [*firsts, *(rows[i] for i in (2, 4, 5, 6, 7, 9, 10))])
+    assert Counter((x.doc_id, x.doc_tokens) for x in packed) == left
+
+
 def test_stage_without_rows(spark, tmp_path):
     empty = docs(spark, [(1, "a")]).select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     for _, stage in corpus_pipeline.STAGES:
