@@ -20,6 +20,8 @@ from quirework.llm.suffix_dedup import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Similarity, in percent, from which the near-dedup stage links two texts; op5's 85 is that query's own.
 PERCENT = 80
+#: Bytes from which the suffix-dedup stage cuts repeats: 50 words of plain prose have more. op7's 400 is that query's own.
+REPEAT_BYTES = 224
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts bytes of strings that repeat; n_chars follows the text. Documents left without a word go."""
-    left = remove_repeats(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    left = remove_repeats(docs, length=REPEAT_BYTES).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
     return left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 

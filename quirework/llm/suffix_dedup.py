@@ -5,7 +5,7 @@ place of the corpus. Sorting the suffixes of every byte would shuffle many times
 corpus; a sample of positions that repeats find again does the same work:
 
 * Anchors. The string that starts at p is anchored at the least (leftmost) 32-byte hash
-  among its first 256 positions. The anchor depends on the string alone, so equal strings
+  among its first 16/25 (256) positions. The anchor depends on the string alone, so equal strings
   have anchors at equal offsets; about one position in 128 is an anchor, with the run of
   starts it serves.
 * Prefix doubling over the anchors. Round 0 ranks the 72 bytes behind an anchor; every
@@ -42,8 +42,21 @@ from quirework.llm.hashing import U64, PrefixHash, chunks, mix, stream
 
 LENGTH = 400
 GRAM = 32
-REACH = 256  # anchor candidates of a string: its first 256 positions
-STEP = 72  # first rank; 2 * STEP bytes behind an anchor are in every string it serves
+
+
+def reach_of(length: int) -> int:
+    """Anchor candidates of a string: its first positions, 256 of 400."""
+    return length * 16 // 25
+
+
+def step_of(length: int) -> int:
+    """Bytes of the first rank, 72 of 400; twice as many behind an anchor are in every string it serves."""
+    return (length - reach_of(length) + 1) // 2
+
+
+REACH, STEP = reach_of(LENGTH), step_of(LENGTH)
+#: Shorter strings have no room for a gram behind their last candidate.
+LEAST_LENGTH = next(n for n in range(GRAM, LENGTH) if reach_of(n) + GRAM <= n)
 PAIRWISE, CELL = 64, 8
 _POSITION = 20  # bits of a position inside a buffer
 BUFFER = 1 << 19
@@ -51,7 +64,7 @@ BUFFER = 1 << 19
 _BYTE = stream(17, 256)
 _FACTORS = [int(x) | 1 for x in stream(19, 5)]
 
-assert REACH + GRAM <= LENGTH and LENGTH - REACH + 1 >= 2 * STEP
+assert REACH == 256 and STEP == 72
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -82,7 +95,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH):
     low = U64((1 << _POSITION) - 1)
     h = _grams(data)
     v = (h & ~low) | np.arange(len(h), dtype=U64)
-    least = (_sliding_min(v, REACH) & low).astype(np.int64)[: len(data) - length + 1]
+    least = (_sliding_min(v, reach_of(length)) & low).astype(np.int64)[: len(data) - length + 1]
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(least)]
     valid = np.arange(len(least)) + length <= starts[text + 1]
     first = valid.copy()
@@ -124,11 +137,12 @@ def _binary(batch: pa.RecordBatch, column: str) -> list[bytes]:
 ANCHOR_SCHEMA = "doc_id long, text_key long, anchor int, lo int, hi int, n0 long, n1 long, stretch long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    step = step_of(length)
     for batch in batches:
         for group in chunks(list(enumerate(_binary(batch, "__text"))), lambda r: len(r[1]) + 16, 4 << 20):
-            for whose, bounds, data, offset in _pieces([t for _, t in group], LENGTH):
-                text, lo, hi, q = anchors(data, bounds)
+            for whose, bounds, data, offset in _pieces([t for _, t in group], length):
+                text, lo, hi, q = anchors(data, bounds, length)
                 if not len(lo):
                     continue
                 hashes = PrefixHash(data)
@@ -140,21 +154,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         batch.column(0).take(pa.array(rows)),
                         batch.column(1).take(pa.array(rows)),
                         *(pa.array((x + shift).astype(np.int32)) for x in (q, lo, hi)),
-                        as_long(hashes.slices(q, q + STEP)),
-                        as_long(hashes.slices(q + STEP, q + 2 * STEP)),
-                        as_long(mix(hashes.slices(lo, hi + LENGTH) + (q - lo).astype(U64) * U64(0xA24BAED4963EE407))),
+                        as_long(hashes.slices(q, q + step)),
+                        as_long(hashes.slices(q + step, q + 2 * step)),
+                        as_long(mix(hashes.slices(lo, hi + length) + (q - lo).astype(U64) * U64(0xA24BAED4963EE407))),
                     ],
                     names=["doc_id", "text_key", "anchor", "lo", "hi", "n0", "n1", "stretch"],
                 )
 
 
-def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretch_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches asked for, out of each text."""
     for batch in batches:
         texts = _binary(batch, "__text")
         out: list[tuple] = []
         for doc, key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
-            out += [(a["rank"], doc, key, a["anchor"], a["lo"], a["hi"], text[a["lo"] : a["hi"] + LENGTH], a["done"]) for a in asked]
+            out += [(a["rank"], doc, key, a["anchor"], a["lo"], a["hi"], text[a["lo"] : a["hi"] + length], a["done"]) for a in asked]
             if len(out) > 20_000:
                 yield _stretch_batch(out)
                 out = []
@@ -168,7 +182,7 @@ def _stretch_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairwise(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Within a rank's few stretches: which starts of each have an equal string in another."""
     for batch in batches:
         out = {"doc_id": [], "text_key": [], "lo": [], "hi": []}
@@ -189,9 +203,9 @@ def _pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n = min(len(a), len(b))
                     differ = np.flatnonzero(a[:n] != b[:n])
                     right = int(differ[0]) if len(differ) else n
-                    # starts at distance d before the anchor: d <= left and LENGTH - d <= right, in both runs
+                    # starts at distance d before the anchor: d <= left and length - d <= right, in both runs
                     most = min(left, cut[i], cut[j])
-                    least = max(LENGTH - right, cut[i] - (m["hi"] - m["lo"]), cut[j] - (members[j]["hi"] - members[j]["lo"]))
+                    least = max(length - right, cut[i] - (m["hi"] - m["lo"]), cut[j] - (members[j]["hi"] - members[j]["lo"]))
                     if least <= most:
                         found[cut[i] - most] += 1
                         found[cut[i] - least + 1] -= 1
@@ -208,7 +222,7 @@ def _pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """A stretch's strings in cells of CELL neighbouring distances from the anchor.
 
     core names the bytes that all strings of a cell share, whole the bytes that any of them
@@ -220,15 +234,15 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi, q = row["lo"], row["hi"], row["anchor"]
             hashes = PrefixHash(np.frombuffer(row["bytes"], dtype=np.uint8))
             d = np.arange(q - hi, q - lo + 1)
-            single = hashes.slices(q - d - lo, q - d - lo + LENGTH).view(np.int64)
+            single = hashes.slices(q - d - lo, q - d - lo + length).view(np.int64)
             first = np.arange((q - hi) // CELL, (q - lo) // CELL + 1) * CELL
-            core = hashes.slices(q - first - lo, q - first - lo + LENGTH - CELL + 1).view(np.int64)
+            core = hashes.slices(q - first - lo, q - first - lo + length - CELL + 1).view(np.int64)
             for f, c in zip(first.tolist(), core.tolist(), strict=True):
                 a, b = max(f, q - hi), min(f + CELL - 1, q - lo)
                 whole = None
                 if b - a == CELL - 1:
                     at = np.array([q - b - lo])
-                    whole = int(hashes.slices(at, at + LENGTH + CELL - 1).view(np.int64)[0])
+                    whole = int(hashes.slices(at, at + length + CELL - 1).view(np.int64)[0])
                 out.append((row["rank"], f, c, whole, row["doc_id"], row["text_key"], q, a, single[a - d[0] : b - d[0] + 1].tolist(), row["done"]))
         if out:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
@@ -239,13 +253,13 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CELL_SCHEMA = "rank long, cell int, core long, whole long, doc_id long, text_key long, anchor int, distance int, strings array<long>, done boolean"
 
 
-def _crowded(stretches: DataFrame, scratch: Scratch) -> DataFrame:
+def _crowded(stretches: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     """Runs of repeated starts in ranks of many stretches.
 
     Cells whose core is unique hold no repeat, cells that are repeated whole are decided, and
     only the strings of the cells between - where a repeat ends - are compared one by one.
     """
-    cells = scratch.save(stretches.mapInArrow(_cell_rows, CELL_SCHEMA), "cells")
+    cells = scratch.save(stretches.mapInArrow(lambda b: _cell_rows(b, length), CELL_SCHEMA), "cells")
     cores = cells.groupBy("rank", "cell", "core").agg(F.count("*").alias("n"), F.bool_and("done").alias("closed")).filter("n > 1 and not closed")
     alive = scratch.save(cells.join(cores.select("rank", "cell", "core"), ["rank", "cell", "core"], "left_semi"), "alive")
     wholes = alive.filter("whole is not null").groupBy("rank", "cell", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("distance", "strings")).alias("one"))
@@ -276,12 +290,12 @@ def _rank(positions: DataFrame, key: list[str], scratch: Scratch, table: str) ->
     return scratch.save(kept, table)
 
 
-def repeated_starts(source: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text_key, lo, hi): runs of starts whose LENGTH bytes also start elsewhere.
+def repeated_starts(source: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+    """(doc_id, text_key, lo, hi): runs of starts whose ``length`` bytes also start elsewhere.
 
     source: doc_id long, text_key long, __text string.
     """
-    found = source.mapInArrow(_anchor_rows, ANCHOR_SCHEMA)
+    found = source.mapInArrow(lambda b: _anchor_rows(b, length), ANCHOR_SCHEMA)
     at = _rank(found, ["n0"], scratch, "round-0")
     scratch.drop("round-0-ranks")
     at = _rank(at, ["rank", "n1"], scratch, "round-1")
@@ -310,19 +324,19 @@ def repeated_starts(source: DataFrame, scratch: Scratch) -> DataFrame:
     # equal rows with an equal id ask for the same bytes: one of them will do
     texts = wanted.alias("s").join(asked.alias("a"), F.col("s.text_key").eqNullSafe(F.col("a.text_key")) & F.col("s.doc_id").eqNullSafe(F.col("a.doc_id")))
     texts = texts.select("s.doc_id", "s.text_key", "s.__text", "a.asked")
-    stretches = texts.mapInArrow(_stretch_rows, "rank long, doc_id long, text_key long, anchor int, lo int, hi int, bytes binary, done boolean")
+    stretches = texts.mapInArrow(lambda b: _stretch_rows(b, length), "rank long, doc_id long, text_key long, anchor int, lo int, hi int, bytes binary, done boolean")
     stretches = scratch.save(stretches.join(open_ranks.select("rank", "stretches"), "rank"), "bytes")
 
     few = stretches.filter(F.col("stretches") <= PAIRWISE).groupBy("rank")
     few = few.agg(F.collect_set(F.struct("doc_id", "text_key", "anchor", "lo", "hi", "bytes", "done")).alias("members"))
-    starts = scratch.save(few.select("members").mapInArrow(_pairwise, "doc_id long, text_key long, lo int, hi int"), "pairwise")
-    crowded = _crowded(stretches.filter(F.col("stretches") > PAIRWISE), scratch)
+    starts = scratch.save(few.select("members").mapInArrow(lambda b: _pairwise(b, length), "doc_id long, text_key long, lo int, hi int"), "pairwise")
+    crowded = _crowded(stretches.filter(F.col("stretches") > PAIRWISE), scratch, length)
     return done.unionByName(starts).unionByName(crowded)
 
 
-def _merge(spans) -> list[list[int]]:
+def _merge(spans, length: int) -> list[list[int]]:
     out: list[list[int]] = []
-    for s in sorted((x["lo"], x["hi"] + LENGTH) for x in spans):
+    for s in sorted((x["lo"], x["hi"] + length) for x in spans):
         if out and s[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s[1])
         else:
@@ -330,7 +344,7 @@ def _merge(spans) -> list[list[int]]:
     return out
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Row number, byte counts, digest and text of what is left."""
     for batch in batches:
         texts = _binary(batch, "__text")
@@ -338,7 +352,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(list(range(len(texts))), lambda i: len(texts[i]) + 256, 8 << 20):
             counts, removed, runs, digests, kept = [], [], [], [], []
             for i in part:
-                t, cuts = texts[i], _merge(spans[i] or [])
+                t, cuts = texts[i], _merge(spans[i] or [], length)
                 at, left = 0, []
                 for s, e in cuts:
                     left.append(t[at:s])
@@ -360,20 +374,22 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, length: int = LENGTH) -> DataFrame:
     """All columns of df, its text without repeated bytes, and n_bytes, n_removed, n_spans, kept_sha256.
 
     A character that loses some of its bytes is left out of the text; kept_sha256 is of the
     remaining bytes. with_text=False returns the id and the counts alone. A column of df
-    named like one of the counts is replaced by it.
+    named like one of the counts is replaced by it. length: bytes of a string, LEAST_LENGTH at least.
     """
+    if length < LEAST_LENGTH:
+        raise ValueError(f"length {length} is under {LEAST_LENGTH}")
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     number = F.col(f"`{doc_id}`").cast("long")
     key = F.xxhash64(body, F.length(body))
     source = df.select(number.alias("doc_id"), key.alias("text_key"), body.alias("__text"))
-    starts = repeated_starts(source.filter(F.octet_length("__text") >= LENGTH), scratch)
+    starts = repeated_starts(source.filter(F.octet_length("__text") >= length), scratch, length)
     spans = starts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop(*(t for t in list(scratch.paths) if t != "spans"))
@@ -390,7 +406,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     added = [("__n_bytes", LongType()), ("__n_removed", LongType()), ("__n_spans", LongType()), ("__sha", StringType()), ("__kept", StringType())]
     schema = StructType([joined.schema[a] for a in inner.values()] + [StructField(n, t) for n, t in added])
-    cut = joined.mapInArrow(_cut_rows, schema)
+    cut = joined.mapInArrow(lambda b: _cut_rows(b, length), schema)
     named = [F.col(f"__{n}").alias(n) for n in counts[:3]] + [F.col("__sha").alias("kept_sha256")]
     if not with_text:
         return cut.select(F.col(inner[doc_id]).alias(doc_id), *named)

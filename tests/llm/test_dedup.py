@@ -158,6 +158,15 @@ def test_repeats_against_brute_force(spark):
     assert Counter(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("length", [sd.LEAST_LENGTH, 224])
+def test_shorter_repeats_against_brute_force(spark, length):
+    short = prose(95, 60)[: length + 30]
+    rows = repeat_rows() + [(600 + i, prose(5000 + i, 40) + short[i % 9 :] + prose(6000 + i, 40)) for i in range(80)]
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute_cut([(t or "").encode() for _, t in rows], length), strict=True))
+    got = sd.remove_repeats(docs(spark, rows), with_text=False, length=length).collect()
+    assert Counter(tuple(r) for r in got) == want
+
+
 def test_kept_text_and_other_columns(spark):
     rows = repeat_rows()[:60]
     got = sd.remove_repeats(docs(spark, rows))

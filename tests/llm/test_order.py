@@ -279,6 +279,14 @@ def test_near_dedup_decides_by_row(spark, tmp_path):
     assert Counter((x.doc_id, x.doc_tokens) for x in packed) == left
 
 
+def test_stage_cuts_passages_of_over_50_words(spark, tmp_path):
+    passage = " ".join(w[:6] for w in prose(640, 51).split())
+    assert len(passage) < 400
+    rows = [(i, prose(650 + i, 60) + "\n" + passage + "\n" + prose(660 + i, 60)) for i in range(3)]
+    got = corpus_pipeline.suffix_dedup(spark, docs(spark, rows).select(*corpus_pipeline.COLUMNS), str(tmp_path)).collect()
+    assert len(got) == 3 and not any(passage[3:-3] in x.text for x in got)
+
+
 def test_stage_without_rows(spark, tmp_path):
     empty = docs(spark, [(1, "a")]).select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     for _, stage in corpus_pipeline.STAGES:
