@@ -46,15 +46,34 @@ def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def common_subsequence(a: list, b: list) -> int:
-    if not a or not b:
-        return 0
-    names: dict = {}
-    x = np.array([names.setdefault(w, len(names)) for w in a])
-    y = np.array([names.setdefault(w, len(names)) for w in b])
-    row = np.zeros(len(y) + 1, dtype=np.int64)
-    for w in x:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == w)))
-    return int(row[-1])
+    """Length of a longest common subsequence: a bit for each word of a, a row of bits for each word of b.
+
+    Space is linear: only rows of words that make up a 64th of a or more are kept.
+    """
+    n = len(a)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places.setdefault(w, []).append(i)
+    frequent: dict = {}
+
+    def bits(w) -> int:
+        if w in frequent:
+            return frequent[w]
+        marks = bytearray(n // 8 + 1)
+        for i in places[w]:
+            marks[i >> 3] |= 1 << (i & 7)
+        row = int.from_bytes(marks, "little")
+        if 64 * len(places[w]) >= n:
+            frequent[w] = row
+        return row
+
+    full = (1 << n) - 1
+    left = full
+    for w in b:
+        if w in places:
+            met = left & bits(w)
+            left = ((left + met) | (left - met)) & full
+    return n - left.bit_count()
 
 
 @F.pandas_udf(LongType())

@@ -401,8 +401,8 @@ def multiset_overlap(spark, sf_dir):
 @register("ordered_overlap")
 def ordered_overlap(spark, sf_dir):
     """A longest common subsequence has no SQL form; tests hold it against brute force."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    return evaluate.ordered_common(items, items.withColumn("text", F.replace("text", F.lit("the"), F.lit("tbe"))))
+    docs = ev.documents(spark, sf_dir).select("doc_id", "text")
+    return evaluate.ordered_common(docs, docs.withColumn("text", F.replace("text", F.lit("the"), F.lit("tbe"))))
 
 
 @register("raster_measurements")

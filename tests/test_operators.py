@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import quirework.queries as engine
 from quirework.functions import measures
 from quirework.operators import assemble, assess, dualrun, evaluate, metrics, provenance, reconcile, segment, structured, text, visual
 
@@ -238,6 +239,17 @@ def test_word_distances():
         assert measures.edit_distance(a, b) == brute_edits(a, b) and measures.common_subsequence(a, b) == brute_common(a, b)
 
 
+def test_ordered_overlap_of_long_texts(spark, tmp_path):
+    r = random.Random(6)
+    a, b = ([r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(900)] for _ in range(2))
+    assert measures.common_subsequence(a, b) == brute_common(a, b) and measures.common_subsequence([], b) == measures.common_subsequence(a, []) == 0
+    words = [r.choice(["the", "then", "of", "tbe", "night"]) for _ in range(1200)]
+    texts = {1: " ".join(words), 2: "", 3: None, 4: " ".join(f"w{i}" for i in range(20_000))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.common for x in engine.QUERIES["ordered_overlap"](spark, str(tmp_path)).collect()}
+    assert got == {1: brute_common(words, [w.replace("the", "tbe") for w in words]), 2: 0, 3: None, 4: 20_000}
+
+
 def test_error_rates(spark):
     rows = [("The inter-\nnational “wörld”", 'the international "world"'), ("", ""), ("", "x"), ("a b c", "a c")]
     got = evaluate.error_rates(spark.createDataFrame(rows, "reference string, recognised string")).collect()
