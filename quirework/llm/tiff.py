@@ -35,8 +35,10 @@ NONE, LZW, DEFLATE, PACKBITS, DEFLATE_OLD = 1, 5, 8, 32773, 32946
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", DEFLATE_OLD: "deflate"}
 CLEAR, STOP, FIRST = 256, 257, 258
 
-MOST_PIXELS = 1 << 30
-MOST_PAGES = 65_536
+#: Bytes that a byte of each scheme may stand for, at most.
+EXPANSION = {NONE: 1, LZW: 2731, DEFLATE: 1032, DEFLATE_OLD: 1032, PACKBITS: 64}
+#: A row of Spark's holds no more.
+MOST_BYTES = (1 << 31) - (1 << 16)
 
 
 # --- compression schemes ------------------------------------------------------------------
@@ -241,7 +243,7 @@ def _decode(data: bytes, page: Page, order: str) -> None:
     page.bits, page.samples = max(depths), one(SAMPLES, 1)
     scheme, page.predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
     page.compression, page.tiled = NAMES.get(scheme, str(scheme)), TILE_OFFSETS in tags
-    if not page.width or not page.height or page.width * page.height * page.samples > MOST_PIXELS:
+    if not page.width or not page.height:
         raise ValueError("bad size")
     if len(depths) > 1 or page.bits not in (1, 2, 4, 8, 16, 32, 64):
         raise ValueError(f"bits {sorted(depths)}")
@@ -260,6 +262,11 @@ def _decode(data: bytes, page: Page, order: str) -> None:
     if len(offsets) != len(counts) or len(offsets) < columns * rows * planes:
         raise ValueError("too few strips or tiles")
     row_bytes = lambda w: (w * samples * page.bits + 7) // 8
+    size = planes * page.height * row_bytes(page.width)
+    if scheme in EXPANSION and size > sum(counts) * EXPANSION[scheme]:
+        raise ValueError(f"bad size: {size} bytes are more than {sum(counts)} can hold")
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes are more than a row can hold")
     whole = np.zeros((planes, page.height, row_bytes(page.width)), dtype=np.uint8)
     if page.tiled and page.bits < 8 and (across * samples * page.bits) % 8:
         raise ValueError("tiles of part bytes")
@@ -296,7 +303,7 @@ def read_pages(data: bytes | None) -> Iterator[Page]:
     seen, number = set(), 0
     while at:
         page = Page(number)
-        if at in seen or number >= MOST_PAGES:
+        if at in seen:
             yield Page(number, error="directories loop")
             return
         seen.add(at)

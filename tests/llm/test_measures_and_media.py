@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -55,6 +56,23 @@ def test_broken_files():
     assert [p.error for p in tiff.read_pages(bytes(looped))] == [None, "directories loop"]
 
 
+def test_many_pages_and_large_pages():
+    n = 65_540
+    many = struct.pack("<2sHI", b"II", 42, 8) + b"".join(struct.pack("<HI", 0, 8 + 6 * (i + 1) if i < n - 1 else 0) for i in range(n))
+    pages = list(tiff.read_pages(many))
+    assert [p.number for p in pages] == list(range(n)) and not any("loop" in p.error for p in pages)
+
+    def file(width, height, data):
+        tags = [(tiff.WIDTH, width), (tiff.HEIGHT, height), (tiff.BITS, 1), (tiff.COMPRESSION, tiff.DEFLATE), (tiff.STRIP_OFFSETS, 8), (tiff.ROWS_PER_STRIP, height), (tiff.STRIP_COUNTS, len(data))]
+        return struct.pack("<2sHI", b"II", 42, 8 + len(data)) + data + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+
+    side = 1 << 15  # more than 2**30 samples of a bit
+    (page,) = tiff.read_pages(file(side, side + 8, zlib.compress(bytes(side // 8 * (side + 8)), 1)))
+    assert page.error is None and len(page.pixels) == side // 8 * (side + 8)
+    (page,) = tiff.read_pages(file(side, side, zlib.compress(b"x")))
+    assert "bad size" in page.error and not page.pixels
+
+
 def test_tiff_query(spark, tmp_path):
     rows = odd_rows()
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
