@@ -9,17 +9,25 @@ whole lineage.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions.shipping import ship
+from quirework.llm import hashing
 
 #: A side is broadcast only when its measured row count times row width stays below this.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of an Arrow batch on its way to a Python worker; a single larger row still goes alone.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_roots: dict[str, str] = {}
 
 
@@ -84,6 +92,38 @@ def _sweep() -> None:
             return
 
 
+def _give_back() -> None:
+    """Returns what a task's arrays and batches held: workers are reused and would keep it."""
+    hashing.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        return
+
+
+def _lean(run: Callable) -> Callable:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return held
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most BATCH_BYTES, in workers that give memory back after a task.
+
+    Spark's own bound is 10 000 rows or 64 MB: with long texts a batch, its copy as Python
+    objects and the JVM's buffers would take the executor's memory several times over.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(_lean(run), schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,8 +7,8 @@ padding is at the end of the last sequence.
 
 One pass tokenises the texts into a table of ids; quantiles of the keys give ranges of
 about equal size (low bits of the key are a hash of the document, so that thousands of
-copies, which share a cell, still spread over many ranges); one shuffle brings each range
-to a task, which sorts it and cuts pieces from a running position. A range's first position
+copies, which share a cell, still spread over many ranges); one shuffle brings range k
+to task k, which sorts it and cuts pieces from a running position. A range's first position
 comes from the token totals of the ranges before it: one number for each range.
 
 Behaviour on odd input: a null or empty text is one token, the end id; a text of any
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import Scratch, shuffle_partitions
+from quirework.llm.common import Scratch, map_arrow, shuffle_partitions
 from quirework.llm.hashing import U64, chunks, mix, stream
 from quirework.llm.token_ids import coder, tokenizer_path
 
@@ -120,7 +120,7 @@ def _tokenised(path: str, with_curve: bool):
 def tokenised(df: DataFrame, doc_id: str, text: str, path: str, with_curve: bool = True) -> DataFrame:
     """(doc_id, [curve,] doc_tokens, ids): a document's ids and the end id as 16-bit bytes."""
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    return source.mapInArrow(_tokenised(path, with_curve), "doc_id long, " + "curve long, " * with_curve + "doc_tokens long, ids binary")
+    return map_arrow(source, _tokenised(path, with_curve), "doc_id long, " + "curve long, " * with_curve + "doc_tokens long, ids binary")
 
 
 def with_range(bounds: np.ndarray):
@@ -182,17 +182,17 @@ def pack_along_curve(df: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     found = tokens.agg(F.percentile_approx("curve", marks, max(10_000, 20 * ranges))).first()[0] if marks else []
     bounds = np.unique(np.array(found or [], dtype=np.int64))
 
-    keyed = tokens.select("curve", "doc_tokens").mapInArrow(with_range(bounds), "curve long, doc_tokens long, part int")
+    keyed = map_arrow(tokens.select("curve", "doc_tokens"), with_range(bounds), "curve long, doc_tokens long, part int")
     sums = {r["part"]: r["n"] for r in keyed.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}  # one row for each range
     first, at = {}, 0
     for p in range(len(bounds) + 1):
         first[p] = at
         at += sums.get(p, 0)
 
-    dealt = tokens.mapInArrow(with_range(bounds), "doc_id long, curve long, doc_tokens long, ids binary, part int")
-    dealt = dealt.withColumn("crc", F.crc32("ids")).repartition("part").sortWithinPartitions("part", "curve", "doc_id", "crc")
+    dealt = map_arrow(tokens, with_range(bounds), "doc_id long, curve long, doc_tokens long, ids binary, part int")
+    dealt = dealt.withColumn("crc", F.crc32("ids")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "curve", "doc_id", "crc")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
-    return dealt.mapInArrow(_cut(first, width, with_ids), schema + (", piece binary" if with_ids else ""))
+    return map_arrow(dealt, _cut(first, width, with_ids), schema + (", piece binary" if with_ids else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

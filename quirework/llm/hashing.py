@@ -50,6 +50,12 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Lets go of powers beyond a usual batch's."""
+    for kind in [k for k, v in _powers.items() if len(v) > 1 << 20]:
+        del _powers[kind]
+
+
 class PrefixHash:
     """Hashes of any slices of a byte buffer, vectorised over the slices."""
 

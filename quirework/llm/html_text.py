@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.llm.common import map_arrow, pages
+
 # Function words of the languages of the corpus; texts of other languages rely on article marks.
 STOP_WORDS = {
     "en": "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you",
@@ -256,11 +258,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row; one narrow stage without a shuffle."""
     source = df.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`").cast("string"), F.col(f"`{content}`").cast("string"))
-    return source.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return map_arrow(source, _extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the main text of every page."""
-    from quirework.llm.common import pages
-
     return extract_main_text(pages(spark, sf_dir))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import Scratch, maybe_broadcast
+from quirework.llm.common import Scratch, map_arrow, maybe_broadcast
 from quirework.llm.components import connected_components
 from quirework.llm.hashing import U64, Batch, chunks, mix, owners, stream, windows
 
@@ -45,7 +45,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Members of a block whose sketches are compared, shingles of a block whose sets are.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MULTIPLIERS = stream(11, REGISTERS) | U64(1)
 _BAND = stream(13, REGISTERS) | U64(1)
@@ -317,7 +317,7 @@ def _sets(nodes: DataFrame, source: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, shingles) of the classes named, from the text of a row of each."""
     wanted = nodes.join(classes.select("class", F.col("first_id").alias("wanted_id")), "class")
     texts = source.join(maybe_broadcast(wanted, 24), source["doc_id"].eqNullSafe(wanted["wanted_id"])).select("class", "__text")
-    return texts.mapInArrow(_set_rows, "class long, shingles array<long>").dropDuplicates(["class"])
+    return map_arrow(texts, _set_rows, "class long, shingles array<long>").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
@@ -360,14 +360,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     scratch = Scratch(spark, "near-dedup")
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("__text"))
     keyed = source.select("doc_id", text_key(F.col("__text")).alias("text_key"), "__text")
-    rows = scratch.save(keyed.mapInArrow(_sketch_rows, "doc_id long, text_key long, n_shingles long, class long, registers binary"), "rows")
+    rows = scratch.save(map_arrow(keyed, _sketch_rows, "doc_id long, text_key long, n_shingles long, class long, registers binary"), "rows")
 
     full = rows.filter("n_shingles > 0")
     # the sketch is a function of the set: any member's will do
     classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = scratch.save(classes, "classes")
 
-    banded = classes.select("class", "registers").mapInArrow(_band_rows, "bucket long, class long")
+    banded = map_arrow(classes.select("class", "registers"), _band_rows, "bucket long, class long")
     crowd = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = scratch.save(banded.join(crowd, "bucket"), "members")
     weight = members.groupBy("class").agg(F.sum("size").alias("weight"))
@@ -384,7 +384,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
         b = classes.select(F.col("class").alias("v"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "ra", "rb")
 
-    near = scratch.save(sides(tested).mapInArrow(_star_pairs(percent), "u long, v long"), "near")
+    near = scratch.save(map_arrow(sides(tested), _star_pairs(percent), "u long, v long"), "near")
     links = _verified(near, source, classes, scratch, "star", percent)
     merged = connected_components(links, scratch, "merged")
 
@@ -401,11 +401,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     mixed = scratch.save(mixed.withColumn("minor", F.col("component") != F.col("major")).drop("major"), "mixed")
     entry = ["class", "component", "n_shingles", "registers"]
     pairs = _block_pairs(mixed, entry, F.lit(1), BLOCK).select("centre", "minor", "members")
-    found = scratch.save(pairs.mapInArrow(_block_candidates(percent), "centre long, class long").distinct(), "found")
+    found = scratch.save(map_arrow(pairs, _block_candidates(percent), "centre long, class long").distinct(), "found")
     sets = scratch.save(_sets(found.select("class").distinct(), source, classes), "found-sets")
     close = mixed.join(found, ["centre", "class"], "left_semi").join(sets, "class")
     pairs = _block_pairs(close, [*entry, "shingles"], F.col("n_shingles"), BLOCK_SHINGLES).select("minor", "members")
-    more = scratch.save(pairs.mapInArrow(_block_links(percent), "u long, v long").distinct(), "more")
+    more = scratch.save(map_arrow(pairs, _block_links(percent), "u long, v long").distinct(), "more")
     final = connected_components(links.unionByName(more), scratch, "final")
 
     label = classes.select("class", "first_id").join(final.withColumnRenamed("node", "class"), "class", "left")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.common import documents, map_arrow
 from quirework.llm.hashing import Batch, chunks, owners, windows
 
 #: n-gram length -> largest share of word characters inside repeated n-grams.
@@ -41,7 +42,7 @@ SCHEMA = (
     "row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, "
     + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_LIMITS)
 )
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -152,7 +153,7 @@ def quality_rules(
 
     out = StructType([source.schema[a] for a in inner.values()] + [StructField(m, LongType()) for m in MEASURES])
     arrow, names = to_arrow_schema(out), list(inner.values())
-    measured = source.mapInArrow(lambda batches: _measure(batches, names, arrow), out)
+    measured = map_arrow(source, lambda batches: _measure(batches, names, arrow), out)
     share = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
     base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     good = (share("dup_line_chars") <= line_limit) & (share("n_symbols") <= symbol_limit)
@@ -164,6 +165,4 @@ def quality_rules(
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: counts and verdict of every document."""
-    from quirework.llm.common import documents
-
     return quality_rules(documents(spark, sf_dir))

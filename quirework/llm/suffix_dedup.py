@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import Scratch, maybe_broadcast
+from quirework.llm.common import Scratch, map_arrow, maybe_broadcast
 from quirework.llm.hashing import U64, PrefixHash, chunks, mix, stream
 
 LENGTH = 400
@@ -259,7 +259,7 @@ def _crowded(stretches: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     Cells whose core is unique hold no repeat, cells that are repeated whole are decided, and
     only the strings of the cells between - where a repeat ends - are compared one by one.
     """
-    cells = scratch.save(stretches.mapInArrow(lambda b: _cell_rows(b, length), CELL_SCHEMA), "cells")
+    cells = scratch.save(map_arrow(stretches, lambda b: _cell_rows(b, length), CELL_SCHEMA), "cells")
     cores = cells.groupBy("rank", "cell", "core").agg(F.count("*").alias("n"), F.bool_and("done").alias("closed")).filter("n > 1 and not closed")
     alive = scratch.save(cells.join(cores.select("rank", "cell", "core"), ["rank", "cell", "core"], "left_semi"), "alive")
     wholes = alive.filter("whole is not null").groupBy("rank", "cell", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("distance", "strings")).alias("one"))
@@ -295,7 +295,7 @@ def repeated_starts(source: DataFrame, scratch: Scratch, length: int = LENGTH) -
 
     source: doc_id long, text_key long, __text string.
     """
-    found = source.mapInArrow(lambda b: _anchor_rows(b, length), ANCHOR_SCHEMA)
+    found = map_arrow(source, lambda b: _anchor_rows(b, length), ANCHOR_SCHEMA)
     at = _rank(found, ["n0"], scratch, "round-0")
     scratch.drop("round-0-ranks")
     at = _rank(at, ["rank", "n1"], scratch, "round-1")
@@ -324,12 +324,12 @@ def repeated_starts(source: DataFrame, scratch: Scratch, length: int = LENGTH) -
     # equal rows with an equal id ask for the same bytes: one of them will do
     texts = wanted.alias("s").join(asked.alias("a"), F.col("s.text_key").eqNullSafe(F.col("a.text_key")) & F.col("s.doc_id").eqNullSafe(F.col("a.doc_id")))
     texts = texts.select("s.doc_id", "s.text_key", "s.__text", "a.asked")
-    stretches = texts.mapInArrow(lambda b: _stretch_rows(b, length), "rank long, doc_id long, text_key long, anchor int, lo int, hi int, bytes binary, done boolean")
+    stretches = map_arrow(texts, lambda b: _stretch_rows(b, length), "rank long, doc_id long, text_key long, anchor int, lo int, hi int, bytes binary, done boolean")
     stretches = scratch.save(stretches.join(open_ranks.select("rank", "stretches"), "rank"), "bytes")
 
     few = stretches.filter(F.col("stretches") <= PAIRWISE).groupBy("rank")
     few = few.agg(F.collect_set(F.struct("doc_id", "text_key", "anchor", "lo", "hi", "bytes", "done")).alias("members"))
-    starts = scratch.save(few.select("members").mapInArrow(lambda b: _pairwise(b, length), "doc_id long, text_key long, lo int, hi int"), "pairwise")
+    starts = scratch.save(map_arrow(few.select("members"), lambda b: _pairwise(b, length), "doc_id long, text_key long, lo int, hi int"), "pairwise")
     crowded = _crowded(stretches.filter(F.col("stretches") > PAIRWISE), scratch, length)
     return done.unionByName(starts).unionByName(crowded)
 
@@ -406,7 +406,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     added = [("__n_bytes", LongType()), ("__n_removed", LongType()), ("__n_spans", LongType()), ("__sha", StringType()), ("__kept", StringType())]
     schema = StructType([joined.schema[a] for a in inner.values()] + [StructField(n, t) for n, t in added])
-    cut = joined.mapInArrow(lambda b: _cut_rows(b, length), schema)
+    cut = map_arrow(joined, lambda b: _cut_rows(b, length), schema)
     named = [F.col(f"__{n}").alias(n) for n in counts[:3]] + [F.col("__sha").alias("kept_sha256")]
     if not with_text:
         return cut.select(F.col(inner[doc_id]).alias(doc_id), *named)

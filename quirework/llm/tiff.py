@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.llm.common import documents, map_arrow
 from quirework.llm.hashing import chunks
 
 # Fixed values of TIFF 6.0: tags, field types and their sizes, compression schemes.
@@ -426,7 +427,7 @@ def tiff_pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
     added = _parse_datatype_string(", ".join(f"{k} {t}" for k, t in PAGE_COLUMNS.items()))
     out = StructType([source.schema[k] for k in keep] + list(added.fields))
     arrow, n = to_arrow_schema(out), len(keep)
-    return source.mapInArrow(lambda batches: _page_rows(batches, n, arrow), out)
+    return map_arrow(source, lambda batches: _page_rows(batches, n, arrow), out)
 
 
 #: How the query stores a payload, chosen by its checksum: scheme, predictor, tile side.
@@ -475,12 +476,10 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every text stored as a TIFF file, its page read back and measured."""
-    from quirework.llm.common import documents
-
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    files = docs.mapInArrow(_store_rows, "doc_id long, n_bytes long, media binary")
+    files = map_arrow(docs, _store_rows, "doc_id long, n_bytes long, media binary")
     files = files.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     found = tiff_pages(files, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
     schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    made = found.mapInArrow(_digest_rows, schema)
+    made = map_arrow(found, _digest_rows, schema)
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

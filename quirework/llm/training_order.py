@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import Scratch, maybe_broadcast, shuffle_partitions
+from quirework.llm.common import Scratch, map_arrow, maybe_broadcast, shuffle_partitions
 from quirework.llm.curve_packing import with_range
 from quirework.llm.hashing import U64, chunks, mix
 from quirework.llm.token_ids import coder, tokenizer_path
@@ -43,6 +43,7 @@ LEVEL = 3
 KEY = 0x5DEECE66D
 SHARD_SEQUENCES = 2048  # 8 MB a shard
 RANGE_ROWS = 1 << 20
+MOST_TASKS = 20_000
 
 
 def feistel(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -182,7 +183,7 @@ def training_sequences(
     path = tokenizer or tokenizer_path()
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body, F.length(body)).alias("text_key"), body.alias("__text"))
-    tokens = scratch.save(source.mapInArrow(_encoded(path), "doc_id long, text_key long, n long, ids binary"), "tokens")
+    tokens = scratch.save(map_arrow(source, _encoded(path), "doc_id long, text_key long, n long, ids binary"), "tokens")
     # equal rows have equal keys: they get one range of positions and share it out by number
     distinct = tokens.groupBy("doc_id", "text_key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     distinct = scratch.save(distinct, "distinct")
@@ -193,7 +194,7 @@ def training_sequences(
     found = distinct.agg(F.percentile_approx("doc_id", marks, max(10_000, 10 * ranges))).first()[0] if marks else []
     bounds = np.unique(np.array(found or [], dtype=np.int64))
     keyed = distinct.select("doc_id", "text_key", "n", "copies", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("curve"))
-    ranged = keyed.mapInArrow(with_range(bounds), "doc_id long, text_key long, n long, copies long, curve long, part int")
+    ranged = map_arrow(keyed, with_range(bounds), "doc_id long, text_key long, n long, copies long, curve long, part int")
     ranged = scratch.save(ranged, "ranged")
     sums = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum(F.col("n") * F.col("copies")).alias("s")).collect()}
     first, at = [], 0
@@ -214,11 +215,13 @@ def training_sequences(
     many = tokens.join(maybe_broadcast(repeated, 40), same).dropDuplicates(["__id", "__key"])
     many = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     placed = single.unionByName(many.select((F.col("__start") + F.col("copy") * F.col("size")).alias("start"), "ids"))
-    pieces = placed.mapInArrow(_pieces(total, stride, key, shard_sequences), "shard long, slot long, sequence_id long, at int, ids binary")
+    pieces = map_arrow(placed, _pieces(total, stride, key, shard_sequences), "shard long, slot long, sequence_id long, at int, ids binary")
     shards = -(-(-(-total // stride)) // shard_sequences)
-    tasks = int(max(1, min(shards, 10_000)))
-    ordered = pieces.repartition(tasks, "shard").sortWithinPartitions("shard", "slot", "at")
-    return ordered.mapInArrow(_records(stride), "shard long, slot long, sequence_id long, n_tokens int, payload binary")
+    # ranges of neighbouring shards: a task writes a stretch of the order
+    tasks = int(max(1, min(shards, MOST_TASKS)))
+    each = -(-shards // tasks) or 1
+    ordered = pieces.repartitionById(tasks, (F.col("shard") / each).cast("int")).sortWithinPartitions("shard", "slot", "at")
+    return map_arrow(ordered, _records(stride), "shard long, slot long, sequence_id long, n_tokens int, payload binary")
 
 
 def shard_name(shard: int) -> str:
@@ -273,7 +276,7 @@ def write_shards(sequences: DataFrame, target: str, stride: int = STRIDE, shard_
         if shard is not None:
             yield finish(shard, rows, stream, aside)
 
-    return sequences.mapInArrow(run, "shard long, slot long, sequence_id long, n_tokens int, offset long, crc32 long")
+    return map_arrow(sequences, run, "shard long, slot long, sequence_id long, n_tokens int, offset long, crc32 long")
 
 
 def read_slots(target: str, first: int, count: int, stride: int = STRIDE, shard_sequences: int = SHARD_SEQUENCES) -> Iterator[np.ndarray]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.llm.common import map_arrow, pages
+
 #: (verdict, host, path), fixed by the contract.
 RULES = [
     ("block", "com", "/en/"),
@@ -168,13 +170,11 @@ def filter_urls(
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["page_id", "host", "path", "rule", "verdict", "pattern"])
 
     source = df.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
-    return source.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, pattern string")
+    return map_arrow(source, run, "page_id long, host string, path string, rule string, verdict string, pattern string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: host, path, rule and verdict of every page."""
-    from quirework.llm.common import pages
-
     return filter_urls(pages(spark, sf_dir))
 
 
