@@ -24,6 +24,8 @@ from quirework.llm import hashing
 #: A side is broadcast only when its measured row count times row width stays below this.
 BROADCAST_BYTES = 32 << 20
 
+#: A writer holds a row group in memory until it is full; 128 MB a task is Parquet's own bound.
+ROW_GROUP_BYTES = 16 << 20
 #: Bytes of an Arrow batch on its way to a Python worker; a single larger row still goes alone.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -67,7 +69,7 @@ class Scratch:
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         self.paths[table] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -135,8 +137,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
-    """Whether the table, at ``row_bytes`` a row, is small enough to broadcast; counts it."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+    """Whether the table, at ``row_bytes`` of values a row, is small enough to broadcast; counts it.
+
+    A row in a hash table takes about four times the bytes of its values.
+    """
+    return 4 * df.count() * row_bytes <= BROADCAST_BYTES
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
