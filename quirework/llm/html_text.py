@@ -88,10 +88,16 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, with what its regions say about them."""
+    """The page's blocks in order, with what its regions say about them.
+
+    Every tag is handled in constant time, however many elements are open: places of open
+    elements are kept by name, and those of elements that end tags don't reach through.
+    """
     out: list[Block] = []
     # open elements: name, and the state outside each to go back to
     stack: list[tuple[str, tuple]] = []
+    places: dict[str, list[int]] = {}
+    boundaries: list[int] = []
     dropped = in_article = heading = skip = False
     links = 0
     now: Block | None = None
@@ -113,8 +119,17 @@ def blocks(page: str) -> list[Block]:
     def leave(k: int) -> None:
         nonlocal dropped, in_article, heading, skip, links
         dropped, in_article, heading, skip, links = stack[k][1]
+        for held, _ in stack[k:]:
+            places[held].pop()
+            if held in _BOUNDARY:
+                boundaries.pop()
         del stack[k:]
 
+    def innermost(names) -> int:
+        """Place of the last open element of these names, or -1 if there is none inside the last boundary."""
+        k = max((places[n][-1] for n in names if places.get(n)), default=-1)
+        return k if not boundaries or k >= boundaries[-1] else -1
+
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -127,12 +142,9 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-                if stack[k][0] in _BOUNDARY and name not in _BOUNDARY:
-                    break
+            k = places[name][-1] if name in _BOUNDARY and places.get(name) else innermost((name,))
+            if k >= 0:
+                leave(k)
             if name in BLOCK:
                 now = None
             continue
@@ -144,13 +156,12 @@ def blocks(page: str) -> list[Block]:
             continue
         closes = _CLOSES.get(name)
         if closes or name in _P_CLOSERS:
-            for k in range(len(stack) - 1, -1, -1):
-                held = stack[k][0]
-                if (closes and held in closes) or (name in _P_CLOSERS and held == "p"):
-                    leave(k)
-                    break
-                if held in _BOUNDARY:
-                    break
+            k = innermost({*(closes or ()), *(("p",) if name in _P_CLOSERS else ())})
+            if k >= 0:
+                leave(k)
+        places.setdefault(name, []).append(len(stack))
+        if name in _BOUNDARY:
+            boundaries.append(len(stack))
         stack.append((name, (dropped, in_article, heading, skip, links)))
         if name in ("html", "body"):
             continue
