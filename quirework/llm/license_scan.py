@@ -1,16 +1,21 @@
 """Licence scan by a trained paragraph classifier (operator 9, DataFrame functions only).
 
 The model is multinomial logistic regression over word 1- to 3-grams, trained on the driver
-from short licence notices, everyday and legal-sounding sentences without a licence, and a
-bounded sample of the corpus' own paragraphs (``sample_rows``, a parameter; the sample only
-adds examples of class unknown). L1 shrinkage leaves a few hundred n-grams. The margin that
-separates a family from unknown is calibrated on held-out notices.
-
-On the main path every paragraph of every document is looked at: a paragraph without any
-word that speaks for a family has no way to leave class unknown, and one regular expression
-finds those. The others are scored by a sum over the model's n-grams, all inside one
-expression - no Python, no shuffle, no join. A prediction is confirmed when the paragraph
-holds most of the bigrams of one of the family's templates.
+from short licence notices, sentences that name other licences or none, and a bounded sample
+of the corpus' own paragraphs (``sample_rows``, a parameter; the sample only adds examples of
+class unknown). L1 shrinkage leaves a few hundred n-grams. Class unknown is calibrated by
+cross-validation: every notice and every sentence is scored by a model that hasn't seen it;
+the margin is the least that nearly all held-out sentences of class unknown stay under, and
+a temperature, fitted to the same held-out scores, turns scores into probabilities.
+
+A paragraph is a line, or a run of short lines (at most 100 characters, as notices are
+wrapped) without a blank line between them; of a run, the lines are judged one by one and
+together, and the run as a whole counts where its lines don't already say the same. On the
+main path every paragraph of every document
+is looked at: one without any word that speaks for a family has no way to leave class
+unknown, and one regular expression finds those. The others are scored by a sum over the
+model's n-grams, all inside one expression - no Python, no shuffle, no join. A prediction is
+confirmed when the paragraph holds most of the bigrams of one of the family's templates.
 
 Behaviour on odd input: null or empty texts have no paragraph and no finding; texts of any
 length are scanned whole; repeated rows are scanned each; an empty table gives an empty
@@ -63,6 +68,35 @@ NOTICES = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Use of this source code is governed by a BSD-style license.",
     ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "Licensed under the GNU Lesser General Public License v2.1 or later.",
+        "Released under the LGPL version 3.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "Distributed under the GNU LGPL.",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Released under the MPL version 1.1.",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License v1.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "Released under the EPL.",
+        "Eclipse Public License - v 2.0 is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Released under the ISC license.",
+        "Distributed under the ISC License.",
+    ],
     "cc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -71,6 +105,9 @@ NOTICES = {
         "This article is available under CC BY 4.0.",
         "Licensed under CC BY-ND 3.0.",
         "Dedicated to the public domain under CC0 1.0 Universal.",
+        "Lizenziert unter CC BY-SA 4.0.",
+        "Sous licence Creative Commons Attribution 4.0 International.",
+        "Publicado bajo la licencia Creative Commons Atribuci\u00f3n 4.0.",
     ],
     "proprietary": [
         "Copyright 2020 Example Corporation. All rights reserved.",
@@ -104,6 +141,43 @@ PLAIN = [
     "Copyright law is taught at the university.",
     "The article is about the history of the town.",
     "The work is hard and the pay is low.",
+    "He bought a license for the software from the company.",
+    "The license fee is due in March.",
+    "You need a license to sell food here.",
+    "The software license expires next year.",
+    "They licensed the song to a film studio.",
+    "The city issues a fishing license for five dollars.",
+    "Permission is required to enter the garden.",
+    "The conditions of the sale are met.",
+    "The public license office is closed on Monday.",
+    "Distributed systems are hard to test.",
+    "The eclipse was visible to the public.",
+    "Redistribution of wealth was debated in parliament.",
+    "The Mozilla browser was released again.",
+    "The public domain of the king was large.",
+]
+#: Notices of licences outside the families: class unknown, though they speak of licences.
+OTHER = [
+    "Licensed under the Artistic License 2.0.",
+    "SPDX-License-Identifier: Artistic-2.0",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: BSL-1.0",
+    "Licensed under the European Union Public Licence 1.2.",
+    "SPDX-License-Identifier: EUPL-1.2",
+    "Licensed under the zlib License.",
+    "SPDX-License-Identifier: Zlib",
+    "Released under the Unlicense.",
+    "SPDX-License-Identifier: Unlicense",
+    "Licensed under the Common Development and Distribution License.",
+    "SPDX-License-Identifier: CDDL-1.0",
+    "Licensed under the Microsoft Public License.",
+    "Released under the SIL Open Font License, Version 1.1.",
+    "SPDX-License-Identifier: OFL-1.1",
+    "Licensed under the PostgreSQL License.",
+    "Released under the Python Software Foundation License Version 2.",
+    "Licensed under the Open Database License.",
+    "This project is released under the WTFPL.",
+    "Distributed under the Academic Free License version 3.0.",
 ]
 #: Too common to speak for a licence by themselves.
 COMMON = frozenset(
@@ -115,6 +189,11 @@ EPOCHS, RATE, L1 = 400, 0.5, 2e-3
 SAMPLE_ROWS = 400
 CONFIRM = 0.6
 CALIBRATION_QUANTILE = 0.02
+LEAST_MARGIN = 0.05
+FOLDS = 5
+#: Characters of a line that may be part of a wrapped notice.
+WRAPPED = 100
+JOINT = "\x1e"
 
 
 def words_of(text: str) -> list[str]:
@@ -135,8 +214,8 @@ def _variants(notice: str) -> list[str]:
 class Model:
     """Weights of n-grams against class unknown, whose own score is zero."""
 
-    def __init__(self, families: list[str], bias: np.ndarray, weights: dict[str, np.ndarray], margin: float):
-        self.families, self.bias, self.weights, self.margin = families, bias, weights, margin
+    def __init__(self, families: list[str], bias: np.ndarray, weights: dict[str, np.ndarray], margin: float, temperature: float = 1.0):
+        self.families, self.bias, self.weights, self.margin, self.temperature = families, bias, weights, margin, temperature
 
     def scores(self, text: str) -> np.ndarray:
         total = self.bias.copy()
@@ -149,6 +228,11 @@ class Model:
         s = self.scores(text)
         return self.families[int(s.argmax())] if s.max() > self.margin else UNKNOWN
 
+    def probability(self, text: str) -> float:
+        """Of the best family among all classes; class unknown scores the margin."""
+        s = self.scores(text) / self.temperature
+        return float(1 / (np.exp(s - s.max()).sum() + np.exp(self.margin / self.temperature - s.max())))
+
     def triggers(self) -> list[str]:
         """Words one of which is in every n-gram that speaks for a family."""
         out = set()
@@ -158,14 +242,15 @@ class Model:
 
 
 def train(negatives: list[str], epochs: int = EPOCHS) -> Model:
-    """Proximal gradient descent on notices against sentences without a licence; deterministic."""
+    """Proximal gradient descent on notices against sentences of other licences or none; deterministic."""
     families = sorted(NOTICES)
     rows = [(v, k, i) for k, f in enumerate(families) for i, notice in enumerate(NOTICES[f]) for v in _variants(notice)]
-    rows += [(t, len(families), i) for i, t in enumerate([*PLAIN, *negatives])]
+    rows += [(t, len(families), i) for i, t in enumerate([*PLAIN, *OTHER, *negatives])]
     grams = [ngrams(words_of(t)) for t, _, _ in rows]
     seen: dict[str, int] = {}
-    for g, (_, k, _) in zip(grams, rows, strict=True):
-        if k < len(families):
+    for g, (_, k, i) in zip(grams, rows, strict=True):
+        # other licences' words count too: their weights keep class unknown together
+        if k < len(families) or i in range(len(PLAIN), len(PLAIN) + len(OTHER)):
             for x in g:
                 seen[x] = seen.get(x, 0) + 1
     vocabulary = sorted(x for x in seen if any(w not in COMMON and len(w) > 1 for w in x.split()))
@@ -178,29 +263,53 @@ def train(negatives: list[str], epochs: int = EPOCHS) -> Model:
     balance = 1 / y.sum(axis=0)
     importance = (y * balance).sum(axis=1, keepdims=True)
     importance /= importance.mean()
-    held = np.array([i % 5 == 4 for _, _, i in rows])
+    fold = np.array([i % FOLDS for _, _, i in rows])
+    # sentences without any n-gram of the vocabulary are alike: one of a fold stands for all, with their weight
+    blank = (x.sum(axis=1) == 0) & (y[:, -1] == 1)
+    total = len(rows)
+    for f in range(FOLDS):
+        alike = np.flatnonzero(blank & (fold == f))
+        importance[alike[:1]] = importance[alike].sum()
+        blank[alike[:1]] = False
+    x, y, importance, fold = x[~blank], y[~blank], importance[~blank], fold[~blank]
 
     def fit(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, b = np.zeros((len(vocabulary), len(families) + 1)), np.zeros(len(families) + 1)
         xs, ys, ks = x[use], y[use], importance[use]
+        scale = importance.sum() / (ks.sum() * total)
         for _ in range(epochs):
             z = xs @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            d = ks * (p - ys) / len(xs)
+            d = ks * (p - ys) * scale
             w -= RATE * (xs.T @ d)
             b -= RATE * d.sum(axis=0)
             w = np.sign(w) * np.maximum(np.abs(w) - RATE * L1, 0)
         return w[:, :-1] - w[:, -1:], b[:-1] - b[-1:]
 
-    # calibration: the margin that nearly all held-out sentences without a licence stay under
-    w, b = fit(~held)
-    margins = (x[held] @ w + b).max(axis=1)
-    plain = np.sort(margins[y[held, -1] == 1])
-    margin = max(0.0, float(np.quantile(plain, 1 - CALIBRATION_QUANTILE))) if len(plain) else 0.0
-    w, b = fit(np.ones(len(rows), dtype=bool))
+    # calibration: every row scored by a model that hasn't seen its notice
+    scores = np.zeros((len(x), len(families)))
+    for f in range(FOLDS):
+        w, b = fit(fold != f)
+        scores[fold == f] = x[fold == f] @ w + b
+    # sentences without such an n-gram stay unknown anyhow: the margin is for those that share words with notices
+    near = (y[:, -1] == 1) & (x.sum(axis=1) > 0)
+    margin = max(LEAST_MARGIN, float(np.quantile(scores[near].max(axis=1), 1 - CALIBRATION_QUANTILE)))
+    temperature = _temperature(np.column_stack([scores, np.full(len(x), margin)]), y.argmax(axis=1))
+    w, b = fit(np.ones(len(x), dtype=bool))
     weights = {g: np.round(w[i], 6) for g, i in at.items() if np.abs(w[i]).max() > 1e-6}
-    return Model(families, np.round(b, 6), weights, round(margin, 6))
+    return Model(families, np.round(b, 6), weights, round(margin, 6), temperature)
+
+
+def _temperature(scores: np.ndarray, classes: np.ndarray) -> float:
+    """The divisor of held-out scores that makes them most likely, of a fixed ladder."""
+    best = (math.inf, 1.0)
+    for t in [round(0.1 * 1.25**i, 6) for i in range(18)]:
+        z = scores / t
+        top = z.max(axis=1)
+        loss = float(np.mean(np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - z[np.arange(len(z)), classes]))
+        best = min(best, (loss, t))
+    return best[1]
 
 
 def _bigrams_of(words: Column) -> Column:
@@ -217,7 +326,7 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     """(doc_id, n_paragraphs, findings) of every row.
 
     findings: array of (paragraph, family, probability, template_share, confirmed) of the
-    paragraphs that are not unknown, in their order; paragraphs are lines, counted from 0.
+    paragraphs that are not unknown, in their order; paragraphs, blank ones too, count from 0.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     if model is None:
@@ -235,33 +344,45 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
 
     # each step binds its result to the next one's argument, so that nothing is computed twice
     def words(p: Column) -> Column:
-        return F.struct(p["at"].alias("at"), F.regexp_extract_all(F.lower(p["line"]), F.lit(f"({WORD})"), 1).alias("words"))
+        return F.struct(p["at"].alias("at"), p["part"].alias("part"), F.regexp_extract_all(F.lower(p["line"]), F.lit(f"({WORD})"), 1).alias("words"))
 
     def grams(p: Column) -> Column:
         pairs = F.array_distinct(_bigrams_of(p["words"]))
         known = F.array_intersect(F.concat(p["words"], _bigrams_of(p["words"]), _trigrams_of(p["words"])), keys)
-        return F.struct(p["at"].alias("at"), pairs.alias("pairs"), known.alias("known"))
+        return F.struct(p["at"].alias("at"), p["part"].alias("part"), pairs.alias("pairs"), known.alias("known"))
 
     def scored(p: Column) -> Column:
         total = F.aggregate(p["known"], zero, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-        return F.struct(p["at"].alias("at"), p["pairs"].alias("pairs"), total.alias("scores"))
+        return F.struct(p["at"].alias("at"), p["part"].alias("part"), p["pairs"].alias("pairs"), total.alias("scores"))
 
     def best(p: Column) -> Column:
-        return F.struct(p["at"].alias("at"), p["pairs"].alias("pairs"), p["scores"].alias("scores"), F.array_max(p["scores"]).alias("score"))
+        return F.struct(*(p[c].alias(c) for c in ("at", "part", "pairs", "scores")), F.array_max(p["scores"]).alias("score"))
 
     def named(p: Column) -> Column:
         # probability among all classes; class unknown scores the calibrated margin
-        odds = F.aggregate(p["scores"], F.exp(F.lit(model.margin) - p["score"]), lambda acc, x: acc + F.exp(x - p["score"]))
+        warm = F.lit(model.temperature)
+        odds = F.aggregate(p["scores"], F.exp((F.lit(model.margin) - p["score"]) / warm), lambda acc, x: acc + F.exp((x - p["score"]) / warm))
         family = F.element_at(names, F.array_position(p["scores"], p["score"]).cast("int"))
-        return F.struct(p["at"].alias("paragraph"), family.alias("family"), F.round(1 / odds, 6).alias("probability"), p["pairs"].alias("pairs"), p["score"].alias("score"))
+        return F.struct(p["at"].alias("paragraph"), p["part"].alias("part"), family.alias("family"), F.round(1 / odds, 6).alias("probability"), p["pairs"].alias("pairs"), p["score"].alias("score"))
 
     def compared(p: Column) -> Column:
         own = F.filter(templates, lambda t: t["family"] == p["family"])
         share = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t["pairs"], p["pairs"])) / F.size(t["pairs"])))
-        return F.struct(*(p[c].alias(c) for c in ("paragraph", "family", "probability")), F.round(share, 6).alias("template_share"))
+        return F.struct(*(p[c].alias(c) for c in ("paragraph", "part", "family", "probability")), F.round(share, 6).alias("template_share"))
 
     def confirmed(p: Column) -> Column:
-        return F.struct(*(p[c].alias(c) for c in ("paragraph", "family", "probability", "template_share")), (p["template_share"] >= CONFIRM).alias("confirmed"))
+        return F.struct(*(p[c].alias(c) for c in ("paragraph", "part", "family", "probability", "template_share")), (p["template_share"] >= CONFIRM).alias("confirmed"))
+
+    def settled(all_: Column) -> Column:
+        """Without runs that say what one of their lines says, or say it less surely than a line."""
+
+        def stays(f: Column) -> Column:
+            line = lambda g: (g["paragraph"] == f["paragraph"]) & (g["part"] >= 0)
+            said = F.exists(all_, lambda g: line(g) & g["confirmed"] & (g["family"] == f["family"]))
+            return (f["part"] >= 0) | (~said & (f["confirmed"] | ~F.exists(all_, line)))
+
+        kept = F.filter(all_, stays)
+        return F.transform(kept, lambda f: F.struct(*(f[c].alias(c) for c in ("paragraph", "family", "probability", "template_share", "confirmed"))))
 
     def findings(hits: Column) -> Column:
         scores = hits
@@ -272,13 +393,26 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             out = F.transform(out, step)
         return out
 
-    lines = F.split(F.col("__body"), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    hits = F.when(F.col("__body").rlike(trigger), F.filter(numbered, lambda p: p["line"].rlike(trigger)))
+    def parts(u: Column, i: Column) -> Column:
+        one = lambda x, j: F.struct(x.alias("line"), i.alias("at"), j.cast("int").alias("part"))
+        held = F.split(u, JOINT)
+        run = F.array(one(F.replace(u, F.lit(JOINT), F.lit(" ")), F.lit(-1)))
+        return F.when(F.contains(u, F.lit(JOINT)), F.concat(F.transform(held, one), run)).otherwise(F.array(one(u, F.lit(0))))
+
+    units = F.split(paragraphs(F.col("__body")), "\n")
+    told = F.filter(F.transform(units, lambda u, i: F.when(u.rlike(trigger), parts(u, i))), lambda x: x.isNotNull())
+    hits = F.when(F.col("__body").rlike(trigger), F.filter(F.flatten(told), lambda p: p["line"].rlike(trigger)))
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("__body"))
-    count = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
+    count = F.size(F.filter(units, lambda x: F.trim(x) != "")).cast("long")
+    found = source.select("doc_id", count.alias("n_paragraphs"), findings(hits).alias("found"))
     kind = "array<struct<paragraph:int,family:string,probability:double,template_share:double,confirmed:boolean>>"
-    return source.select("doc_id", count.alias("n_paragraphs"), F.coalesce(findings(hits), F.array().cast(kind)).alias("findings"))
+    return found.select("doc_id", "n_paragraphs", F.coalesce(settled(F.col("found")), F.array().cast(kind)).alias("findings"))
+
+
+def paragraphs(text: Column) -> Column:
+    """The text with a paragraph a line: lines end without blanks, wrapped lines are joined by JOINT."""
+    ends = F.regexp_replace(F.replace(text, F.lit(JOINT), F.lit(" ")), r"[ \t\r\f\x0B]+(?=\n)", "")
+    return F.regexp_replace(ends, rf"(?<=(?:^|\n)[^\n]{{1,{WRAPPED}}})\n(?=[^\n]{{1,{WRAPPED}}}(?:\n|$))", JOINT)
 
 
 def _pairs(notice: str) -> set[str]:
@@ -287,16 +421,21 @@ def _pairs(notice: str) -> set[str]:
 
 
 def trained(spark: SparkSession, texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on notices and at most sample_rows paragraphs of the corpus that name no licence word.
+    """Trains on notices and about sample_rows paragraphs of the corpus that name no licence word.
 
-    The sample is the first lines of the rows of least keyed digest, so it doesn't depend on
-    the layout of the table.
+    A row gives its paragraphs to the sample if its keyed digest is under a threshold, which
+    follows from the number of rows, so that about twice sample_rows rows are looked at, and a
+    few thousand paragraphs sorted, whatever the size of the table. The sample doesn't depend
+    on the table's layout.
     """
-    line = F.substring_index("text", "\n", 1)
-    plain = ~F.lower(line).rlike("licen[cs]|copyright|rights reserved|public domain|redistribut|spdx|permission")
-    sampled = texts.select(F.substring(line, 1, 1000).alias("line")).filter(plain & (F.length("line") > 0))
-    rows = sampled.orderBy(F.md5("line"), "line").limit(sample_rows).collect()
-    return train(sorted({r["line"] for r in rows}))
+    share = min(1.0, 2 * sample_rows / max(texts.count(), 1))
+    threshold = min(int(-(2**63) + share * 2**64), 2**63 - 1)
+    some = texts.filter((F.col("text") != "") & (F.xxhash64(F.lit("licence-rows"), "text") <= threshold))
+    lines = some.select(F.explode(F.split(F.replace(paragraphs(F.col("text")), F.lit(JOINT), F.lit(" ")), "\n")).alias("line"))
+    plain = ~F.lower("line").rlike("licen[cs]|copyright|rights reserved|public domain|redistribut|spdx|permission|lizen")
+    found = lines.filter(plain & (F.trim("line") != "")).select("line", F.xxhash64(F.lit("licence-sample"), "line").alias("digest"))
+    few = found.distinct().orderBy("digest", "line").limit(sample_rows)
+    return train(sorted(r["line"] for r in few.collect()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,10 +128,45 @@ def test_licences(spark):
     got = {r.doc_id: r for r in found.collect() if r.doc_id and r.doc_id >= 30}
     names = {d: [f.family for f in r.findings if f.confirmed] for d, r in got.items()}
     assert names == {30: ["mit"], 31: ["cc"], 32: ["gpl"], 33: ["apache", "mit"], 34: [], 35: ["bsd"]}
-    assert got[30].findings[0].paragraph == prose(1, 40).count("\n") + 1
+    assert got[30].findings[0].paragraph == 1  # a long line, then a run of short ones with the notice in it
     assert found.count() == len(rows) and ls.scan_licenses(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_expression_scores_as_the_model(spark):
+    r = random.Random(21)
+    model = ls.train([prose(i, 12) for i in range(50)])
+    pool = [n for f in ls.NOTICES for n in ls.NOTICES[f]] + ls.PLAIN + ls.OTHER + [prose(i, 30).replace("\n", " ") for i in range(20)]
+    mixed = [" ".join(r.choices(" ".join(r.sample(pool, 2)).split(), k=9)) for _ in range(250)]  # words in any order
+    texts = pool + mixed + ["", "  ", "MIT", "the GPL, version 2; see LICENSE"]
+    got = {x.doc_id: x.findings for x in ls.scan_licenses(docs(spark, list(enumerate(texts))), model=model).collect()}
+    for i, t in enumerate(texts):
+        want = model.predict(t)
+        assert [f.family for f in got[i]] == ([want] if want != ls.UNKNOWN else []), t
+        if got[i]:
+            assert got[i][0].probability == pytest.approx(model.probability(t), abs=2e-6)
+
+
+def test_wrapped_notices(spark):
+    notice = next(n for n in ls.NOTICES["mit"] if n.startswith("Permission is hereby"))
+    w = notice.split()
+    lines = [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)]
+    long = prose(5, 400).replace("\n", " ")
+    rows = [(1, long + "\n" + "\n".join(lines) + "\n" + long), (2, "\r\n".join(lines) + "\r\n  \r\nLicensed under the ISC License.\n\nbye"), (3, "\n".join(lines[:2])), (4, "a\n\nb\nc\n" + long)]
+    got = {x.doc_id: x for x in ls.scan_licenses(docs(spark, rows)).collect()}
+    assert [(f.family, f.paragraph) for f in got[1].findings if f.confirmed] == [("mit", 1)] and got[1].n_paragraphs == 3
+    assert [f.family for f in got[2].findings if f.confirmed] == ["mit", "isc"] and got[2].n_paragraphs == 3
+    assert not any(f.confirmed for f in got[3].findings) and got[4].n_paragraphs == 3
+
+
+def test_calibrated_unknown():
+    model = ls.train([prose(i, 12) for i in range(50)])
+    assert model.margin > 0
+    for text in ("He bought a license for the software.", "Licensed under the Ruby License.", "SPDX-License-Identifier: NCSA", "Licensed under the OpenSSL License.", prose(77, 20)):
+        assert model.predict(text) == ls.UNKNOWN and model.probability(text) < 0.5
+    for text, family in (("licensed under the Mozilla Public License, v. 2.0", "mpl"), ("Eclipse Public License 1.0", "epl"), ("lizenziert unter CC BY-SA 4.0", "cc"), ("under the GNU LGPL v2.1", "lgpl")):
+        assert model.predict(text) == family and model.probability(text) > 0.5
+
+
 def test_model_on_held_out_notices():
     model = ls.train([prose(i, 12) for i in range(50)])
     held = {
@@ -200,6 +235,18 @@ def test_given_budget_and_blank_sources(spark):
     assert len(sm.mix_sources(docs(spark, blank)).collect()) == 2
 
 
+def test_ids_equal_the_library(monkeypatch):
+    from quirework.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "MOST_CHUNKS", 300)  # the table is halved again and again
+    c = token_ids.WordCoder(token_ids.tokenizer_path())
+    r = random.Random(1)
+    signs = list("ab Zéñ×÷\n\t.,'-1²_µßİœĲſ日–…$") + ["'s", "'T", "<|endoftext|>", "  ", "The. ", "end, "]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(1500)] + ["", " ", "\n", prose(3, 2000), prose(4, 60_000).upper(), "é" * 3000, "a." * 2000]
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in c.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 37) for x in c.encode(texts[i : i + 37])] == want
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 
