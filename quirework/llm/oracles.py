@@ -55,6 +55,12 @@ least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.component_id = d.doc_id AS kept FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.u = d.doc_id"""
 
 
+def _whole(piece: str) -> str:
+    """A piece of UTF-8 in hexadecimal without the parts of characters at its ends."""
+    tail = "(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$"
+    return f"regexp_replace(regexp_replace({piece}, '^(?:[89AB][0-9A-F])+', ''), '{tail}', '')"
+
+
 def repeats() -> str:
     """op7: every string of the length, by its hash."""
     n = suffix_dedup.LENGTH
@@ -66,6 +72,7 @@ marked AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) +
 runs AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
 spans AS (SELECT doc_id, run, min(p) AS lo, max(p) + {n} AS hi FROM runs GROUP BY doc_id, run),
 gaps AS (SELECT s.doc_id, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0) + 1, 2 * (lo - coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0))) AS piece FROM spans s JOIN raw USING (doc_id)),
-cut AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, max(hi) AS last, string_agg(piece, '' ORDER BY lo) AS head FROM gaps GROUP BY doc_id)
-SELECT r.doc_id, r.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, max(hi) AS last, string_agg(piece, '' ORDER BY lo) AS head, string_agg({_whole("piece")}, '' ORDER BY lo) AS shown FROM gaps GROUP BY doc_id)
+SELECT r.doc_id, r.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256,
+  decode(unhex(CASE WHEN last IS NULL THEN h ELSE shown || {_whole("substr(h, 2 * last + 1)")} END)) AS text
 FROM raw r LEFT JOIN cut c ON c.doc_id = r.doc_id"""

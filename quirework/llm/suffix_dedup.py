@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import Scratch, map_arrow, maybe_broadcast
+from quirework.llm.common import BROADCAST_BYTES, Scratch, map_arrow, maybe_broadcast
 from quirework.llm.hashing import U64, PrefixHash, chunks, mix, stream
 
 LENGTH = 400
@@ -363,8 +363,8 @@ def _cut_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 removed.append(len(t) - len(rest))
                 runs.append(len(cuts))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                # a cut may split a character: what is left of it is no character and goes too
-                kept.append(rest.decode("utf-8", "ignore") if cuts else t.decode("utf-8", "replace"))
+                # a cut may split a character: what is left of it on either side goes too
+                kept.append("".join(x.decode("utf-8", "ignore") for x in left))
             held = batch.slice(part[0], len(part))
             base = [held.column(i) for i, n in enumerate(held.schema.names) if n not in ("__text", "__spans")]
             names = [n for n in held.schema.names if n not in ("__text", "__spans")]
@@ -398,8 +398,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     carried = [c for c in df.columns if c not in (text, *counts)] if with_text else [doc_id]
     inner = {c: f"__c{i}" for i, c in enumerate(carried)}
     left = df.select(*(F.col(f"`{c}`").alias(a) for c, a in inner.items()), body.alias("__text"), number.alias("__id"), key.alias("__key"))
-    total = spans.agg(F.sum(F.size("__spans") * 8 + 40)).first()[0] or 0
-    side = F.broadcast(spans) if total <= 32 << 20 else spans.hint("merge")
+    total = spans.agg(F.sum(F.size("__spans") * 40 + 128)).first()[0] or 0
+    side = F.broadcast(spans) if total <= BROADCAST_BYTES else spans.hint("merge")
     joined = left.join(side, left["__id"].eqNullSafe(side["doc_id"]) & left["__key"].eqNullSafe(side["text_key"]), "left")
     joined = joined.select(*inner.values(), "__text", "__spans")
     from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -414,7 +414,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: what every document loses to strings repeated anywhere."""
+    """op7: what every document loses to strings repeated anywhere, and the text that is left."""
     from quirework.llm.common import documents
 
-    return remove_repeats(documents(spark, sf_dir), with_text=False)
+    left = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")

@@ -176,6 +176,29 @@ def test_kept_text_and_other_columns(spark):
     assert sd.remove_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_planted_passages_go_and_clean_texts_stay(spark, tmp_path):
+    """The query itself: passages of over 50 words, some of wide characters, that repeat across documents."""
+    plain, wide = " ".join(prose(510, 90).split()), " ".join(w + "é" for w in prose(511, 90).split())
+    rows = [(i, prose(5200 + i, 60) + "\n" + (plain if i % 2 else wide) + "\nä" + prose(5300 + i, 60)) for i in range(10)]
+    clean = [(100 + i, prose(5400 + i, 120) + (" ñandú" * (i % 2))) for i in range(10)]
+    docs(spark, rows + clean).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in sd.query(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        passage = plain if i % 2 else wide
+        assert got[i].n_removed >= len(passage.encode()) and got[i].n_bytes == len(text.encode()) and passage[5:-5] not in got[i].text
+        assert got[i].text.startswith(prose(5200 + i, 60)[:-20]) and got[i].text.endswith(prose(5300 + i, 60)[20:])
+    for i, text in clean:
+        assert got[i].text == text and got[i].n_removed == 0 and got[i].n_bytes == len(text.encode())
+
+
+def test_text_without_split_characters(spark):
+    shared = "é" * 250
+    rows = [(1, "a" + "ñ" * 20 + shared + "b"), (2, "c" + shared + "ö" * 10), (3, "é" * 199 + "x"), (4, "\u20ac" * 140), (5, "z\u20ac" * 2 + "\u20ac" * 140)]
+    for r in sd.remove_repeats(docs(spark, rows)).collect():
+        raw = dict(rows)[r.doc_id]
+        assert set(r.text) <= set(raw) and len(r.text.encode()) <= r.n_bytes - r.n_removed <= len(r.text.encode()) + 6 * r.n_spans
+
+
 @pytest.mark.parametrize("size", [500, 700_000])
 def test_long_texts_are_anchored_whole(size):
     r = random.Random(1)
