@@ -182,22 +182,34 @@ def measure_raster(rgba: pd.Series, width: pd.Series, height: pd.Series, words:
 # --- fingerprints ---------------------------------------------------------------------------
 
 
-def _text(value: str | None) -> bytes:
-    if value is None:
-        return struct.pack("<i", -1)
+#: Names of the projections, and the numbers of kinds and origins in them.
+TEXT_SEQUENCE, TEXT_PROJECTION = "dual-run-selected-text-sequence-v1", "dual-run-text-projection-v1"
+KINDS = ("Text", "Heading", "Caption", "Visual", "UnresolvedText", "Deferred")
+ORIGINS = ("None", "Native", "Ocr")
+
+
+def _text(value: str) -> bytes:
     raw = value.encode()
     return struct.pack("<i", len(raw)) + raw
 
 
 def fingerprint(elements: list, full: bool) -> str:
-    """Length-prefixed little-endian bytes of an ordered projection, hashed; -0.0 counts as 0.0."""
-    h = hashlib.sha256(struct.pack("<i", len(elements)))
+    """Length-prefixed little-endian bytes of an ordered projection, hashed; -0.0 counts as 0.0.
+
+    elements have text, each of them, and with full: order, kind, l, t, r, b, origin, block_seq
+    (of the native block, or null) and reconciled.
+    """
+    h = hashlib.sha256(_text(TEXT_PROJECTION if full else TEXT_SEQUENCE) + struct.pack("<i", len(elements)))
     for e in elements:
         get = e.get if isinstance(e, dict) else e.__getitem__
+        if full:
+            h.update(struct.pack("<ii4d", get("order"), KINDS.index(get("kind")), *(float(get(k)) + 0.0 for k in ("l", "t", "r", "b"))))
         h.update(_text(get("text")))
         if full:
-            h.update(struct.pack("<ii4d", get("page_no"), get("order"), *(float(get(k)) + 0.0 for k in ("l", "t", "r", "b"))))
-            h.update(_text(get("kind")) + _text(get("origin")) + struct.pack("<?", bool(get("reconciled"))))
+            block = get("block_seq")
+            known = block is not None and block == block  # a missing number arrives as NaN
+            h.update(struct.pack("<i?", ORIGINS.index(get("origin")), known) + (struct.pack("<i", int(block)) if known else b""))
+            h.update(struct.pack("<?", bool(get("reconciled"))))
     return h.hexdigest()
 
 

@@ -93,22 +93,28 @@ def normalize_elements(elements: DataFrame) -> DataFrame:
     return normalize_blocks(elements)
 
 
-def hybrid_segments(elements: DataFrame, hints: list[str] | None = None) -> DataFrame:
-    """Segments over elements of all kinds.
+def segment_members(elements: DataFrame, hints: list[str] | None = None) -> DataFrame:
+    """Adds is_heading, seg_no and fallback_page to the elements that no margin excludes.
 
     elements: doc_id, page_no, order, kind, norm_text, text, origin, exclusion, ratio,
-    word_count, obs_seq. Excluded ones are left out; a heading box always begins a segment,
-    other text by hint, and by type only where no layout box backs it. Elements without text
-    join the segment they are in; a page's textless part before any heading goes if the page
-    has no text by then.
+    word_count, obs_seq. A heading box always begins a segment, other text by hint, and by
+    type only where no layout box backs it.
     """
     live = elements.filter("exclusion is null")
     by_hint = hinted(F.col("norm_text"), F.col("text"), hints or [])
     typographic = F.col("obs_seq").isNull() & native_heading(F.col("norm_text"), F.col("word_count"), F.col("ratio"))
     plain = (F.col("kind") == "Text") & F.col("norm_text").isNotNull() & (by_hint | typographic)
     marked = live.withColumn("is_heading", F.coalesce((F.col("kind") == "Heading") | plain, F.lit(False)))
-    numbered = numbered_segments(marked, ["page_no", "order"])
-    named = numbered.withColumn("has_text", F.col("norm_text").isNotNull() & (F.col("norm_text") != ""))
+    return numbered_segments(marked, ["page_no", "order"])
+
+
+def segments_of_members(members: DataFrame) -> DataFrame:
+    """Segments of numbered elements, with what their members say.
+
+    Elements without text join the segment they are in; a page's textless part before any
+    heading goes if the page has no text by then.
+    """
+    named = members.withColumn("has_text", F.col("norm_text").isNotNull() & (F.col("norm_text") != ""))
     held = F.array_sort(F.collect_list(F.when(F.col("has_text"), F.struct("page_no", "order", "norm_text"))))
     out = named.groupBy("doc_id", "seg_no", "fallback_page").agg(
         F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("members"), F.bool_or("has_text").alias("any_text"),
@@ -122,10 +128,6 @@ def hybrid_segments(elements: DataFrame, hints: list[str] | None = None) -> Data
     return out.withColumn("segment_id", F.format_string("p%06d-s%06d", "first_page", "ordinal"))
 
 
-def segment_members(elements: DataFrame, hints: list[str] | None = None) -> DataFrame:
-    """K3's source: (doc_id, page_no, order, seg_no, fallback_page) of every element that hybrid_segments places."""
-    live = elements.filter("exclusion is null")
-    typographic = F.col("obs_seq").isNull() & native_heading(F.col("norm_text"), F.col("word_count"), F.col("ratio"))
-    plain = (F.col("kind") == "Text") & F.col("norm_text").isNotNull() & (hinted(F.col("norm_text"), F.col("text"), hints or []) | typographic)
-    marked = live.withColumn("is_heading", F.coalesce((F.col("kind") == "Heading") | plain, F.lit(False)))
-    return numbered_segments(marked, ["page_no", "order"]).select("doc_id", "page_no", "order", "seg_no", "fallback_page", "kind", "origin", "norm_text")
+def hybrid_segments(elements: DataFrame, hints: list[str] | None = None) -> DataFrame:
+    """Segments over elements of all kinds."""
+    return segments_of_members(segment_members(elements, hints))

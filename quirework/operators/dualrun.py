@@ -58,7 +58,9 @@ def candidate_report(comparison: DataFrame) -> DataFrame:
 
 
 def fingerprints(elements: DataFrame) -> DataFrame:
-    """(doc_id, text_fingerprint, projection_fingerprint) of elements in order."""
-    entry = F.struct(F.col("page_no").cast("int").alias("page_no"), F.col("order").cast("int").alias("order"), "text", "l", "t", "r", "b", "kind", "origin", F.col("decision").isNotNull().alias("reconciled"))
-    held = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("held"))
+    """(doc_id, text_fingerprint, projection_fingerprint) of the elements with a text of their own, in order."""
+    own = elements.filter(F.col("text").isNotNull() & F.col("origin").isin("Native", "Ocr"))
+    place = [F.col(c).cast("int").alias(c) for c in ("page_no", "order")]
+    entry = F.struct(*place, "text", "l", "t", "r", "b", "kind", "origin", F.col("block_seq").cast("int").alias("block_seq"), F.col("decision").isNotNull().alias("reconciled"))
+    held = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("held"))
     return held.select("doc_id", text_fingerprint("held").alias("text_fingerprint"), projection_fingerprint("held").alias("projection_fingerprint"))

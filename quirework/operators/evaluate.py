@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +12,29 @@ from quirework.operators.text import SPACE, nfc, upper_invariant
 
 NEAR_PAGES, MOST_CLUSTER, BEST_MATCHES, LEXICAL_MATCHES = 2, 3, 5, 3
 LEAST_CONTAINED, LEAST_SHARE = 8, 0.20
-BANDS = ("Exact", "Containment", "High", "Moderate", "Weak", "None")
+BANDS = ("ExactEquivalent", "Containment", "HighOverlap", "ModerateOverlap", "WeakOverlap", "None")
+#: Fixed values of the character folding: what becomes an apostrophe, a quotation mark, a hyphen.
+APOSTROPHES, QUOTES, DASHES = "\u2018\u2019\u02bc", "\u201c\u201d", "\u2010\u2011\u2012\u2013\u2014\u2015"
+_BLANK = SPACE.removesuffix("+")
 
 
 def cer_text(text: Column) -> Column:
-    """Composed, line ends, split words joined, soft hyphens gone, quotes and dashes folded, lower case, collapsed."""
+    """Composed, line ends, words split by a hyphen joined, soft hyphens gone, signs folded, lower case, collapsed."""
     out = F.regexp_replace(nfc(text), "\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?<=\p{L})-[\t ]*\n[\t ]*(?=\p{L})", "")
-    out = F.translate(out, "­ ‘’‚‛“”„‟‐‑‒–—―−", "­ ''''\"\"\"\"-------")
-    return F.trim(F.regexp_replace(F.lower(F.replace(out, F.lit("­"), F.lit(""))), SPACE, " "))
+    out = F.regexp_replace(out, rf"(?<=\p{{L}})-{_BLANK}*\n{_BLANK}*(?=\p{{L}})", "")
+    # a capital sigma is lowered by itself, whatever stands behind it
+    out = F.translate(F.replace(out, F.lit("\u00ad"), F.lit("")), "\u00a0\u03a3" + APOSTROPHES + QUOTES + DASHES, " \u03c3" + "'" * 3 + '"' * 2 + "-" * 6)
+    return F.trim(F.regexp_replace(F.lower(out), SPACE, " "))
+
+
+def share_of(edits: Column, length: Column) -> Column:
+    """Edits for each sign of the reference; 0 where it has none."""
+    return F.when(length > 0, edits / length).otherwise(F.lit(0.0))
 
 
 def rate(edits: Column, length: Column) -> Column:
-    return F.when(length > 0, F.bround(edits / length, 6)).otherwise(F.when(edits == 0, F.lit(0.0)).otherwise(F.lit(1.0)))
+    """To six places."""
+    return F.bround(share_of(edits, length), 6)
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
@@ -36,18 +47,18 @@ def error_rates(pairs: DataFrame) -> DataFrame:
 
 
 def strict_error_rates(pairs: DataFrame) -> DataFrame:
-    """Case kept, white space collapsed, words by white space."""
+    """Case kept, white space collapsed, words by white space, rates as they are."""
     clean = lambda c: F.trim(F.regexp_replace(nfc(F.col(c)), SPACE, " "))
     out = pairs.withColumns({"__a": clean("reference"), "__b": clean("recognised")})
     words = F.size(F.filter(F.split("__a", " "), lambda x: x != ""))
     out = out.withColumns({"char_edits": F.levenshtein("__a", "__b").cast("long"), "chars": F.length("__a").cast("long"), "word_edits": token_edits("__a", "__b"), "words": words.cast("long")})
-    return out.withColumns({"cer": rate(F.col("char_edits"), F.col("chars")), "wer": rate(F.col("word_edits"), F.col("words"))}).drop("__a", "__b")
+    return out.withColumns({"cer": share_of(F.col("char_edits"), F.col("chars")), "wer": share_of(F.col("word_edits"), F.col("words"))}).drop("__a", "__b")
 
 
 def micro_average(rates: DataFrame, by: str) -> DataFrame:
     """Edits of all over lengths of all."""
     out = rates.groupBy(by).agg(*(F.sum(c).cast("long").alias(c) for c in ("char_edits", "chars", "word_edits", "words")))
-    return out.withColumns({"cer": rate(F.col("char_edits"), F.col("chars")), "wer": rate(F.col("word_edits"), F.col("words"))})
+    return out.withColumns({"cer": share_of(F.col("char_edits"), F.col("chars")), "wer": share_of(F.col("word_edits"), F.col("words"))})
 
 
 def _centre_in_zone() -> Column:
@@ -72,15 +83,30 @@ def region_zones(zones: DataFrame, regions: DataFrame) -> DataFrame:
 # --- outlines -------------------------------------------------------------------------------
 
 
-def outline_levels(entries: DataFrame, deepest: int = 64) -> DataFrame:
-    """The level of each entry (doc_id, ordinal, parent_ordinal, title) by a recursive query; roots are level 1."""
-    spark: SparkSession = entries.sparkSession
-    entries.createOrReplaceTempView("__outline_entries")
-    return spark.sql(f"""
-        WITH RECURSIVE tree(doc_id, ordinal, level) AS (
-          SELECT doc_id, ordinal, 1 FROM __outline_entries WHERE parent_ordinal IS NULL
-          UNION ALL SELECT e.doc_id, e.ordinal, t.level + 1 FROM __outline_entries e JOIN tree t ON e.doc_id = t.doc_id AND e.parent_ordinal = t.ordinal WHERE t.level < {deepest})
-        SELECT * FROM tree""")
+def _levels(entries: pd.DataFrame) -> pd.DataFrame:
+    parent = {int(o): None if pd.isna(p) else int(p) for o, p in zip(entries["ordinal"], entries["parent_ordinal"], strict=True)}
+    level: dict = {}
+    for start in parent:
+        way, at = [], start
+        while at is not None and at in parent and at not in level and at not in way[-1:]:
+            level[at] = 0  # on the way: met again, it is part of a ring
+            way.append(at)
+            at = parent[at]
+        above = 0 if at is None else level.get(at, 0)
+        known = at is None or above > 0
+        for i, x in enumerate(reversed(way)):
+            level[x] = above + i + 1 if known else 0
+    rows = [(o, n) for o, n in level.items() if n]
+    return pd.DataFrame({"doc_id": [entries["doc_id"].iloc[0]] * len(rows), "ordinal": [o for o, _ in rows], "level": [n for _, n in rows]})
+
+
+def outline_levels(entries: DataFrame) -> DataFrame:
+    """The level of each entry (doc_id, ordinal, parent_ordinal, title), roots at 1, however deep.
+
+    A document's outline is walked in one pass, each entry once. An entry whose parents form a
+    ring, or whose parent isn't there, has no level and no row.
+    """
+    return entries.select("doc_id", "ordinal", "parent_ordinal").groupBy("doc_id").applyInPandas(_levels, "doc_id long, ordinal long, level long")
 
 
 def match_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -113,66 +139,116 @@ def lexical_candidates(titles: DataFrame, blocks: DataFrame, k: int = LEXICAL_MA
 
 
 def clusters(blocks: DataFrame) -> DataFrame:
-    """One to three consecutive blocks of a page, with their text and bounds."""
-    page = Window.partitionBy("doc_id", "page_no").orderBy("block_seq")
-    out = None
-    for size in range(1, MOST_CLUSTER + 1):
-        window = page.rowsBetween(0, size - 1)
-        made = blocks.withColumns(
-            {"cluster_text": F.array_join(F.collect_list("norm_text").over(window), " "), "held": F.count("*").over(window), "ct": F.min("t").over(window), "cb": F.max("b").over(window), "heading": F.max("is_heading").over(window)}
-        ).filter(F.col("held") == size)
-        made = made.select("doc_id", "page_no", "block_seq", F.lit(size).alias("size"), "cluster_text", "ct", "cb", "heading")
-        out = made if out is None else out.unionByName(made)
-    return out
-
-
-def contained(a: Column, b: Column) -> Column:
-    """Compact texts, the shorter in the longer, not too short and not too small a part."""
+    """One to three consecutive blocks of a page, with their text and bounds.
+
+    One window for each page gathers a block and the two behind it; its prefixes are the clusters.
+    """
+    ahead = Window.partitionBy("doc_id", "page_no").orderBy("block_seq").rowsBetween(0, MOST_CLUSTER - 1)
+    held = blocks.withColumn("held", F.collect_list(F.struct("norm_text", "l", "t", "r", "b")).over(ahead))
+    out = held.select("doc_id", "page_no", "block_seq", F.explode(F.sequence(F.lit(1), F.size("held"))).alias("size"), "held")
+    part = lambda c: F.transform(F.slice("held", F.lit(1), F.col("size")), lambda x: x[c])
+    box = [F.array_min(part("l")).alias("cl"), F.array_min(part("t")).alias("ct"), F.array_max(part("r")).alias("cr"), F.array_max(part("b")).alias("cb")]
+    return out.select("doc_id", "page_no", "block_seq", "size", F.array_join(part("norm_text"), " ").alias("cluster_text"), *box)
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Of compact texts a (outline) and b (candidate): equal, or the shorter in the longer if not too short and not too small a part."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return (F.contains(a, b) | F.contains(b, a)) & (short >= LEAST_CONTAINED) & (short >= LEAST_SHARE * long)
+    some = (short >= LEAST_CONTAINED) & (short >= LEAST_SHARE * long)
+    inside = F.when(some & F.contains(b, a), "OutlineWithinCandidate").when(some & F.contains(a, b), "CandidateWithinOutline")
+    return F.when(short == 0, "None").when(a == b, "Equal").otherwise(F.coalesce(inside, F.lit("None")))
 
 
-def band(exact: Column, inside: Column, shared: Column, of_title: Column, of_text: Column) -> Column:
+def band(inside: Column, shared: Column, of_title: Column, of_text: Column) -> Column:
     """O25."""
+    high = (shared >= 3) & (of_title >= 0.70) & (of_text >= 0.50)
     return (
-        F.when(exact, "Exact").when(inside, "Containment").when((shared >= 3) & (of_title >= 0.70) & (of_text >= 0.50), "High").when((shared >= 2) & (of_title >= 0.50), "Moderate").when(shared >= 1, "Weak").otherwise("None")
+        F.when(inside == "Equal", "ExactEquivalent").when(inside != "None", "Containment").when(high, "HighOverlap").when((shared >= 2) & (of_title >= 0.50), "ModerateOverlap").when(shared >= 1, "WeakOverlap").otherwise("None")
     )
 
 
+def band_rank(name: Column) -> Column:
+    """Smaller is better."""
+    return F.array_position(F.array(*map(F.lit, BANDS)), name)
+
+
 def vertical_distance(y: Column, top: Column, bottom: Column) -> Column:
     """O26."""
-    return F.bround(F.when(y < top, top - y).when(y > bottom, y - bottom).otherwise(F.lit(0.0)), 4)
+    return F.bround(F.when(y < top, top - y).when(y > bottom, y - bottom).otherwise(F.when(y.isNotNull(), F.lit(0.0))), 4)
 
 
 def point_distance(x: Column, y: Column, l: Column, t: Column, r: Column, b: Column) -> Column:
     """O26."""
     dx, dy = F.greatest(l - x, F.lit(0.0), x - r), F.greatest(t - y, F.lit(0.0), y - b)
-    return F.bround(F.sqrt(dx * dx + dy * dy), 4)
+    return F.when(x.isNotNull() & y.isNotNull(), F.bround(F.sqrt(dx * dx + dy * dy), 4))
+
+
+def leading_number(text: Column) -> Column:
+    """The number of at most four digits that a title begins with, a chapter word before it or not."""
+    found = F.regexp_extract(text, rf"(?i)^{_BLANK}*(?:(?:chapter|part|section|book|excursus){_BLANK}+)?([0-9]{{1,4}})(?![\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}])", 1)
+    return F.when(found != "", found.cast("int"))
 
 
 def label_relation(a: Column, b: Column) -> Column:
-    """Leading numbers of two titles."""
-    x, y = F.regexp_extract(a, r"^\s*(\d+(?:\.\d+)*)", 1), F.regexp_extract(b, r"^\s*(\d+(?:\.\d+)*)", 1)
-    return F.when((x == "") & (y == ""), "NoLabels").when((x == "") | (y == ""), "OneLabel").when(x == y, "SameLabel").otherwise("OtherLabel")
+    """Leading numbers of an outline title and a candidate."""
+    x, y = leading_number(a), leading_number(b)
+    return (
+        F.when(x.isNull() & y.isNull(), "BothMissing").when(y.isNull(), "OutlineOnly").when(x.isNull(), "CandidateOnly").when(x == y, "Same").otherwise("Different")
+    )
+
+
+def _lexical(titles: DataFrame, texts: DataFrame, title: str, text: str, on: list[str], how: str = "inner") -> DataFrame:
+    """O23-O25 over titles and candidate texts that share the keys: pairs in some relation, with its measures.
+
+    Tokens and compact keys are made once a title and once a text, not once a pair.
+    """
+    a = titles.withColumns({"__a": tokens(F.col(title)), "__ka": compact_key(F.col(title))})
+    b = texts.withColumns({"__b": tokens(F.col(text)), "__kb": compact_key(F.col(text))})
+    pairs = a.join(b, on, how).withColumns({"shared": F.size(F.array_intersect("__a", "__b")), "containment": containment(F.col("__ka"), F.col("__kb"))})
+    pairs = pairs.filter("shared > 0 or containment <> 'None'")
+    share = lambda c: F.when(F.size(c) > 0, F.bround(F.col("shared") / F.size(c), 3)).otherwise(F.lit(0.0))
+    pairs = pairs.withColumns({"of_title": share("__a"), "of_text": share("__b")}).drop("__a", "__b", "__ka", "__kb")
+    return pairs.withColumn("band", band(F.col("containment"), F.col("shared"), F.col("of_title"), F.col("of_text")))
 
 
 def align_outline(outline: DataFrame, blocks: DataFrame, k: int = BEST_MATCHES) -> DataFrame:
-    """The k best clusters for each title, on pages up to two away.
+    """The k best clusters for each title (ordinal, title, target_page, left, top), on pages up to two away.
 
     The range over pages is an equi-join: a title is repeated for the five pages it may be on.
+    Distances are known on the target page alone.
     """
     spread = outline.withColumn("page_no", F.explode(F.sequence(F.col("target_page") - NEAR_PAGES, F.col("target_page") + NEAR_PAGES)))
-    near = spread.alias("o").join(clusters(blocks).alias("c"), (F.col("o.doc_id") == F.col("c.doc_id")) & (F.col("o.page_no") == F.col("c.page_no")))
-    near = near.select("o.doc_id", "o.ordinal", "o.title", "o.target_page", "o.top", "c.page_no", "c.block_seq", "c.size", "c.cluster_text", "c.ct", "c.cb")
-    near = near.withColumns({"a": tokens(F.col("title")), "z": tokens(F.col("cluster_text")), "ka": compact_key(F.col("title")), "kz": compact_key(F.col("cluster_text"))})
-    near = near.withColumn("shared", F.size(F.array_intersect("a", "z")))
-    share = lambda c: F.when(F.size(c) > 0, F.bround(F.col("shared") / F.size(c), 3)).otherwise(F.lit(0.0))
-    near = near.withColumns({"of_title": share("a"), "of_text": share("z"), "distance": vertical_distance(F.col("top"), F.col("ct"), F.col("cb"))})
-    near = near.withColumn("band", band(F.col("ka") == F.col("kz"), contained(F.col("ka"), F.col("kz")), F.col("shared"), F.col("of_title"), F.col("of_text"))).filter("band <> 'None'")
-    order = F.array_position(F.array(*map(F.lit, BANDS)), F.col("band"))
-    best = Window.partitionBy("doc_id", "ordinal").orderBy(order, F.desc("of_title"), F.desc("of_text"), F.abs(F.col("page_no") - F.col("target_page")), "distance", "size", "page_no", "block_seq")
+    near = _lexical(spread, clusters(blocks), "title", "cluster_text", ["doc_id", "page_no"])
+    here = F.col("page_no") == F.col("target_page")
+    at = [F.col(c) for c in ("left", "top", "cl", "ct", "cr", "cb")]
+    near = near.withColumns(
+        {
+            "offset": F.col("page_no") - F.col("target_page"), "labels": label_relation(F.col("title"), F.col("cluster_text")),
+            "distance": F.when(here, vertical_distance(at[1], at[3], at[5])), "point": F.when(here, point_distance(*at)),
+        }
+    )
+    best = Window.partitionBy("doc_id", "ordinal").orderBy(
+        band_rank(F.col("band")), F.desc("of_title"), F.desc("of_text"), F.desc("shared"), F.abs("offset"), "offset", F.asc_nulls_last("distance"), "size", "block_seq"
+    )
     ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("doc_id", "ordinal", "rank", "page_no", "block_seq", "size", "band", "shared", "of_title", "of_text", "distance")
+    return ranked.select("doc_id", "ordinal", "rank", "page_no", "block_seq", "size", "band", "containment", "labels", "shared", "of_title", "of_text", "distance", "point")
+
+
+def match_titles(titles: DataFrame, regions: DataFrame) -> DataFrame:
+    """The best cluster of one to three regions for each page's expected title; pages without one have no row.
+
+    titles: doc_id, page_no, title. regions: doc_id, page_no, seq, text in reading order; the
+    first region of a cluster is numbered by its place on the page, from 0.
+    """
+    page = Window.partitionBy("doc_id", "page_no").orderBy("seq")
+    placed = regions.withColumns({"first_region": (F.row_number().over(page) - 1).cast("long"), "held": F.collect_list("text").over(page.rowsBetween(0, MOST_CLUSTER - 1))})
+    made = placed.select("doc_id", "page_no", "first_region", F.explode(F.sequence(F.lit(1), F.size("held"))).alias("size"), "held")
+    made = made.select("doc_id", "page_no", "first_region", "size", F.array_join(F.slice("held", F.lit(1), F.col("size")), " ").alias("candidate"))
+    wanted = titles.filter(F.trim(F.regexp_replace("title", SPACE, " ")) != "")
+    near = _lexical(wanted, made, "title", "candidate", ["doc_id", "page_no"])
+    best = Window.partitionBy("doc_id", "page_no").orderBy(band_rank(F.col("band")), F.desc("of_title"), F.desc("of_text"), F.desc("shared"), "size", "first_region")
+    found = near.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    return found.select("doc_id", "page_no", "band", "containment", "first_region", "size", "shared", "of_title", "of_text")
 
 
 def band_summary(matches: DataFrame) -> DataFrame:
@@ -267,19 +343,46 @@ def multi_column_score(regions: DataFrame) -> DataFrame:
     return regions.alias("a").join(regions.alias("b"), page & beside).groupBy("a.doc_id", "a.page_no").agg(F.count("*").alias("pairs"), F.bround(F.max(high), 6).alias("score"))
 
 
-def select_specimens(specimens: DataFrame, categories: list[str], each: int) -> DataFrame:
-    """Category after category takes its best specimens that no earlier one has taken.
+#: Fixed values of the specimen rules: category, first and last year; least characters; the page preferred for the nineteenth century.
+PERIODS = (("early-print", None, 1550), ("eighteenth-century", 1700, 1799), ("nineteenth-century", 1800, 1900))
+LEAST_SPECIMEN_CHARS = 1000
+PREFERRED = {"nineteenth-century": "hilbert_zahlkoerper_1897_0379.xml"}
+
+
+def select_specimens(candidates: DataFrame) -> DataFrame:
+    """Four specimens of different kinds, none taken twice.
 
-    specimens: specimen, category, score. The categories are a fixed short list; each step is an
-    anti-join and a top-k.
+    candidates: document_id, name, year, chars, regions, score. A period takes its first page
+    by document and name (a preferred page goes first, whatever its year); the last place goes
+    to the page with most columns side by side, or to the one with most regions if no page has
+    columns. Fewer than four candidates, or a place that nobody can take, is an error. Each
+    step is a top-1 of what is left.
     """
-    taken = specimens.sparkSession.createDataFrame([], "specimen string, category string, rank int")
-    for c in categories:
-        left = specimens.filter(F.col("category") == c).join(taken, "specimen", "left_anti")
-        best = left.orderBy(F.desc("score"), "specimen").limit(each)
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "specimen")))
-        taken = taken.unionByName(best.select("specimen", "category", "rank"))
-    return taken
+    order, key = ["document_id", "name"], ["document_id", "name"]
+    spark: SparkSession = candidates.sparkSession
+    if candidates.limit(4).count() < 4:
+        raise ValueError("fewer than four candidates")
+    taken: list[tuple] = []
+
+    def first(df: DataFrame, *by: Column | str) -> tuple | None:
+        gone = F.lit(False)
+        for _, document, name in taken:
+            gone = gone | ((F.col("document_id") == document) & (F.col("name") == name))
+        row = df.filter(~gone).orderBy(*by, *order).select(*key).first()
+        return tuple(row) if row else None
+
+    full = F.col("chars") >= LEAST_SPECIMEN_CHARS
+    for category, since, until in PERIODS:
+        found = first(candidates.filter(F.col("name") == PREFERRED[category])) if category in PREFERRED else None
+        inside = (F.col("year") <= until) if since is None else F.col("year").between(since, until)
+        found = found or first(candidates.filter(inside & full))
+        if found is None:
+            raise ValueError(f"no {category} specimen")
+        taken.append((category, *found))
+    columns = first(candidates.filter((F.col("score") > 0) & full), F.desc("score"))
+    taken.append(("multi-column", *columns) if columns else ("complex-layout-fallback", *first(candidates, F.desc("regions"), F.desc("chars"))))
+    rows = [(i + 1, *t) for i, t in enumerate(taken)]
+    return spark.createDataFrame(rows, "place int, category string, document_id string, name string")
 
 
 def multiset_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.operators.segment import CHAPTER, SECTION, SUBSECTION, numbered_segments
+from quirework.operators.segment import CHAPTER, MOST_HEADING_CHARS, MOST_WORDS, SECTION, SUBSECTION, hinted, native_heading, sentence_like
 from quirework.operators.text import upper_invariant
 
 WIDE, MIDDLE = 0.55, 0.5
 SMALL, LARGE, VERY_LARGE = 120, 4000, 12000
+LOOSE_LETTERS, STRONG_RATIO = 3, 0.95
 STRONG_HEADING = r"(?i)^(?:CHAPTER|PART|SECTION|BOOK)\b"
 
 
@@ -114,38 +115,80 @@ def repeated_headings(headings: DataFrame) -> DataFrame:
     return headings.groupBy("doc_id", upper_invariant(F.col("norm_text")).alias("key")).agg(F.count("*").alias("times"), F.min("page_no").cast("long").alias("first_page")).filter("times > 1")
 
 
-def strong_heading(text: Column, ratio: Column) -> Column:
-    """Names a chapter, part, section or book, in type no smaller than the body's."""
-    return text.rlike(STRONG_HEADING) & (ratio.isNull() | (ratio >= 0.95))
+def acceptable_heading(text: Column) -> Column:
+    """The looser text gate of the counterfactual policies: three letters, half of the signs letters or digits."""
+    solid = F.length(F.regexp_replace(text, r"[\t\n\x0B\f\r\x85\p{Z}]", ""))
+    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    sized = (F.length(text) >= 1) & (F.length(text) <= MOST_HEADING_CHARS)
+    return sized & ~text.rlike("[\\ufffd\\p{Cc}]") & (letters >= LOOSE_LETTERS) & (2 * alnum >= solid)
 
 
-#: What each counterfactual policy takes for a heading, given the engine's decision.
+def typography_heading(text: Column, words: Column, ratio: Column) -> Column:
+    """Type decides behind the looser gate."""
+    big = (ratio >= SUBSECTION) & ~((ratio < SECTION) & sentence_like(text))
+    return F.coalesce(acceptable_heading(text) & (words <= MOST_WORDS) & big, F.lit(False))
+
+
+def strong_heading(text: Column, words: Column, ratio: Column) -> Column:
+    """Names a chapter, part, section or book, in type hardly smaller than the body's."""
+    return F.coalesce(acceptable_heading(text) & (words <= MOST_WORDS) & text.rlike(STRONG_HEADING) & (ratio.isNull() | (ratio >= STRONG_RATIO)), F.lit(False))
+
+
+#: What each policy takes for a heading, of typography t, strict typography s, strong wording e and hints h.
 POLICIES = {
-    "A": lambda t, r, h: h,
-    "B": lambda t, r, h: h & F.coalesce(r >= SECTION, F.lit(False)),
-    "C": lambda t, r, h: h & F.coalesce(r >= CHAPTER, F.lit(False)),
-    "D": lambda t, r, h: strong_heading(t, r),
-    "E": lambda t, r, h: h | strong_heading(t, r),
-    "F": lambda t, r, h: (h & F.coalesce(r >= SECTION, F.lit(False))) | strong_heading(t, r),
-    "G": lambda t, r, h: (h & F.coalesce(r >= CHAPTER, F.lit(False))) | strong_heading(t, r),
+    "A-ProductionStrictTypographyV4": lambda t, s, e, h: s,
+    "B-TypographyOnly": lambda t, s, e, h: t,
+    "C-TypographyPlusStrongExplicit": lambda t, s, e, h: t | e,
+    "D-TypographyPlusHints": lambda t, s, e, h: t | h,
+    "E-StrictTypographyOnly": lambda t, s, e, h: s,
+    "F-StrictTypographyPlusHints": lambda t, s, e, h: s | h,
+    "G-ProductionStrictTypographyPlusHintsV4": lambda t, s, e, h: s | h,
 }
+#: What the stricter gate changes, with hints and without.
+GATES = (("B-TypographyOnly", "E-StrictTypographyOnly"), ("D-TypographyPlusHints", "F-StrictTypographyPlusHints"))
+
 
+def policy_choices(blocks: DataFrame, hints: list[str]) -> DataFrame:
+    """Blocks (norm_text, text, word_count, ratio) with one boolean a policy, named p0, p1, ..."""
+    text, words, ratio = F.col("norm_text"), F.col("word_count"), F.col("ratio")
+    facts = {"__t": typography_heading(text, words, ratio), "__s": native_heading(text, words, ratio), "__e": strong_heading(text, words, ratio), "__h": hinted(text, F.col("text"), hints)}
+    named = blocks.withColumns(facts)
+    chosen = [rule(*(F.col(c) for c in facts)).alias(f"p{i}") for i, rule in enumerate(POLICIES.values())]
+    return named.select("doc_id", "page_no", "block_seq", F.length("norm_text").alias("chars"), *chosen)
 
-def counterfactual(blocks: DataFrame) -> DataFrame:
-    """Segments of every policy over the same blocks, and headings each adds to or takes from policy A.
 
-    One pass: a block is repeated for the seven policies and segmented within (policy, document).
+def counterfactual(blocks: DataFrame, hints: list[str]) -> DataFrame:
+    """Each document's segments under every policy, and the headings each adds to or takes from policy A.
+
+    One sort of a document's blocks numbers the segments of all policies; only numbers are then
+    repeated for the policies, and sums of them cross no further shuffle.
     """
-    text, ratio, own = F.col("norm_text"), F.col("ratio"), F.col("is_heading")
-    choices = F.array(*(F.struct(F.lit(p).alias("policy"), rule(text, ratio, own).alias("chosen")) for p, rule in POLICIES.items()))
-    spread = blocks.withColumn("choice", F.explode(choices)).withColumns({"policy": F.col("choice.policy"), "engine": own, "is_heading": F.col("choice.chosen")})
-    numbered = numbered_segments(spread, ["page_no", "block_seq"], ["policy", "doc_id"])
-    return numbered.groupBy("policy").agg(
-        F.countDistinct("doc_id", "seg_no", "fallback_page").alias("segments"), F.count_if("is_heading").alias("headings"),
-        F.count_if(F.col("is_heading") & ~F.col("engine")).alias("added"), F.count_if(~F.col("is_heading") & F.col("engine")).alias("removed"),
+    flow = Window.partitionBy("doc_id").orderBy("page_no", "block_seq").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = policy_choices(blocks, hints)
+    numbered = chosen.withColumns({f"n{i}": F.sum(F.col(f"p{i}").cast("int")).over(flow) for i in range(len(POLICIES))})
+    each = [F.struct(F.lit(name).alias("policy"), F.col(f"p{i}").alias("chosen"), F.col(f"n{i}").alias("seg_no")) for i, name in enumerate(POLICIES)]
+    spread = numbered.select("doc_id", "page_no", "chars", F.col("p0").alias("engine"), F.explode(F.array(*each)).alias("x")).select("doc_id", "page_no", "chars", "engine", "x.*")
+    fallback = F.when(F.col("seg_no") == 0, F.col("page_no")).otherwise(F.lit(0))
+    segments = spread.groupBy("doc_id", "policy", "seg_no", fallback.alias("fallback_page")).agg(
+        (F.sum("chars") + 2 * (F.count("*") - 1)).alias("chars"), F.countDistinct("page_no").alias("pages"), F.count_if("chosen").alias("headings"),
+        F.count_if(F.col("chosen") & ~F.col("engine")).alias("added"), F.count_if(~F.col("chosen") & F.col("engine")).alias("removed"),
+    )
+    return segments.groupBy("doc_id", "policy").agg(
+        F.count("*").alias("segments"), F.count_if(F.col("headings") > 0).alias("headed"), F.count_if(F.col("headings") == 0).alias("fallback"), F.count_if(F.col("pages") > 1).alias("cross_page"),
+        F.count_if(F.col("chars") <= SMALL).alias("small"), F.count_if(F.col("chars") >= LARGE).alias("large"), F.min("chars").alias("min_chars"), F.median("chars").alias("median_chars"),
+        (F.sum("chars") / F.count("*")).alias("avg_chars"), F.max("chars").alias("max_chars"), F.sum("added").alias("added"), F.sum("removed").alias("removed"),
     )
 
 
+def gate_comparisons(blocks: DataFrame, hints: list[str]) -> DataFrame:
+    """Headings that the stricter text gate takes away and adds, with hints and without, for each document."""
+    chosen, at = policy_choices(blocks, hints), {name: F.col(f"p{i}") for i, name in enumerate(POLICIES)}
+    each = [F.struct(F.lit(a).alias("from_policy"), F.lit(b).alias("to_policy"), (at[a] & ~at[b]).alias("gone"), (~at[a] & at[b]).alias("new")) for a, b in GATES]
+    spread = chosen.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.*")
+    return spread.groupBy("doc_id", "from_policy", "to_policy").agg(F.count_if("gone").alias("removed"), F.count_if("new").alias("added"))
+
+
 def heading_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Headings of one set alone, with the side they are on."""
     key = ["doc_id", "page_no", "block_seq"]

@@ -68,42 +68,70 @@ def box_overlap(a: str, b: str) -> Column:
     return (c(a, "l") < c(b, "r")) & (c(b, "l") < c(a, "r")) & (c(a, "t") < c(b, "b")) & (c(b, "t") < c(a, "b"))
 
 
-def native_extents(blocks: DataFrame, words: DataFrame, layout: DataFrame) -> DataFrame:
+def with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """Blocks with an array of their words in order: (word, wl, t, wr, b) from rows of word_idx 0, 1, ..."""
+    key = ["doc_id", "page_no", "block_seq"]
+    held = F.array_sort(F.collect_list(F.struct("word_idx", "word", "wl", "t", "wr", "b")))
+    return blocks.join(words.groupBy(*key).agg(held.alias("words")), key, "left")
+
+
+def native_extents(blocks: DataFrame, layout: DataFrame) -> DataFrame:
     """Of each block and box that overlap, the words from the first to the last that meet the box.
 
-    The equal keys are the page: a page's few boxes meet its few words, never the corpus'.
-    words: doc_id, page_no, block_seq, word_idx, word, wl, t, wr, b.
+    blocks carry their words as an array (word, wl, t, wr, b), so a word is never a row of its
+    own. The equal keys are the page: a page's few boxes meet its few blocks, never the corpus'.
     """
-    page = (F.col("w.doc_id") == F.col("o.doc_id")) & (F.col("w.page_no") == F.col("o.page_no"))
-    meets = (F.col("w.wl") < F.col("o.r")) & (F.col("o.l") < F.col("w.wr")) & (F.col("w.t") < F.col("o.b")) & (F.col("o.t") < F.col("w.b"))
-    hits = words.alias("w").join(layout.alias("o"), page & meets)
-    spans = hits.groupBy("w.doc_id", "w.page_no", "o.obs_seq", "w.block_seq").agg(F.min("w.word_idx").alias("first_word"), F.max("w.word_idx").alias("last_word"), F.count("*").alias("intersecting"))
-    del blocks  # a box that meets a word meets its block
-    return spans
+    page = (F.col("n.doc_id") == F.col("o.doc_id")) & (F.col("n.page_no") == F.col("o.page_no"))
+    near = blocks.alias("n").join(layout.alias("o"), page & box_overlap("n", "o"))
 
+    def place(w: Column, i: Column) -> Column:
+        meets = (w["wl"] < F.col("o.r")) & (F.col("o.l") < w["wr"]) & (w["t"] < F.col("o.b")) & (F.col("o.t") < w["b"])
+        return F.when(meets, i)
 
-def extent_words(extents: DataFrame, words: DataFrame) -> DataFrame:
-    """The words of extents, those in between included."""
-    key = ["doc_id", "page_no", "block_seq"]
-    return extents.join(words, key).filter(F.col("word_idx").between(F.col("first_word"), F.col("last_word")))
+    met = F.filter(F.transform("n.words", place), lambda i: i.isNotNull())
+    out = near.select("n.doc_id", "n.page_no", "o.obs_seq", "o.kind", "n.block_seq", "n.words", met.alias("met")).filter(F.size("met") > 0)
+    out = out.withColumns({"first_word": F.array_min("met"), "last_word": F.array_max("met"), "intersecting": F.size("met").cast("long")})
+    extent = F.slice("words", F.col("first_word") + 1, F.col("last_word") - F.col("first_word") + 1)
+    return out.withColumn("words", extent).drop("met")
 
 
-def pairings(layout: DataFrame, extents: DataFrame, words: DataFrame) -> DataFrame:
+def pairings(layout: DataFrame, extents: DataFrame) -> DataFrame:
     """Of each box to be read, its native text, bounds and status.
 
-    A word that more than one box owns makes all of them ambiguous.
+    A word that more than one box owns makes all of them ambiguous. The boxes of a block are
+    compared with each other in one row a block: as many as meet it on its page.
     """
-    wanted = layout.filter(F.col("kind").isin(*READ_KINDS)).select("doc_id", "page_no", "obs_seq")
-    owned = extent_words(extents.join(wanted, ["doc_id", "page_no", "obs_seq"], "left_semi"), words)
-    owners = owned.groupBy("doc_id", "page_no", "block_seq", "word_idx").agg(F.count("*").alias("owners"))
-    shared = owned.join(owners, ["doc_id", "page_no", "block_seq", "word_idx"])
-    held = F.array_sort(F.collect_list(F.struct("block_seq", "word_idx", "word")))
-    native = shared.groupBy("doc_id", "page_no", "obs_seq").agg(
-        F.max("owners").alias("owners"), held.alias("held"), F.min("wl").alias("l"), F.min("t").alias("t"), F.max("wr").alias("r"), F.max("b").alias("b"), F.count_if(F.col("owners") > 1).alias("ambiguous_words")
-    )
-    status = F.when(F.col("owners").isNull(), "NoNativeEvidence").when(F.col("owners") > 1, "AmbiguousWordOwnership").otherwise("Comparable")
-    out = wanted.join(native, ["doc_id", "page_no", "obs_seq"], "left")
-    return out.select("doc_id", "page_no", "obs_seq", status.alias("status"), F.array_join(F.transform("held", lambda x: x["word"]), " ").alias("native_text"), F.transform("held", lambda x: x["word"]).alias("native_words"), F.coalesce("ambiguous_words", F.lit(0)).alias("ambiguous_words"), "l", "t", "r", "b")
+    box = ["doc_id", "page_no", "obs_seq"]
+    wanted = layout.filter(F.col("kind").isin(*READ_KINDS)).select(*box)
+    own = F.collect_list(F.struct("obs_seq", "first_word", "last_word", "words"))
+    of_block = extents.filter(F.col("kind").isin(*READ_KINDS)).groupBy("doc_id", "page_no", "block_seq").agg(own.alias("boxes"))
+
+    def shared(x: Column) -> Column:
+        def owned(i: Column) -> Column:
+            return F.exists("boxes", lambda y: (y["obs_seq"] != x["obs_seq"]) & i.between(y["first_word"], y["last_word"]))
+
+        return F.size(F.filter(F.sequence(x["first_word"], x["last_word"]), owned))
+
+    counted = F.transform("boxes", lambda x: F.struct(x["obs_seq"].alias("obs_seq"), x["words"].alias("words"), shared(x).alias("shared")))
+    each = of_block.select("doc_id", "page_no", "block_seq", F.explode(counted).alias("x")).select("doc_id", "page_no", "x.obs_seq", "block_seq", "x.words", "x.shared")
+    held = F.array_sort(F.collect_list(F.struct("block_seq", "words")))
+    native = each.groupBy(*box).agg(F.flatten(F.transform(held, lambda h: h["words"])).alias("words"), F.sum("shared").alias("ambiguous_words"))
+    status = F.when(F.col("words").isNull(), "NoNativeEvidence").when(F.col("ambiguous_words") > 0, "AmbiguousWordOwnership").otherwise("Comparable")
+    part = lambda c: F.transform("words", lambda w: w[c])
+    bounds = [F.array_min(part("wl")).alias("l"), F.array_min(part("t")).alias("t"), F.array_max(part("wr")).alias("r"), F.array_max(part("b")).alias("b")]
+    out = wanted.join(native, box, "left")
+    return out.select(*box, status.alias("status"), F.array_join(part("word"), " ").alias("native_text"), F.coalesce("ambiguous_words", F.lit(0)).alias("ambiguous_words"), *bounds)
+
+
+def page_outcomes(pairs: DataFrame, statuses: DataFrame) -> DataFrame:
+    """H7: (doc_id, page_no, outcome, ambiguous_boxes): a page fails if two of its boxes own one word.
+
+    statuses: doc_id, page_no, page_status. Pages without native text aren't paired and can't fail.
+    """
+    crossed = pairs.groupBy("doc_id", "page_no").agg(F.count_if(F.col("status") == "AmbiguousWordOwnership").alias("crossed"))
+    out = statuses.join(crossed, ["doc_id", "page_no"], "left")
+    boxes = F.when(F.col("page_status") != "Missing", F.coalesce("crossed", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return out.select("doc_id", "page_no", F.when(boxes > 0, "Failed").otherwise("Completed").alias("outcome"), boxes.alias("ambiguous_boxes"))
 
 
 def dehyphenate_fragments(fragments: Column, native: bool) -> Column:

@@ -40,23 +40,27 @@ def structural_blocks(blocks: DataFrame) -> DataFrame:
     return out.withColumns({"words": count.cast("long"), "chars": F.length("norm_text").cast("long")})
 
 
-def heading_association(visuals: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The nearest heading of each visual's page (ties by block) and how strong the tie is."""
-    page = (F.col("v.doc_id") == F.col("h.doc_id")) & (F.col("v.page_no") == F.col("h.page_no")) & F.col("h.is_heading")
-    dx = axis_gap(*_c("v", "l", "r"), *_c("h", "l", "r"))
-    dy = axis_gap(*_c("v", "t", "b"), *_c("h", "t", "b"))
-    near = visuals.alias("v").join(blocks.alias("h"), page, "left").select("v.*", F.sqrt(dx * dx + dy * dy).alias("distance"), F.col("h.block_seq").alias("heading_seq"), F.col("h.t").alias("ht"), F.col("h.b").alias("hb"))
-    first = Window.partitionBy("doc_id", "page_no", "visual_idx").orderBy(F.col("distance").asc_nulls_last(), "heading_seq")
-    out = near.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    height = F.col("hb") - F.col("ht")
+def _heading(out: DataFrame) -> DataFrame:
+    """G2 from the nearest heading (distance, block_seq, ht, hb): how strong the tie is."""
+    near = lambda k: F.col(f"heading.{k}")
+    height = near("hb") - near("ht")
     ratio = F.when(height > 0, (F.col("b") - F.col("t")) / height)
-    strong = (F.col("distance") <= STRONG_DISTANCE) & (overlap_ratio(F.col("t"), F.col("b"), F.col("ht"), F.col("hb")) >= STRONG_OVERLAP) & ratio.between(LEAST_HEIGHT_RATIO, MOST_HEIGHT_RATIO) & F.col("interaction").isin(*LOW_INTERACTION)
-    kind = F.when(F.coalesce(strong, F.lit(False)), "StrongAdjacentVisual").when(F.col("distance") <= POSSIBLE_DISTANCE, "PossibleAdjacentVisual").otherwise("NoStrongAssociation")
-    return out.withColumn("heading_evidence", kind).drop("__n", "ht", "hb")
+    side = overlap_ratio(F.col("t"), F.col("b"), near("ht"), near("hb")) >= STRONG_OVERLAP
+    strong = (near("distance") <= STRONG_DISTANCE) & side & ratio.between(LEAST_HEIGHT_RATIO, MOST_HEIGHT_RATIO) & F.col("interaction").isin(*LOW_INTERACTION)
+    kind = F.when(F.coalesce(strong, F.lit(False)), "StrongAdjacentVisual").when(near("distance") <= POSSIBLE_DISTANCE, "PossibleAdjacentVisual")
+    return out.withColumn("heading_evidence", kind.otherwise("NoStrongAssociation"))
 
 
-def text_containment(visuals: DataFrame, blocks: DataFrame) -> DataFrame:
-    """What native text lies inside each visual."""
+def _heading_parts() -> dict[str, Column]:
+    """The nearest heading of the page; ties by block."""
+    dx = axis_gap(*_c("v", "l", "r"), *_c("x", "l", "r"))
+    dy = axis_gap(*_c("v", "t", "b"), *_c("x", "t", "b"))
+    near = F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), F.col("x.block_seq").alias("seq"), F.col("x.t").alias("ht"), F.col("x.b").alias("hb"))
+    return {"heading": F.min(F.when(F.col("x.is_heading"), near))}
+
+
+def _containment_parts() -> dict[str, Column]:
+    """Blocks and words inside the visual, and the words of its page."""
     l, t, r, b = _c("v", "l", "t", "r", "b")
     bl, bt, br, bb = _c("x", "l", "t", "r", "b")
     cx, cy = (bl + br) / 2, (bt + bb) / 2
@@ -64,19 +68,22 @@ def text_containment(visuals: DataFrame, blocks: DataFrame) -> DataFrame:
     full = (bl >= l - FULL_TOLERANCE) & (br <= r + FULL_TOLERANCE) & (bt >= t - FULL_TOLERANCE) & (bb <= b + FULL_TOLERANCE)
     area = (br - bl) * (bb - bt)
     shared = F.greatest(F.lit(0.0), F.least(r, br) - F.greatest(l, bl)) * F.greatest(F.lit(0.0), F.least(b, bb) - F.greatest(t, bt))
-    inside = centre | full | F.coalesce(F.when(area > 0, shared / area) >= CONTAINED_SHARE, F.lit(False))
-    page = (F.col("v.doc_id") == F.col("x.doc_id")) & (F.col("v.page_no") == F.col("x.page_no"))
-    page_words = blocks.groupBy("doc_id", "page_no").agg(F.sum("words").alias("page_words"))
-    held = visuals.alias("v").join(blocks.alias("x"), page & inside).groupBy("v.doc_id", "v.page_no", "v.visual_idx").agg(
-        F.count_if("x.is_heading").alias("headings"), F.count_if(~F.col("x.is_heading")).alias("bodies"), F.sum("x.words").alias("inside_words"),
-        F.coalesce(F.sum(F.when(F.col("x.is_heading"), F.col("x.words"))), F.lit(0)).alias("heading_words"), F.coalesce(F.sum(F.when(~F.col("x.is_heading"), F.col("x.words"))), F.lit(0)).alias("body_words"),
-        F.count_if(~F.col("x.is_heading") & ((F.col("x.words") >= PARAGRAPH_WORDS) | (F.col("x.chars") >= PARAGRAPH_CHARS))).alias("paragraphs"),
-    )
-    out = visuals.join(held, ["doc_id", "page_no", "visual_idx"], "left").join(page_words, ["doc_id", "page_no"], "left")
+    inside = F.coalesce(centre | full | F.coalesce(F.when(area > 0, shared / area) >= CONTAINED_SHARE, F.lit(False)), F.lit(False))
+    title, words = F.col("x.is_heading"), F.col("x.words")
+    long_body = inside & ~title & ((words >= PARAGRAPH_WORDS) | (F.col("x.chars") >= PARAGRAPH_CHARS))
+    return {
+        "headings": F.count_if(inside & title), "bodies": F.count_if(inside & ~title), "paragraphs": F.count_if(long_body), "page_words": F.sum(words),
+        "inside_words": F.sum(F.when(inside, words).otherwise(0)), "heading_words": F.sum(F.when(inside & title, words).otherwise(0)), "body_words": F.sum(F.when(inside & ~title, words).otherwise(0)),
+    }
+
+
+def _containment(out: DataFrame) -> DataFrame:
+    """What native text lies inside each visual."""
     dominated = (F.col("headings") > 0) & (F.col("body_words") <= F.greatest(F.lit(3), F.expr("heading_words div 2")))
-    rich = (F.col("bodies") >= 2) | (F.col("paragraphs") >= 1) | (F.when(F.col("page_words") > 0, F.col("inside_words") / F.col("page_words")) >= RICH_SHARE)
-    kind = F.when(F.coalesce(F.col("inside_words"), F.lit(0)) == 0, "NoContainedNativeText").when(dominated, "HeadingDominatedContainedText").when(rich, "TextRichContainer").otherwise("SparseContainedText")
-    return out.withColumn("containment_evidence", kind).drop("headings", "bodies", "inside_words", "heading_words", "body_words", "paragraphs", "page_words")
+    share = F.when(F.col("page_words") > 0, F.col("inside_words") / F.col("page_words"))
+    rich = (F.col("bodies") >= 2) | (F.col("paragraphs") >= 1) | (share >= RICH_SHARE)
+    kind = F.when(F.coalesce(F.col("inside_words"), F.lit(0)) == 0, "NoContainedNativeText").when(dominated, "HeadingDominatedContainedText")
+    return out.withColumn("containment_evidence", kind.when(rich, "TextRichContainer").otherwise("SparseContainedText"))
 
 
 def _vertical(t: Column, b: Column, xt: Column, xb: Column) -> tuple[Column, Column]:
@@ -84,44 +91,65 @@ def _vertical(t: Column, b: Column, xt: Column, xb: Column) -> tuple[Column, Col
     return below | above, F.when(below, xt - b).when(above, t - xb)
 
 
-def caption_association(visuals: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """A lead word above or below decides if there is one, else the best block that could be a caption."""
-    key = ["doc_id", "page_no", "visual_idx"]
-    same = lambda s: (F.col("v.doc_id") == F.col(f"{s}.doc_id")) & (F.col("v.page_no") == F.col(f"{s}.page_no"))
-    lead = words.filter(F.lower(F.regexp_replace(F.trim("word"), "[:.]+$", "")).isin(*LEAD_WORDS))
-    apart, gap = _vertical(*_c("v", "t", "b"), *_c("w", "t", "b"))
-    centre = (F.col("w.wl") + F.col("w.wr")) / 2
-    aligned = (centre >= F.col("v.l") - LEXICAL_TOLERANCE) & (centre <= F.col("v.r") + LEXICAL_TOLERANCE)
-    lexical = visuals.alias("v").join(lead.alias("w"), same("w") & apart & aligned & (gap <= CAPTION_GAP)).groupBy(*(f"v.{k}" for k in key)).agg(F.min(gap).alias("lead_gap"))
-
+def _caption_parts() -> dict[str, Column]:
+    """Of the blocks that could be a caption, the one with a hint, the least gap, the greatest overlap, the first."""
     apart, gap = _vertical(*_c("v", "t", "b"), *_c("x", "t", "b"))
     overlap = overlap_ratio(*_c("v", "l", "r"), *_c("x", "l", "r"))
     middle = (F.col("x.l") + F.col("x.r")) / 2
     aligned = (middle >= F.col("v.l") - BLOCK_CAPTION["tolerance"]) & (middle <= F.col("v.r") + BLOCK_CAPTION["tolerance"])
+    start = F.lower(F.ltrim("x.norm_text"))
     hint = F.lit(False)
     for h in HINTS:
-        hint = hint | F.startswith(F.lower(F.ltrim("x.norm_text")), F.lit(h))
+        hint = hint | F.startswith(start, F.lit(h))
     fits = ~F.col("x.is_heading") & apart & (gap <= CAPTION_GAP) & ((overlap >= BLOCK_CAPTION["overlap"]) | aligned | hint)
-    found = visuals.alias("v").join(blocks.alias("x"), same("x") & fits).select(*(f"v.{k}" for k in key), hint.alias("hint"), gap.alias("gap"), overlap.alias("overlap"), aligned.alias("aligned"), "x.block_seq", "x.words", "x.chars")
-    best = Window.partitionBy(*key).orderBy(F.desc("hint"), "gap", F.desc("overlap"), "block_seq")
-    found = found.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
-    short = F.col("words").between(BLOCK_CAPTION["least_words"], BLOCK_CAPTION["most_words"]) & (F.col("chars") <= BLOCK_CAPTION["most_chars"])
-    strong = F.col("hint") & short & (F.col("gap") <= STRONG_CAPTION_GAP) & ((F.col("overlap") >= BLOCK_CAPTION["strong_overlap"]) | F.col("aligned"))
-    possible = short & (F.col("gap") <= POSSIBLE_CAPTION_GAP) & (F.col("overlap") >= BLOCK_CAPTION["possible_overlap"])
-    by_block = F.when(F.col("gap").isNull(), "NoAssociation").when(strong, "StrongAssociation").when(possible, "PossibleAssociation").otherwise("NoStrongAssociation")
+    order = [(~hint).alias("plain"), gap.alias("gap"), (-overlap).alias("apart"), F.col("x.block_seq").alias("seq")]
+    facts = [hint.alias("hint"), overlap.alias("overlap"), aligned.alias("aligned"), F.col("x.words").alias("words"), F.col("x.chars").alias("chars")]
+    return {"caption": F.min(F.when(fits, F.struct(*order, *facts)))}
+
+
+def _caption(out: DataFrame) -> DataFrame:
+    """A lead word above or below decides if there is one, else the best block that could be a caption."""
+    best = lambda k: F.col(f"caption.{k}")
+    short = best("words").between(BLOCK_CAPTION["least_words"], BLOCK_CAPTION["most_words"]) & (best("chars") <= BLOCK_CAPTION["most_chars"])
+    strong = best("hint") & short & (best("gap") <= STRONG_CAPTION_GAP) & ((best("overlap") >= BLOCK_CAPTION["strong_overlap"]) | best("aligned"))
+    possible = short & (best("gap") <= POSSIBLE_CAPTION_GAP) & (best("overlap") >= BLOCK_CAPTION["possible_overlap"])
+    by_block = F.when(F.col("caption").isNull(), "NoAssociation").when(strong, "StrongAssociation").when(possible, "PossibleAssociation").otherwise("NoStrongAssociation")
     by_word = F.when(F.col("lead_gap") <= STRONG_CAPTION_GAP, "StrongAssociation").when(F.col("lead_gap").isNotNull(), "PossibleAssociation")
-    out = visuals.join(lexical, key, "left").join(found.select(*key, "hint", "gap", "overlap", "aligned", "words", "chars"), key, "left")
-    return out.withColumn("caption_evidence", F.coalesce(by_word, by_block)).drop("lead_gap", "hint", "gap", "overlap", "aligned", "words", "chars")
+    return out.withColumn("caption_evidence", F.coalesce(by_word, by_block))
+
+
+def lead_words(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, wl, t, wr, b) of the words of blocks (an array) that begin a caption.
+
+    One look at a block's text leaves nearly all blocks out before any word is a row.
+    """
+    clean = lambda w: F.lower(F.regexp_replace(F.trim(w["word"]), "[:.]+$", ""))
+    some = blocks.filter(F.lower("text").rlike("|".join(LEAD_WORDS)))
+    found = some.select("doc_id", "page_no", F.explode(F.filter("words", lambda w: clean(w).isin(*LEAD_WORDS))).alias("w"))
+    return found.select("doc_id", "page_no", "w.wl", "w.t", "w.wr", "w.b")
 
 
 def enrich(visuals: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """All three; a visual that isn't measured has no evidence."""
+    """Adds heading_evidence, containment_evidence and caption_evidence; a visual that isn't measured has none.
+
+    blocks: of G1, with headings marked. words: blocks with an array of their words. Each
+    visual meets the blocks of its page once, in one grouped pass for all three.
+    """
     key = ["doc_id", "page_no", "visual_idx"]
     measured = visuals.filter("fg_state = 'Measured'")
-    out = visuals
-    for made, name in ((heading_association(measured, blocks), "heading_evidence"), (text_containment(measured, blocks), "containment_evidence"), (caption_association(measured, blocks, words), "caption_evidence")):
-        out = out.join(made.select(*key, name), key, "left").fillna({name: "NotMeasured"})
-    return out
+    same = lambda s: (F.col("v.doc_id") == F.col(f"{s}.doc_id")) & (F.col("v.page_no") == F.col(f"{s}.page_no"))
+    of_visual = [F.col(f"v.{k}") for k in key]
+    parts = _heading_parts() | _containment_parts() | _caption_parts()
+    box = ["l", "t", "r", "b", "interaction"]
+    met = measured.alias("v").join(blocks.alias("x"), same("x"), "left").groupBy(*of_visual, *(F.col(f"v.{c}") for c in box)).agg(*(c.alias(n) for n, c in parts.items()))
+    apart, gap = _vertical(*_c("v", "t", "b"), *_c("w", "t", "b"))
+    centre = (F.col("w.wl") + F.col("w.wr")) / 2
+    aligned = (centre >= F.col("v.l") - LEXICAL_TOLERANCE) & (centre <= F.col("v.r") + LEXICAL_TOLERANCE)
+    lexical = measured.alias("v").join(lead_words(words).alias("w"), same("w") & apart & aligned & (gap <= CAPTION_GAP))
+    met = met.join(lexical.groupBy(*of_visual).agg(F.min(gap).alias("lead_gap")), key, "left")
+    names = ["heading_evidence", "containment_evidence", "caption_evidence"]
+    found = _caption(_containment(_heading(met))).select(*key, *names)
+    return visuals.join(found, key, "left").fillna(dict.fromkeys(names, "NotMeasured"))
 
 
 def classify_source_visual() -> Column:

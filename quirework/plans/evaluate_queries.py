@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirework.functions import measures
@@ -84,30 +85,61 @@ def candidate_report(spark, sf_dir):
     return dualrun.candidate_report(dualrun.compare_texts(a.drop("line_no"), c.drop("line_no"), ["text", "origin"]))
 
 
+def _le(x: str) -> str:
+    """Four little-endian bytes of a number, in hexadecimal."""
+    h = f"printf('%08x', {x})"
+    return f"substr({h}, 7, 2) || substr({h}, 5, 2) || substr({h}, 3, 2) || substr({h}, 1, 2)"
+
+
+_SEQUENCE = measures.TEXT_SEQUENCE.encode().hex()
+
+
+@register(
+    "text_sequence_fingerprints",
+    "WITH " + rq.ELEMENTS + f""", own AS (SELECT doc_id, page_no, ord, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM elements WHERE text IS NOT NULL AND origin IN ('Native', 'Ocr'))
+    SELECT doc_id, sha256(unhex({_le(str(len(measures.TEXT_SEQUENCE)))} || '{_SEQUENCE}' || {_le("count(*)")} || string_agg({_le("n")} || h, '' ORDER BY page_no, ord))) AS text_fingerprint FROM own GROUP BY doc_id""",
+)
+def text_sequence_fingerprints(spark, sf_dir):
+    """The selected texts in order."""
+    return element_fingerprints(spark, sf_dir).select("doc_id", "text_fingerprint")
+
+
 @register("element_fingerprints")
 def element_fingerprints(spark, sf_dir):
-    """Byte-exact digests have no SQL form; tests hold them against struct.pack."""
+    """The bits of numbers have no SQL form; tests hold them against struct.pack."""
     boxes = rq.elements(spark, sf_dir).withColumns({"l": F.lit(0.0), "r": F.lit(1.0)})
     return dualrun.fingerprints(boxes)
 
 
 # --- error rates ------------------------------------------------------------------------------
 
-_CER = lambda x: (
-    "trim(regexp_replace(lower(replace(translate(regexp_replace(nfc_normalize(" + x + "), '(\\p{L})-[\\t ]*\\n[\\t ]*(\\p{L})', '\\1\\2', 'g'), '‘’“”–—' || chr(160), '''''\"\"-- '), chr(173), '')), '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g'))"
-)
-_RATES = "bench AS (SELECT item_id, text AS reference, replace(replace(replace(text, 'th', 'tb'), ', ', '-' || chr(10)), ' of ', ' Of — ') AS recognised FROM benchmark)"
+def _joined(x: str) -> str:
+    return f"regexp_replace({x}, '(\\p{{L}})-[\\t\\n\\x0B\\f\\r\\x85\\p{{Z}}]*\\n[\\t\\n\\x0B\\f\\r\\x85\\p{{Z}}]*(\\p{{L}})', '\\1\\2', 'g')"
+
+
+def _CER(x: str) -> str:
+    """Two passes join what a lookaround joins in one."""
+    signs = evaluate.APOSTROPHES + evaluate.QUOTES + evaluate.DASHES
+    plain = "''" * 3 + '"' * 2 + "-" * 6
+    folded = f"translate(replace({_joined(_joined(f'nfc_normalize({x})'))}, chr(173), ''), chr(160) || 'Σ{signs}', ' σ{plain}')"
+    return f"trim(regexp_replace(lower({folded}), '[\\t\\n\\x0B\\f\\r\\x85\\p{{Z}}]+', ' ', 'g'))"
+
+
+_RATES = "bench AS (SELECT item_id, text AS reference, replace(replace(replace(text, 'th', 'tb'), ', ', '-' || chr(10)), ' of ', ' Of — ') AS recognised FROM benchmark UNION ALL SELECT -1 - item_id, '', text FROM benchmark)"
 
 
 def _bench_pairs(spark, sf_dir):
     ev.ship(spark)
     bad = F.replace(F.replace(F.replace("text", F.lit("th"), F.lit("tb")), F.lit(", "), F.lit("-\n")), F.lit(" of "), F.lit(" Of — "))
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("reference"), bad.alias("recognised"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # and each text read where there is none
+    empty = items.select((-1 - F.col("item_id")).alias("item_id"), F.lit("").alias("reference"), F.col("text").alias("recognised"))
+    return items.select("item_id", F.col("text").alias("reference"), bad.alias("recognised")).unionByName(empty)
 
 
 @register(
     "character_error_rate",
-    "WITH " + _RATES + ", c AS (SELECT item_id, " + _CER("reference") + " AS a, " + _CER("recognised") + " AS b FROM bench) SELECT item_id, levenshtein(a, b)::BIGINT AS char_edits, length(a) AS chars, round_even(levenshtein(a, b)::DOUBLE / length(a), 6) AS cer FROM c",
+    "WITH " + _RATES + ", c AS (SELECT item_id, " + _CER("reference") + " AS a, " + _CER("recognised") + " AS b FROM bench) SELECT item_id, CASE WHEN a = '' THEN length(b) ELSE levenshtein(a, b) END::BIGINT AS char_edits, length(a) AS chars, CASE WHEN length(a) > 0 THEN round_even(levenshtein(a, b)::DOUBLE / length(a), 6) ELSE 0e0 END AS cer FROM c",
 )
 def character_error_rate(spark, sf_dir):
     """O27 and O29."""
@@ -128,11 +160,11 @@ def strict_error_rates(spark, sf_dir):
 
 @register(
     "micro_averaged_cer",
-    "WITH " + _RATES + ", c AS (SELECT item_id, " + _CER("reference") + " AS a, " + _CER("recognised") + " AS b FROM bench) SELECT item_id % 4 AS bucket, sum(levenshtein(a, b))::BIGINT AS char_edits, sum(length(a))::BIGINT AS chars, round_even(sum(levenshtein(a, b))::DOUBLE / sum(length(a)), 6) AS cer FROM c GROUP BY 1",
+    "WITH " + _RATES + ", c AS (SELECT item_id, " + _CER("reference") + " AS a, " + _CER("recognised") + " AS b FROM bench) SELECT abs(item_id) % 4 AS bucket, sum(e)::BIGINT AS char_edits, sum(length(a))::BIGINT AS chars, CASE WHEN sum(length(a)) > 0 THEN sum(e)::DOUBLE / sum(length(a)) ELSE 0e0 END AS cer FROM (SELECT *, CASE WHEN a = '' THEN length(b) ELSE levenshtein(a, b) END AS e FROM c) GROUP BY 1",
 )
 def micro_averaged_cer(spark, sf_dir):
     """P7."""
-    rates = evaluate.error_rates(_bench_pairs(spark, sf_dir)).withColumn("bucket", F.col("item_id") % 4)
+    rates = evaluate.error_rates(_bench_pairs(spark, sf_dir)).withColumn("bucket", F.abs("item_id") % 4)
     return evaluate.micro_average(rates, "bucket").select("bucket", "char_edits", "chars", "cer")
 
 
@@ -171,28 +203,30 @@ def region_zones(spark, sf_dir):
 
 
 def _outline(spark, sf_dir):
-    """A title for every third line of a document, changed in some places; parents by halves."""
-    blocks = ev.heading_blocks(spark, sf_dir)
-    rows = blocks.filter("line_no % 3 = 0 and length(norm_text) <= 200")
-    title = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("* "), F.lower("norm_text"))).otherwise(F.expr("substr(norm_text, 1, 40)"))
-    ordinal = F.col("line_no").cast("long")
-    return rows.select("doc_id", ordinal.alias("ordinal"), F.when(ordinal == 0, None).otherwise(F.floor(ordinal / 6) * 3).cast("long").alias("parent_ordinal"), title.alias("title"), F.col("page_no").alias("target_page"), F.col("t").alias("top"))
+    """A title for every third line of a document, changed in some way; parents as in a binary heap."""
+    rows = ev.heading_blocks(spark, sf_dir).filter("line_no % 3 = 0")
+    ordinal = (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1).cast("long")
+    rows = rows.withColumn("ordinal", ordinal)
+    numbered = F.concat(F.lit("Section "), F.col("ordinal").cast("string"), F.lit(" "), F.col("norm_text"))
+    title = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("* "), F.lower("norm_text"))).otherwise(numbered)
+    parent = F.when(F.col("ordinal") > 0, F.floor((F.col("ordinal") - 1) / 2)).cast("long")
+    return rows.select("doc_id", "ordinal", parent.alias("parent_ordinal"), title.alias("title"), F.col("page_no").alias("target_page"), F.col("l").alias("left"), F.col("t").alias("top"))
 
 
 _OUTLINE = ev.HEADINGS + """,
-outline AS (SELECT doc_id, line_no AS ordinal, CASE WHEN line_no = 0 THEN NULL ELSE line_no // 6 * 3 END AS parent_ordinal, CASE WHEN line_no % 2 = 0 THEN '* ' || lower(norm_text) ELSE substr(norm_text, 1, 40) END AS title, page_no AS target_page, t AS top
-  FROM headed WHERE line_no % 3 = 0 AND length(norm_text) <= 200)"""
+outline0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS ordinal FROM headed WHERE line_no % 3 = 0),
+outline AS (SELECT doc_id, ordinal, CASE WHEN ordinal > 0 THEN (ordinal - 1) // 2 END AS parent_ordinal,
+  CASE WHEN line_no % 2 = 0 THEN '* ' || lower(norm_text) ELSE 'Section ' || ordinal::VARCHAR || ' ' || norm_text END AS title, page_no AS target_page, l AS lft, t AS top FROM outline0)"""
 
 
 @register(
     "outline_levels",
-    "WITH RECURSIVE " + _OUTLINE.strip() + """, tree AS (SELECT doc_id, ordinal, 1 AS level FROM outline WHERE parent_ordinal IS NULL UNION ALL SELECT o.doc_id, o.ordinal, t.level + 1 FROM outline o JOIN tree t ON o.doc_id = t.doc_id AND o.parent_ordinal = t.ordinal AND o.ordinal <> t.ordinal WHERE t.level < 64)
+    "WITH RECURSIVE " + _OUTLINE.strip() + """, tree AS (SELECT doc_id, ordinal, 1 AS level FROM outline WHERE parent_ordinal IS NULL UNION ALL SELECT o.doc_id, o.ordinal, t.level + 1 FROM outline o JOIN tree t ON o.doc_id = t.doc_id AND o.parent_ordinal = t.ordinal)
     SELECT doc_id, ordinal, level::BIGINT AS level FROM tree""",
 )
 def outline_levels(spark, sf_dir):
     """O19."""
-    entries = _outline(spark, sf_dir).filter("parent_ordinal is null or parent_ordinal <> ordinal")
-    return _long(evaluate.outline_levels(entries.select("doc_id", "ordinal", "parent_ordinal", "title")), "ordinal", "level")
+    return evaluate.outline_levels(_outline(spark, sf_dir))
 
 
 _COMPACT = lambda x: ev.upper_sql(f"regexp_replace({x}, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')")
@@ -226,47 +260,91 @@ def lexical_candidates(spark, sf_dir):
     return _long(evaluate.lexical_candidates(_outline(spark, sf_dir), ev.heading_blocks(spark, sf_dir)), "block_seq", "rank")
 
 
+_BLANK = "[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]"
+
+
+def _number(x: str) -> str:
+    """A boundary behind the digits: anything but a word sign, or the end."""
+    return f"try_cast(nullif(regexp_extract({x}, '(?i)^{_BLANK}*(?:(?:chapter|part|section|book|excursus){_BLANK}+)?([0-9]{{1,4}})(?:[^\\p{{L}}\\p{{Mn}}\\p{{Nd}}\\p{{Pc}}]|$)', 1), '') AS INTEGER)"
+
+
+def _labels(x: str, y: str) -> str:
+    return f"CASE WHEN {x} IS NULL AND {y} IS NULL THEN 'BothMissing' WHEN {y} IS NULL THEN 'OutlineOnly' WHEN {x} IS NULL THEN 'CandidateOnly' WHEN {x} = {y} THEN 'Same' ELSE 'Different' END"
+
+
+#: Of keys ka (title) and kz (candidate), token counts na and nz, and their shared tokens.
+_MEASURED = """
+me AS (SELECT *, CASE WHEN least(length(ka), length(kz)) = 0 THEN 'None' WHEN ka = kz THEN 'Equal'
+    WHEN least(length(ka), length(kz)) < 8 OR least(length(ka), length(kz))::DOUBLE / greatest(length(ka), length(kz)) < 2e-1 THEN 'None'
+    WHEN contains(kz, ka) THEN 'OutlineWithinCandidate' WHEN contains(ka, kz) THEN 'CandidateWithinOutline' ELSE 'None' END AS containment,
+  CASE WHEN na > 0 THEN round_even(shared::DOUBLE / na, 3) ELSE 0e0 END AS of_title, CASE WHEN nz > 0 THEN round_even(shared::DOUBLE / nz, 3) ELSE 0e0 END AS of_text FROM nr),
+bd AS (SELECT *, CASE WHEN containment = 'Equal' THEN 'ExactEquivalent' WHEN containment <> 'None' THEN 'Containment' WHEN shared >= 3 AND of_title >= 7e-1 AND of_text >= 5e-1 THEN 'HighOverlap'
+  WHEN shared >= 2 AND of_title >= 5e-1 THEN 'ModerateOverlap' ELSE 'WeakOverlap' END AS band FROM me WHERE shared > 0 OR containment <> 'None')"""
+_BAND_ORDER = "list_position(['ExactEquivalent', 'Containment', 'HighOverlap', 'ModerateOverlap', 'WeakOverlap'], band)"
+
 _ALIGN = _OUTLINE + f""",
-cl0 AS (SELECT doc_id, page_no, block_seq, i AS size, (SELECT string_agg(norm_text, ' ' ORDER BY rn) FROM headed2 y WHERE y.doc_id = x.doc_id AND y.page_no = x.page_no AND y.rn BETWEEN x.rn AND x.rn + i - 1) AS cluster_text,
-  (SELECT count(*) FROM headed2 y WHERE y.doc_id = x.doc_id AND y.page_no = x.page_no AND y.rn BETWEEN x.rn AND x.rn + i - 1) AS held,
-  (SELECT min(t) FROM headed2 y WHERE y.doc_id = x.doc_id AND y.page_no = x.page_no AND y.rn BETWEEN x.rn AND x.rn + i - 1) AS ct, (SELECT max(b) FROM headed2 y WHERE y.doc_id = x.doc_id AND y.page_no = x.page_no AND y.rn BETWEEN x.rn AND x.rn + i - 1) AS cb
-  FROM headed2 x, range(1, 4) AS q(i)),
-cl AS (SELECT *, {_TOKENS("cluster_text")} AS z, {_COMPACT("cluster_text")} AS kz FROM cl0 WHERE held = size),
-ti AS (SELECT *, {_TOKENS("title")} AS a, {_COMPACT("title")} AS ka FROM outline),
-nr AS (SELECT ti.doc_id, ordinal, target_page, top, ka, kz, page_no, block_seq, size, ct, cb, len(a) AS na, len(z) AS nz, len(list_intersect(a, z)) AS shared FROM ti JOIN cl ON ti.doc_id = cl.doc_id AND cl.page_no BETWEEN ti.target_page - 2 AND ti.target_page + 2),
-sc AS (SELECT *, CASE WHEN na > 0 THEN round_even(shared::DOUBLE / na, 3) ELSE 0e0 END AS of_title, CASE WHEN nz > 0 THEN round_even(shared::DOUBLE / nz, 3) ELSE 0e0 END AS of_text,
-  round_even(CASE WHEN top < ct THEN ct - top WHEN top > cb THEN top - cb ELSE 0e0 END, 4) AS distance FROM nr),
-bd AS (SELECT *, CASE WHEN ka = kz THEN 'Exact' WHEN (contains(ka, kz) OR contains(kz, ka)) AND least(length(ka), length(kz)) >= 8 AND least(length(ka), length(kz)) >= 2e-1 * greatest(length(ka), length(kz)) THEN 'Containment'
-  WHEN shared >= 3 AND of_title >= 7e-1 AND of_text >= 5e-1 THEN 'High' WHEN shared >= 2 AND of_title >= 5e-1 THEN 'Moderate' WHEN shared >= 1 THEN 'Weak' ELSE 'None' END AS band FROM sc),
-al AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY list_position(['Exact', 'Containment', 'High', 'Moderate', 'Weak'], band), of_title DESC, of_text DESC, abs(page_no - target_page), distance, size, page_no, block_seq) AS rank FROM bd WHERE band <> 'None')"""
-_ALIGN = _ALIGN.replace("\ncl0 AS", "\nheaded2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_seq) AS rn FROM headed),\ncl0 AS", 1)
-
-
-@register("outline_alignment", "WITH " + _ALIGN + " SELECT doc_id, ordinal, rank, page_no, block_seq, size, band, shared, of_title, of_text, distance FROM al WHERE rank <= 5")
+hd AS (SELECT doc_id, page_no, block_seq, list({{'n': norm_text, 'l': l, 't': t, 'r': r, 'b': b}}) OVER (PARTITION BY doc_id, page_no ORDER BY block_seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS h FROM headed),
+cl0 AS (SELECT doc_id, page_no, block_seq, i AS size, h[1:i] AS h FROM hd, range(1, 4) AS q(i) WHERE i <= len(h)),
+cl1 AS (SELECT doc_id, page_no, block_seq, size, array_to_string(list_transform(h, lambda x: x.n), ' ') AS cluster_text, list_min(list_transform(h, lambda x: x.l)) AS cl, list_min(list_transform(h, lambda x: x.t)) AS ct,
+  list_max(list_transform(h, lambda x: x.r)) AS cr, list_max(list_transform(h, lambda x: x.b)) AS cb FROM cl0),
+cl AS (SELECT *, {_TOKENS("cluster_text")} AS z, {_COMPACT("cluster_text")} AS kz, {_number("cluster_text")} AS nz_label FROM cl1),
+ti AS (SELECT *, {_TOKENS("title")} AS a, {_COMPACT("title")} AS ka, {_number("title")} AS na_label FROM outline),
+nr AS (SELECT ti.doc_id, ordinal, target_page, lft, top, ka, kz, na_label, nz_label, page_no, block_seq, size, cl.cl, ct, cr, cb, len(a) AS na, len(z) AS nz, len(list_intersect(a, z)) AS shared
+  FROM ti JOIN cl ON ti.doc_id = cl.doc_id AND cl.page_no BETWEEN ti.target_page - 2 AND ti.target_page + 2),""" + _MEASURED + f""",
+ds AS (SELECT *, {_labels("na_label", "nz_label")} AS labels,
+  CASE WHEN page_no = target_page THEN round_even(CASE WHEN top < ct THEN ct - top WHEN top > cb THEN top - cb ELSE 0e0 END, 4) END AS distance,
+  CASE WHEN page_no = target_page THEN round_even(sqrt(greatest(cl - lft, 0e0, lft - cr) * greatest(cl - lft, 0e0, lft - cr) + greatest(ct - top, 0e0, top - cb) * greatest(ct - top, 0e0, top - cb)), 4) END AS point FROM bd),
+al AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY {_BAND_ORDER}, of_title DESC, of_text DESC, shared DESC, abs(page_no - target_page), page_no - target_page, distance NULLS LAST, size, block_seq) AS rank FROM ds)"""
+
+
+@register("outline_alignment", "WITH " + _ALIGN + " SELECT doc_id, ordinal, rank, page_no, block_seq, size, band, containment, labels, shared, of_title, of_text, distance, point FROM al WHERE rank <= 5")
 def outline_alignment(spark, sf_dir):
-    """The five best clusters are the feature."""
+    """The five best clusters are the feature."""
     out = evaluate.align_outline(_outline(spark, sf_dir), ev.heading_blocks(spark, sf_dir))
     return _long(out, "rank", "page_no", "block_seq", "size", "shared")
 
 
-@register("band_summary", "WITH " + _ALIGN + ", d AS (SELECT unnest(['Exact', 'Containment', 'High', 'Moderate', 'Weak', 'None']) AS band) SELECT d.band, count(al.band) AS titles FROM d LEFT JOIN al ON al.band = d.band AND al.rank = 1 GROUP BY d.band")
+@register(
+    "title_matches",
+    "WITH " + ev.BLOCKS + pq.OCR + f""",
+rg AS (SELECT doc_id, page_no, 2 * obs_seq + text_seq AS seq, text FROM ocr),
+hd AS (SELECT doc_id, page_no, row_number() OVER p - 1 AS first_region, list(text) OVER (PARTITION BY doc_id, page_no ORDER BY seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS h FROM rg WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY seq)),
+cl AS (SELECT doc_id, page_no, first_region, i AS size, array_to_string(h[1:i], ' ') AS candidate FROM hd, range(1, 4) AS q(i) WHERE i <= len(h)),
+ti AS (SELECT doc_id, page_no, 'The ' || lower(text) AS title FROM blocks WHERE block_seq = 0),
+nr AS (SELECT ti.doc_id, ti.page_no, first_region, size, {_COMPACT("title")} AS ka, {_COMPACT("candidate")} AS kz, len({_TOKENS("title")}) AS na, len({_TOKENS("candidate")}) AS nz, len(list_intersect({_TOKENS("title")}, {_TOKENS("candidate")})) AS shared
+  FROM ti JOIN cl ON cl.doc_id = ti.doc_id AND cl.page_no = ti.page_no),""" + _MEASURED + f""",
+al AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY {_BAND_ORDER}, of_title DESC, of_text DESC, shared DESC, size, first_region) AS rank FROM bd)
+SELECT doc_id, page_no, band, containment, first_region, size, shared, of_title, of_text FROM al WHERE rank = 1""",
+)
+def title_matches(spark, sf_dir):
+    """A page's first line, changed, among its recognised regions."""
+    blocks = ev.blocks(spark, sf_dir)
+    titles = blocks.filter("block_seq = 0").select("doc_id", "page_no", F.concat(F.lit("The "), F.lower("text")).alias("title"))
+    regions = plaintext.recognised(blocks).select("doc_id", "page_no", (F.col("obs_seq") * 2 + F.col("text_seq")).alias("seq"), "text")
+    return _long(evaluate.match_titles(titles, regions), "page_no", "size", "shared")
+
+
+@register("band_summary", "WITH " + _ALIGN + ", d AS (SELECT unnest(['ExactEquivalent', 'Containment', 'HighOverlap', 'ModerateOverlap', 'WeakOverlap', 'None']) AS band) SELECT d.band, count(al.band) AS titles FROM d LEFT JOIN al ON al.band = d.band AND al.rank = 1 GROUP BY d.band")
 def band_summary(spark, sf_dir):
     """O33."""
     return evaluate.band_summary(outline_alignment(spark, sf_dir).filter("rank = 1"))
 
 
+_BEFORE = """SELECT *, CASE line_no % 5 WHEN 0 THEN ' Chapter ' || (line_no // 2)::VARCHAR || ' ' WHEN 1 THEN (line_no // 2)::VARCHAR || '. ' WHEN 2 THEN '12345 ' ELSE '' END AS n,
+  CASE line_no % 4 WHEN 0 THEN (line_no // 2)::VARCHAR || ' ' WHEN 1 THEN 'EXCURSUS 3: ' WHEN 2 THEN '7th ' ELSE '' END AS m FROM blocks"""
+
+
 @register(
     "label_relations",
-    "WITH " + ev.BLOCKS + """, p AS (SELECT doc_id, line_no, regexp_extract(n || text, '^\\s*(\\d+(?:\\.\\d+)*)', 1) AS x, regexp_extract(m || text, '^\\s*(\\d+(?:\\.\\d+)*)', 1) AS y
-    FROM (SELECT *, CASE WHEN line_no % 3 = 0 THEN (line_no // 2)::VARCHAR || '.' || (doc_id % 3)::VARCHAR || ' ' ELSE '' END AS n, CASE WHEN line_no % 4 < 2 THEN (line_no // 2)::VARCHAR || '.1 ' ELSE '' END AS m FROM blocks))
-    SELECT doc_id, line_no, CASE WHEN x = '' AND y = '' THEN 'NoLabels' WHEN x = '' OR y = '' THEN 'OneLabel' WHEN x = y THEN 'SameLabel' ELSE 'OtherLabel' END AS relation FROM p""",
+    "WITH " + ev.BLOCKS + f""", p AS (SELECT doc_id, line_no, {_number("n || text")} AS x, {_number("m || text")} AS y FROM ({_BEFORE}))
+    SELECT doc_id, line_no, {_labels("x", "y")} AS relation FROM p""",
 )
 def label_relations(spark, sf_dir):
-    """Lines with section numbers put before some."""
+    """Lines with numbers of several forms put before some."""
     n, half = F.col("line_no"), F.expr("line_no div 2").cast("string")
-    a = F.concat(F.when(n % 3 == 0, F.concat(half, F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit(" "))).otherwise(F.lit("")), "text")
-    b = F.concat(F.when(n % 4 < 2, F.concat(half, F.lit(".1 "))).otherwise(F.lit("")), "text")
-    return ev.blocks(spark, sf_dir).select("doc_id", n.cast("long"), evaluate.label_relation(a, b).alias("relation"))
+    a = F.when(n % 5 == 0, F.concat(F.lit(" Chapter "), half, F.lit(" "))).when(n % 5 == 1, F.concat(half, F.lit(". "))).when(n % 5 == 2, F.lit("12345 ")).otherwise(F.lit(""))
+    b = F.when(n % 4 == 0, F.concat(half, F.lit(" "))).when(n % 4 == 1, F.lit("EXCURSUS 3: ")).when(n % 4 == 2, F.lit("7th ")).otherwise(F.lit(""))
+    return ev.blocks(spark, sf_dir).select("doc_id", n.cast("long"), evaluate.label_relation(F.concat(a, "text"), F.concat(b, "text")).alias("relation"))
 
 
 @register(
@@ -373,15 +451,25 @@ def multi_column_scores(spark, sf_dir):
 
 @register(
     "selected_specimens",
-    """WITH s AS (SELECT doc_id::VARCHAR AS specimen, lang AS category, n_chars AS score FROM documents UNION ALL SELECT doc_id::VARCHAR, 'all', n_chars FROM documents),
-    a AS (SELECT * FROM s WHERE category = 'de' ORDER BY score DESC, specimen LIMIT 5), z AS (SELECT * FROM s WHERE category = 'all' AND specimen NOT IN (SELECT specimen FROM a) ORDER BY score DESC, specimen LIMIT 5)
-    SELECT specimen, category, row_number() OVER (ORDER BY score DESC, specimen) AS rank FROM a UNION ALL SELECT specimen, category, row_number() OVER (ORDER BY score DESC, specimen) FROM z""",
+    """WITH s AS (SELECT 'd' || (doc_id // 3)::VARCHAR AS document_id, CASE WHEN doc_id = 2 THEN 'hilbert_zahlkoerper_1897_0379.xml' ELSE 'p' || doc_id::VARCHAR || '.xml' END AS name,
+      CASE WHEN doc_id % 9 <> 4 THEN 1480 + doc_id * 37 % 470 END AS year, n_chars AS chars, len(string_split(coalesce(text, ''), chr(10))) AS regions, (doc_id * 7 % 50) / 50e0 AS score FROM documents),
+    a AS (SELECT * FROM s WHERE year <= 1550 AND chars >= 1000 ORDER BY document_id, name LIMIT 1),
+    b AS (SELECT * FROM s WHERE year BETWEEN 1700 AND 1799 AND chars >= 1000 AND name NOT IN (SELECT name FROM a) ORDER BY document_id, name LIMIT 1),
+    c AS (SELECT * FROM s WHERE (name = 'hilbert_zahlkoerper_1897_0379.xml' OR (year BETWEEN 1800 AND 1900 AND chars >= 1000)) AND name NOT IN (SELECT name FROM a UNION ALL SELECT name FROM b)
+      ORDER BY name <> 'hilbert_zahlkoerper_1897_0379.xml', document_id, name LIMIT 1),
+    d AS (SELECT * FROM s WHERE score > 0 AND chars >= 1000 AND name NOT IN (SELECT name FROM a UNION ALL SELECT name FROM b UNION ALL SELECT name FROM c) ORDER BY score DESC, document_id, name LIMIT 1)
+    SELECT 1::BIGINT AS place, 'early-print' AS category, document_id, name FROM a UNION ALL SELECT 2, 'eighteenth-century', document_id, name FROM b
+    UNION ALL SELECT 3, 'nineteenth-century', document_id, name FROM c UNION ALL SELECT 4, 'multi-column', document_id, name FROM d""",
 )
 def selected_specimens(spark, sf_dir):
-    """A selection of the best few is the feature."""
-    docs = ev.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("specimen"), F.col("lang").alias("category"), F.col("n_chars").alias("score"))
-    out = evaluate.select_specimens(docs.unionByName(docs.withColumn("category", F.lit("all"))), ["de", "all"], 5)
-    return _long(out, "rank")
+    """A selection of four is the feature."""
+    d = F.col("doc_id")
+    name = F.when(d == 2, evaluate.PREFERRED["nineteenth-century"]).otherwise(F.concat(F.lit("p"), d.cast("string"), F.lit(".xml")))
+    docs = ev.documents(spark, sf_dir).select(
+        F.concat(F.lit("d"), F.expr("doc_id div 3").cast("string")).alias("document_id"), name.alias("name"), F.when(d % 9 != 4, 1480 + d * 37 % 470).alias("year"), F.col("n_chars").alias("chars"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("regions"), (d * 7 % 50 / 50.0).alias("score"),
+    )
+    return _long(evaluate.select_specimens(docs), "place")
 
 
 _WORDS = lambda x: f"list_filter(string_split(lower({x}), ' '), lambda q: q <> '')"

@@ -34,7 +34,7 @@ words AS (SELECT *, l + (r - l) / n * word_idx AS wl, l + (r - l) / n * (word_id
 LAYOUT = """,
 layout0 AS (
   SELECT doc_id, page_no, block_seq AS obs_seq, block_seq AS reading_order, ['text', 'paragraph_title', 'figure_title', 'image', 'table', 'text', 'formula', ' Text ', 'seal'][line_no % 9 + 1] AS raw_label,
-         l, t + CASE WHEN (doc_id + block_seq) % 3 = 0 THEN 15625e-6 ELSE 0e0 END AS t, r, b + CASE WHEN (doc_id + block_seq) % 3 = 0 THEN 15625e-6 ELSE 0e0 END AS b FROM blocks),
+         l, t + CASE WHEN (doc_id + block_seq) % 3 = 0 THEN 15625e-6 ELSE 0e0 END AS t, r, b + CASE WHEN (doc_id + block_seq) % 3 = 0 AND (doc_id + page_no) % 9 = 4 THEN 15625e-6 ELSE 0e0 END AS b FROM blocks),
 layout AS (
   SELECT *, CASE lower(trim(raw_label)) WHEN 'text' THEN 'Text' WHEN 'paragraph_title' THEN 'Heading' WHEN 'figure_title' THEN 'Caption' WHEN 'image' THEN 'Figure' WHEN 'formula' THEN 'Figure'
             WHEN 'table' THEN 'Table' ELSE 'Unknown' END AS kind FROM layout0)"""
@@ -111,21 +111,17 @@ def reading_plan(spark, sf_dir):
     return _long(reconcile.reading_plan(layout(spark, sf_dir), 1000, 700), "page_no", "obs_seq", "px_l", "px_t", "px_r", "px_b")
 
 
-def _words(spark, sf_dir):
-    return plaintext.words(ev.blocks(spark, sf_dir))
-
-
 @register("native_extents", "WITH " + ev.BLOCKS + PAIRS + " SELECT doc_id, page_no, obs_seq, block_seq, first_word, last_word, intersecting FROM hits")
 def native_extents(spark, sf_dir):
     """D1."""
-    out = reconcile.native_extents(ev.blocks(spark, sf_dir), _words(spark, sf_dir), layout(spark, sf_dir))
+    out = reconcile.native_extents(plaintext.with_words(ev.blocks(spark, sf_dir)), layout(spark, sf_dir)).drop("kind", "words")
     return _long(out, "page_no", "obs_seq", "block_seq", "first_word", "last_word")
 
 
 @ev.shared
 def _pairings(spark, sf_dir):
-    boxes, words = layout(spark, sf_dir), _words(spark, sf_dir)
-    return reconcile.pairings(boxes, reconcile.native_extents(ev.blocks(spark, sf_dir), words, boxes), words)
+    boxes = layout(spark, sf_dir)
+    return reconcile.pairings(boxes, reconcile.native_extents(plaintext.with_words(ev.blocks(spark, sf_dir)), boxes))
 
 
 def pairings_of(spark, sf_dir):
@@ -135,7 +131,7 @@ def pairings_of(spark, sf_dir):
 @register("native_pairings", "WITH " + ev.BLOCKS + PAIRS + " SELECT doc_id, page_no, obs_seq, status, native_text, ambiguous_words, l, t, r, b FROM pairs")
 def native_pairings(spark, sf_dir):
     """D2 and D3."""
-    return _long(pairings_of(spark, sf_dir)[1], "page_no", "obs_seq").drop("native_words")
+    return _long(pairings_of(spark, sf_dir)[1], "page_no", "obs_seq")
 
 
 @register("ocr_dehyphenation", "WITH " + ev.BLOCKS + OCR + " SELECT * FROM joined")
@@ -171,9 +167,11 @@ RECONCILED = (
     + PAIRS
     + OCR
     + """,
+failed AS (SELECT DISTINCT p.doc_id, p.page_no FROM pairs p JOIN routed r ON r.doc_id = p.doc_id AND r.page_no = p.page_no WHERE p.status = 'AmbiguousWordOwnership' AND r.status <> 'Missing'),
 recin AS (SELECT p.doc_id, p.page_no, p.obs_seq, p.kind, p.reading_order, CASE WHEN p.status = 'Comparable' AND r.status <> 'Missing' THEN r.status ELSE 'Missing' END AS status,
   CASE WHEN p.status = 'Comparable' AND r.status <> 'Missing' THEN native_text END AS native_text, j.text AS ocr_text
-  FROM pairs p JOIN routed r ON r.doc_id = p.doc_id AND r.page_no = p.page_no LEFT JOIN joined j ON j.doc_id = p.doc_id AND j.page_no = p.page_no AND j.obs_seq = p.obs_seq WHERE p.status <> 'AmbiguousWordOwnership'),
+  FROM pairs p JOIN routed r ON r.doc_id = p.doc_id AND r.page_no = p.page_no LEFT JOIN joined j ON j.doc_id = p.doc_id AND j.page_no = p.page_no AND j.obs_seq = p.obs_seq
+  WHERE (p.doc_id, p.page_no) NOT IN (SELECT doc_id, page_no FROM failed)),
 rec0 AS (SELECT *, coalesce(trim(ocr_text) <> '', false) AS has_text, status = 'Missing' OR native_text IS NULL AS missing FROM recin),
 rec1 AS (SELECT *, CASE WHEN NOT missing AND has_text THEN """
     + _SQUEEZE("native_text")
@@ -190,18 +188,31 @@ rec AS (SELECT *, CASE WHEN decision = 'OcrOnly' THEN 'Ocr' WHEN decision IN ('N
 
 @ev.shared
 def reconciled(spark, sf_dir):
-    """Every readable box whose words it alone owns, with its page's status, native and recognised text."""
+    """Every readable box of pages that don't fail, with its page's status, native and recognised text."""
     blocks = ev.blocks(spark, sf_dir)
     boxes, pairs = pairings_of(spark, sf_dir)
     statuses = assess.assess_pages(ev.pages(spark, sf_dir)).select("doc_id", "page_no", F.col("status").alias("page_status"))
     read = reconcile.ocr_fragments(plaintext.recognised(blocks)).withColumn("ocr_text", reconcile.dehyphenate_fragments(F.col("fragments"), native=False)["text"])
-    pairs = pairs.filter("status <> 'AmbiguousWordOwnership'").join(statuses, ["doc_id", "page_no"]).join(read.select("doc_id", "page_no", "obs_seq", "ocr_text"), ["doc_id", "page_no", "obs_seq"], "left")
+    done = reconcile.page_outcomes(pairs, statuses).filter("outcome = 'Completed'").select("doc_id", "page_no")
+    pairs = pairs.join(done, ["doc_id", "page_no"], "left_semi").join(statuses, ["doc_id", "page_no"]).join(read.select("doc_id", "page_no", "obs_seq", "ocr_text"), ["doc_id", "page_no", "obs_seq"], "left")
     native = (F.col("status") == "Comparable") & (F.col("page_status") != "Missing")
     pairs = pairs.withColumns({"native_text": F.when(native, F.col("native_text")), "status": F.when(native, F.col("page_status")).otherwise("Missing")})
     out = reconcile.reconcile(pairs)
     return out.join(boxes.select("doc_id", "page_no", "obs_seq", "kind", "reading_order"), ["doc_id", "page_no", "obs_seq"])
 
 
+@register(
+    "page_outcomes",
+    "WITH " + RECONCILED + """ SELECT r.doc_id, r.page_no, CASE WHEN f.doc_id IS NULL THEN 'Completed' ELSE 'Failed' END AS outcome,
+    CASE WHEN r.status = 'Missing' THEN 0 ELSE (SELECT count(*) FROM pairs p WHERE p.doc_id = r.doc_id AND p.page_no = r.page_no AND p.status = 'AmbiguousWordOwnership') END AS ambiguous_boxes
+    FROM routed r LEFT JOIN failed f ON f.doc_id = r.doc_id AND f.page_no = r.page_no""",
+)
+def page_outcomes(spark, sf_dir):
+    """H7: pages that fail as two boxes own a word."""
+    statuses = assess.assess_pages(ev.pages(spark, sf_dir)).select("doc_id", "page_no", F.col("status").alias("page_status"))
+    return _long(reconcile.page_outcomes(pairings_of(spark, sf_dir)[1], statuses), "page_no")
+
+
 @register("reconciled_text", "WITH " + RECONCILED + " SELECT doc_id, page_no, obs_seq, status, decision, origin, selected_text, equivalent, selected_text IS NOT NULL AS resolved, divergence FROM rec")
 def reconciled_text(spark, sf_dir):
     """D6, D8, D9."""
@@ -248,7 +259,7 @@ hnear AS (SELECT v.*, h.block_seq AS heading_seq, h.t AS ht, h.b AS hb,
      + (CASE WHEN v.b < h.t THEN h.t - v.b WHEN h.b < v.t THEN v.t - h.b ELSE 0e0 END) * (CASE WHEN v.b < h.t THEN h.t - v.b WHEN h.b < v.t THEN v.t - h.b ELSE 0e0 END)) AS distance
   FROM visuals v LEFT JOIN structural h ON h.doc_id = v.doc_id AND h.page_no = v.page_no AND h.is_heading WHERE v.fg_state = 'Measured'),
 hfirst AS (SELECT * FROM hnear QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, visual_idx ORDER BY distance NULLS LAST, heading_seq) = 1),
-hev AS (SELECT doc_id, page_no, visual_idx, CASE WHEN coalesce(distance <= 25e-3 AND (CASE WHEN least(b - t, hb - ht) <= 0 THEN 0e0 ELSE greatest(0e0, least(b, hb) - greatest(t, ht)) / least(b - t, hb - ht) END) >= 45e-2
+hev AS (SELECT doc_id, page_no, visual_idx, CASE WHEN heading_seq IS NULL THEN 'NoStrongAssociation' WHEN coalesce(distance <= 25e-3 AND (CASE WHEN least(b - t, hb - ht) <= 0 THEN 0e0 ELSE greatest(0e0, least(b, hb) - greatest(t, ht)) / least(b - t, hb - ht) END) >= 45e-2
   AND CASE WHEN hb - ht > 0 THEN (b - t) / (hb - ht) END BETWEEN 35e-2 AND 35e-1 AND interaction IN ('NoForegroundWordIntersection', 'LowForegroundWordInteraction', 'BlankCanvas'), false) THEN 'StrongAdjacentVisual'
   WHEN distance <= 6e-2 THEN 'PossibleAdjacentVisual' ELSE 'NoStrongAssociation' END AS heading_evidence FROM hfirst)"""
 
@@ -302,7 +313,7 @@ classified AS (SELECT *, CASE WHEN fg_state = 'BlankCanvas' THEN 'BlankCanvas' W
 def enriched(spark, sf_dir):
     blocks = ev.blocks(spark, sf_dir)
     structural = visual.structural_blocks(ev.heading_blocks(spark, sf_dir))
-    return visual.enrich(plaintext.visuals(blocks), structural, plaintext.words(blocks))
+    return visual.enrich(plaintext.visuals(blocks), structural, plaintext.with_words(blocks))
 
 
 @register("visual_evidence", "WITH " + ev.HEADINGS + CLASSIFIED + " SELECT doc_id, page_no, visual_idx, heading_evidence, containment_evidence, caption_evidence FROM enriched")

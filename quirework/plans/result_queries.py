@@ -38,6 +38,8 @@ def elements(spark, sf_dir):
     figures = visual.layout_figures(layout).withColumn("disposition", assess.mapped(F.col("kind"), assess.DISPOSITION))
     figures = visual.execute_visuals(figures).withColumn("reading_order", F.col("obs_seq"))
     boxes = read.unionByName(assemble.visual_elements(figures)).unionByName(assemble.deferred_elements(layout.filter("kind = 'Unknown'"))).join(healthy, key, "left_anti")
+    failed = pq.page_outcomes(spark, sf_dir).filter("outcome = 'Failed'").select(*key)
+    boxes = boxes.join(failed, key, "left_anti")
     boxes = boxes.join(layout.select(*key, "obs_seq", "t", "b"), [*key, "obs_seq"]).withColumns({"median_pt": F.lit(None).cast("double"), "word_count": F.lit(None).cast("int")})
     out = assemble.normalize_elements(native.unionByName(boxes))
     live = out.filter("exclusion is null and norm_text <> '' and median_pt is not null")
@@ -57,7 +59,7 @@ elements0 AS (
       selected_text AS text, origin, obs_seq, decision FROM rec
     UNION ALL SELECT doc_id, page_no, obs_seq, CASE WHEN figure_kind = 'Unknown' THEN 'Deferred' ELSE 'Visual' END, NULL, 'None', obs_seq, NULL FROM figures
     UNION ALL SELECT doc_id, page_no, reading_order, 'Deferred', NULL, 'None', obs_seq, NULL FROM layout WHERE kind = 'Unknown') x
-  JOIN layout o ON o.doc_id = x.doc_id AND o.page_no = x.page_no AND o.obs_seq = x.obs_seq JOIN routed p ON p.doc_id = x.doc_id AND p.page_no = x.page_no AND p.status <> 'Healthy')"""
+  JOIN layout o ON o.doc_id = x.doc_id AND o.page_no = x.page_no AND o.obs_seq = x.obs_seq JOIN routed p ON p.doc_id = x.doc_id AND p.page_no = x.page_no AND p.status <> 'Healthy' WHERE (x.doc_id, x.page_no) NOT IN (SELECT doc_id, page_no FROM failed))"""
     + ev.norm_ctes("elements0", "e_")
     + """,
 ew AS (SELECT doc_id, median_pt, sum(word_count) AS weight FROM e_norm WHERE exclusion IS NULL AND norm_text <> '' AND median_pt > 0 AND word_count > 0 GROUP BY ALL),
@@ -142,9 +144,16 @@ def blocks_beside_visuals(spark, sf_dir):
     return _long(out, "page_no", "band", "seq", "ord").select("doc_id", "page_no", "band", "seq", "kind", "ord")
 
 
+@ev.shared
+def members(spark, sf_dir):
+    """Numbered elements, from which segments and their assignment both follow."""
+    found = assemble.segment_members(elements(spark, sf_dir), ev.HINTS)
+    return found.select("doc_id", "page_no", "order", "kind", "origin", "norm_text", "is_heading", "seg_no", "fallback_page")
+
+
 def hybrid(spark, sf_dir):
-    found = elements(spark, sf_dir)
-    return assemble.hybrid_segments(found, ev.HINTS), assemble.segment_members(found, ev.HINTS)
+    found = members(spark, sf_dir)
+    return assemble.segments_of_members(found), found
 
 
 def assigned(spark, sf_dir):

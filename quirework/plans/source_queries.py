@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quirework.functions.shipping import ship
+from quirework.functions.shipping import shared_folder, ship
 from quirework.operators import structured
 from quirework.plans import evidence as ev
 from quirework.plans import page_queries as pq
-from quirework.sources import epub, files
+from quirework.sources import epub, files, pagexml, plaintext, providers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,13 +111,13 @@ def packaged_images(spark, sf_dir):
 
 
 def _books(spark, sf_dir):
-    return epub.read_books(_files(spark, sf_dir).filter("doc_id % 5 >= 3"))
+    return epub.read_books(ev.documents(spark, sf_dir).select("doc_id", _as_book("doc_id", "text").alias("content")))
 
 
 _LINES4 = ev.LINES + """,
-kept AS (SELECT doc_id, trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g')) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n FROM lines WHERE doc_id % 5 >= 3 AND trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g')) <> ''),
+kept AS (SELECT doc_id, trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g')) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n FROM lines WHERE trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g')) <> ''),
 book AS (SELECT doc_id, n // 4 AS unit_no, n % 4 AS block_idx, CASE WHEN n % 4 = 0 THEN 'Heading' ELSE 'Text' END AS kind, text FROM kept UNION ALL
-  SELECT doc_id, 0, 0, 'Heading', '-' FROM documents WHERE doc_id % 5 >= 3 AND doc_id NOT IN (SELECT doc_id FROM kept))"""
+  SELECT doc_id, 0, 0, 'Heading', '-' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM kept))"""
 
 
 @register("book_blocks", "WITH " + _LINES4 + " SELECT doc_id, unit_no, block_idx, kind, text FROM book")
@@ -197,3 +200,92 @@ def exported_books(spark, sf_dir):
     return books.select("doc_id", F.size("units").cast("long").alias("units"), F.size("blocks").cast("long").alias("blocks"))
 
 
+
+
+def _page_xml(spark, sf_dir):
+    """A page of each document: a region a line, lines of odd number as two text lines, read from the last to the first."""
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    equiv = lambda c: F.concat(F.lit("<TextEquiv><Unicode>"), safe(c), F.lit("</Unicode></TextEquiv>"))
+    line = lambda c: F.concat(F.lit("<TextLine>"), equiv(c), F.lit("</TextLine>"))
+    n, half = F.col("line_no"), F.expr("int(length(text) / 2)")
+    halves = F.concat(line(F.substring("text", F.lit(1), half)), line(F.substring("text", half + 1, F.length("text"))))
+    name = F.concat(F.lit("r"), n.cast("string"))
+    region = F.concat(F.lit('<TextRegion id="'), name, F.lit('" type="'), F.when(n % 3 == 0, "heading").otherwise("paragraph"), F.lit('">'), F.when(n % 2 == 1, halves).otherwise(equiv(F.col("text"))), F.lit("</TextRegion>"))
+    ref = F.when(F.trim("text") != "", F.concat(F.lit('<RegionRefIndexed index="'), (1_000_000 - n).cast("string"), F.lit('" regionRef="'), name, F.lit('"/>')))
+    rows = plaintext.lines(ev.documents(spark, sf_dir)).select("doc_id", "line_no", region.alias("region"), ref.alias("ref"))
+    held = F.array_sort(F.collect_list(F.struct("line_no", "region", "ref")))
+    join = lambda c: F.array_join(F.transform("held", lambda x: x[c]), "")
+    made = rows.groupBy("doc_id").agg(held.alias("held")).select(
+        "doc_id",
+        F.concat(
+            F.lit('<PcGts xmlns="urn:page"><Page><ReadingOrder><OrderedGroup id="g">'), join("ref"), F.lit("</OrderedGroup></ReadingOrder>"), join("region"), F.lit("</Page></PcGts>")
+        ).cast("binary").alias("content"),
+    )
+    return made
+
+
+_BLANKS = "trim(regexp_replace({x}, '[ \\t\\f\\v]+', ' ', 'g'))"
+
+
+@register(
+    "page_regions",
+    "WITH " + ev.LINES + f""", r AS (SELECT doc_id, 1000000 - line_no AS idx, 'r' || line_no::VARCHAR AS region_id, CASE WHEN line_no % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind,
+      CASE WHEN line_no % 2 = 1 THEN array_to_string(list_filter([trim(substr(text, 1, length(text) // 2)), trim(substr(text, length(text) // 2 + 1))], lambda x: x <> ''), ' ') ELSE text END AS t FROM lines WHERE trim(text) <> '')
+    SELECT doc_id, idx, region_id, kind, {_BLANKS.format(x="nfc_normalize(t)")} AS reference, NULL::VARCHAR AS error FROM r
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'no reading order' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)""",
+)
+def page_regions(spark, sf_dir):
+    """P8."""
+    return pagexml.read_regions(_page_xml(spark, sf_dir))
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/quirework-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("layout_spool", "WITH " + ev.BLOCKS + pq.LAYOUT + " SELECT doc_id, page_no, obs_seq, kind, l, t, r, b FROM layout")
+def layout_spool(spark, sf_dir):
+    """Layout boxes through the spool between two phases."""
+    path = _folder(spark, "spool")
+    files.write_spool(pq.layout(spark, sf_dir).select("doc_id", "page_no", "obs_seq", "kind", "l", "t", "r", "b"), path)
+    return _long(files.read_spool(spark, path), "page_no", "obs_seq")
+
+
+@register("asset_copies", "SELECT doc_id, octet_length(encode(text))::BIGINT AS byte_length, sha256(text) AS sha256 FROM documents")
+def asset_copies(spark, sf_dir):
+    """Texts through a user's writer and reader."""
+    assets = ev.documents(spark, sf_dir).select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("asset_id"), F.col("text").cast("binary").alias("content"))
+    write, read = files.folder_assets(_folder(spark, "assets"))
+    files.write_assets(assets, write)
+    back = files.read_assets(assets, read)
+    return back.select(F.substring("asset_id", 2, 30).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("byte_length"), F.sha2("content", 256).alias("sha256"))
+
+
+def _fake_service(content: bytes) -> bytes:
+    """A layout service for tests: fails on texts of 3k + 1 bytes, gives two results on 3k + 2."""
+    if len(content) % 3 == 1:
+        raise ConnectionError("no answer")
+    one = {"prunedResult": json.dumps({"parsing_res_list": [{"block_label": "text", "block_bbox": [0, 0, len(content), 10]}]})}
+    return json.dumps({"result": {"layoutParsingResults": [one] * (1 + len(content) % 3 // 2)}}).encode()
+
+
+@register(
+    "provider_answers",
+    """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, CASE WHEN n > 20000 OR n % 3 <> 0 THEN CASE WHEN n > 20000 THEN 'InputTooLarge' ELSE 'Failed' END ELSE 'Completed' END AS status,
+    CASE WHEN n > 20000 THEN n::VARCHAR || ' bytes' WHEN n % 3 = 1 THEN 'ConnectionError: no answer' WHEN n % 3 = 2 THEN 'not one layout result' END AS error,
+    CASE WHEN n <= 20000 AND n % 3 = 0 THEN n::DOUBLE END AS width FROM d""",
+)
+def provider_answers(spark, sf_dir):
+    """A10: a fake layout service behind limits; answers with one result are parsed."""
+    inputs = ev.documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("image"))
+    out = providers.single_layout(providers.ask(inputs, "image", _fake_service, providers.Limits(most_in=20_000)))
+    width = F.get_json_object("layout_json", "$.parsing_res_list[0].block_bbox[2]").cast("double")
+    return out.select("doc_id", F.col("provider_status").alias("status"), F.col("provider_error").alias("error"), width.alias("width"))
+
+
+@register("dispatch_outcomes")
+def dispatch_outcomes(spark, sf_dir):
+    """Documents are submitted to seven queues, every third event is a take; a queue's state has no SQL form."""
+    d = F.col("doc_id")
+    event = F.when(d % 3 == 2, "take").when(d % 701 == 700, "stop").otherwise("submit")
+    return providers.dispatch(ev.documents(spark, sf_dir).select((d % 7).alias("queue"), d.alias("at"), event.alias("event")), 4)

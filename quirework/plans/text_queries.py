@@ -101,7 +101,7 @@ _PREFLIGHT = """,
 pf0 AS (
   SELECT doc_id, count(*) AS page_count, count(*) FILTER (WHERE word_count > 0) AS text_pages, count(*) FILTER (WHERE raster_image_count > 0 AND largest_raster_ratio >= 6e-1) AS raster_pages,
          count(*) FILTER (WHERE word_count = 0 AND raster_image_count > 0 AND largest_raster_ratio >= 6e-1) AS bare_raster_pages, sum(word_count)::BIGINT AS words,
-         coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (WHERE word_count = 0), '') AS textless_pages FROM routed WHERE doc_id % 17 <> 5 GROUP BY doc_id),
+         coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (WHERE word_count = 0), '') AS textless_pages FROM routed GROUP BY doc_id),
 preflight AS (
   SELECT d.doc_id, coalesce(page_count, 0) AS page_count, coalesce(text_pages, 0) AS text_pages, coalesce(raster_pages, 0) AS raster_pages, coalesce(words, 0) AS words,
          CASE WHEN coalesce(page_count, 0) = 0 THEN 0e0 ELSE round_even(100e0 * text_pages / page_count, 1) END AS coverage, coalesce(textless_pages, '') AS textless_pages,
@@ -112,8 +112,8 @@ preflight AS (
 
 @register("document_preflight", "WITH " + ev.PAGES + _PREFLIGHT + " SELECT * FROM preflight")
 def document_preflight(spark, sf_dir):
-    """Some documents are left without pages."""
-    return assess.preflight(ev.documents(spark, sf_dir), ev.pages(spark, sf_dir).filter("doc_id % 17 <> 5"))
+    """E1."""
+    return assess.preflight(ev.documents(spark, sf_dir), ev.pages(spark, sf_dir))
 
 
 @register("page_assessment", "WITH " + ev.PAGES + " SELECT doc_id, page_no, status, route, authority FROM routed")
@@ -194,14 +194,14 @@ def pages_for_layout(spark, sf_dir):
 
 @register(
     "unsafe_documents",
-    "WITH " + ev.PAGES + _PREFLIGHT + """ SELECT p.doc_id, p.classification FROM preflight p JOIN (SELECT doc_id FROM routed WHERE page_no % 3 <> 0 GROUP BY doc_id HAVING bool_and(route = 'NativeOnly')) r
+    "WITH " + ev.PAGES + _PREFLIGHT + """ SELECT p.doc_id, p.classification FROM preflight p JOIN (SELECT doc_id FROM routed GROUP BY doc_id HAVING bool_and(doc_id % 4 = 0 OR route = 'NativeOnly')) r
     ON r.doc_id = p.doc_id WHERE p.classification <> 'HealthyBornDigital'""",
 )
 def unsafe_documents(spark, sf_dir):
-    """Against the pages of a partial plan."""
+    """Every fourth document is planned as if its native text were safe."""
     pages = assess.assess_pages(ev.pages(spark, sf_dir))
-    found = assess.preflight(ev.documents(spark, sf_dir), pages.filter("doc_id % 17 <> 5"))
-    return assess.unsafe_documents(found, pages.filter("page_no % 3 <> 0"))
+    planned = pages.withColumn("route", F.when(F.col("doc_id") % 4 == 0, "NativeOnly").otherwise(F.col("route")))
+    return assess.unsafe_documents(assess.preflight(ev.documents(spark, sf_dir), pages), planned)
 
 
 # --- diagnostics ------------------------------------------------------------------------------
@@ -336,21 +336,45 @@ def heading_difference(spark, sf_dir):
     return found.withColumns({c: F.col(c).cast("long") for c in ("page_no", "block_seq")})
 
 
-_STRONG = r"(regexp_matches(norm_text, '(?i)^(?:CHAPTER|PART|SECTION|BOOK)\b') AND (ratio IS NULL OR ratio >= 95e-2))"
+_LETTERS = r"length(regexp_replace(norm_text, '[^\p{L}]', '', 'g'))"
+_ALNUM = r"length(regexp_replace(norm_text, '[^\p{L}\p{Nd}]', '', 'g'))"
+_SOLID = r"length(regexp_replace(norm_text, '[\t\n\x0B\f\r\x85\p{Z}]', '', 'g'))"
+_LOOSE = f"(length(norm_text) BETWEEN 1 AND 180 AND NOT regexp_matches(norm_text, '[�\\p{{Cc}}]') AND {_LETTERS} >= 3 AND 2 * {_ALNUM} >= {_SOLID} AND word_count <= 24)"
+_POLICIES = ev.HEADINGS + f""",
+facts AS (
+  SELECT *, coalesce({_LOOSE} AND ratio >= 118e-2 AND NOT (ratio < 13e-1 AND regexp_matches(norm_text, '[.;,]$')), false) AS ty, typographic AS st,
+    {_LOOSE} AND regexp_matches(norm_text, '(?i)^(?:CHAPTER|PART|SECTION|BOOK)\\b') AND (ratio IS NULL OR ratio >= 95e-2) AS ex FROM headed),
+policies AS (SELECT unnest(['A-ProductionStrictTypographyV4', 'B-TypographyOnly', 'C-TypographyPlusStrongExplicit', 'D-TypographyPlusHints', 'E-StrictTypographyOnly', 'F-StrictTypographyPlusHints',
+  'G-ProductionStrictTypographyPlusHintsV4']) AS policy),
+spread AS (
+  SELECT policy, doc_id, page_no, block_seq, length(norm_text) AS chars, st AS engine,
+    CASE left(policy, 1) WHEN 'A' THEN st WHEN 'B' THEN ty WHEN 'C' THEN ty OR ex WHEN 'D' THEN ty OR hint WHEN 'E' THEN st ELSE st OR hint END AS chosen
+  FROM (SELECT *, {" OR ".join(ev._hint_sql(h) for h in ("Chapter 2", "the end"))} AS hint FROM facts), policies)"""
 
 
 @register(
     "counterfactual_policies",
-    "WITH " + ev.HEADINGS + f""",
-policies AS (SELECT unnest(['A', 'B', 'C', 'D', 'E', 'F', 'G']) AS policy),
-spread AS (
-  SELECT policy, doc_id, page_no, block_seq, is_heading AS engine, CASE policy WHEN 'A' THEN is_heading WHEN 'B' THEN is_heading AND coalesce(ratio >= 13e-1, false)
-    WHEN 'C' THEN is_heading AND coalesce(ratio >= 155e-2, false) WHEN 'D' THEN {_STRONG} WHEN 'E' THEN is_heading OR {_STRONG}
-    WHEN 'F' THEN (is_heading AND coalesce(ratio >= 13e-1, false)) OR {_STRONG} ELSE (is_heading AND coalesce(ratio >= 155e-2, false)) OR {_STRONG} END AS chosen FROM headed, policies),
-islands AS (SELECT *, sum(chosen::INT) OVER (PARTITION BY policy, doc_id ORDER BY page_no, block_seq ROWS UNBOUNDED PRECEDING) AS seg_no FROM spread)
-SELECT policy, count(DISTINCT (doc_id, seg_no, CASE WHEN seg_no = 0 THEN page_no ELSE 0 END)) AS segments, count(*) FILTER (WHERE chosen) AS headings,
-  count(*) FILTER (WHERE chosen AND NOT engine) AS added, count(*) FILTER (WHERE NOT chosen AND engine) AS removed FROM islands GROUP BY policy""",
+    "WITH " + _POLICIES + """,
+islands AS (SELECT *, sum(chosen::INT) OVER (PARTITION BY policy, doc_id ORDER BY page_no, block_seq ROWS UNBOUNDED PRECEDING) AS seg_no FROM spread),
+cut AS (
+  SELECT doc_id, policy, seg_no, CASE WHEN seg_no = 0 THEN page_no ELSE 0 END AS fallback_page, sum(chars) + 2 * (count(*) - 1) AS chars, min(page_no) AS first_page, max(page_no) AS last_page, bool_or(chosen) AS headed,
+    count(*) FILTER (WHERE chosen AND NOT engine) AS added, count(*) FILTER (WHERE NOT chosen AND engine) AS removed FROM islands GROUP BY ALL)
+SELECT doc_id, policy, count(*) AS segments, count(*) FILTER (WHERE headed) AS headed, count(*) FILTER (WHERE NOT headed) AS fallback, count(*) FILTER (WHERE first_page <> last_page) AS cross_page,
+  count(*) FILTER (WHERE chars <= 120) AS small, count(*) FILTER (WHERE chars >= 4000) AS large, min(chars)::BIGINT AS min_chars, median(chars)::DOUBLE AS median_chars,
+  sum(chars)::DOUBLE / count(*) AS avg_chars, max(chars)::BIGINT AS max_chars, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed FROM cut GROUP BY doc_id, policy""",
 )
 def counterfactual_policies(spark, sf_dir):
     """O16-O18."""
-    return metrics.counterfactual(ev.heading_blocks(spark, sf_dir))
+    return metrics.counterfactual(ev.heading_blocks(spark, sf_dir), ev.HINTS)
+
+
+@register(
+    "gate_comparisons",
+    "WITH " + _POLICIES + """,
+compared AS (SELECT a.doc_id, a.policy AS from_policy, z.policy AS to_policy, a.chosen AS x, z.chosen AS y FROM spread a JOIN spread z ON z.doc_id = a.doc_id AND z.page_no = a.page_no AND z.block_seq = a.block_seq
+  AND (left(a.policy, 1) || left(z.policy, 1)) IN ('BE', 'DF'))
+SELECT doc_id, from_policy, to_policy, count(*) FILTER (WHERE x AND NOT y) AS removed, count(*) FILTER (WHERE y AND NOT x) AS added FROM compared GROUP BY doc_id, from_policy, to_policy""",
+)
+def gate_comparisons(spark, sf_dir):
+    """What the stricter text gate changes."""
+    return metrics.gate_comparisons(ev.heading_blocks(spark, sf_dir), ev.HINTS)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,42 @@ def write_assets(assets: DataFrame, writer: Callable[[str, bytes], None]) -> Non
     assets.select("asset_id", "content").foreachPartition(each)
 
 
+def read_assets(ids: DataFrame, reader: Callable[[str], bytes | None]) -> DataFrame:
+    """(asset_id, content) of each id, by a user's reader on the executors; null for an asset it doesn't have."""
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"asset_id": batch["asset_id"], "content": [reader(x) for x in batch["asset_id"]]}, columns=["asset_id", "content"])
+
+    return ids.select("asset_id").mapInPandas(run, "asset_id string, content binary")
+
+
+def folder_assets(folder: str) -> tuple[Callable[[str, bytes], None], Callable[[str], bytes | None]]:
+    """A writer and a reader of assets as files of a folder; a file appears whole, and a repeat replaces it by itself."""
+    from pyarrow import fs
+
+    def place(asset_id: str):
+        store, top = fs.FileSystem.from_uri(folder)
+        return store, top, f"{top}/{hashlib.sha256(asset_id.encode()).hexdigest()}"
+
+    def write(asset_id: str, content: bytes) -> None:
+        store, top, path = place(asset_id)
+        store.create_dir(top, recursive=True)
+        aside = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(aside) as out:
+            out.write(content)
+        store.move(aside, path)
+
+    def read(asset_id: str) -> bytes | None:
+        store, _, path = place(asset_id)
+        if store.get_file_info(path).type != fs.FileType.File:
+            return None
+        with store.open_input_stream(path) as held:
+            return held.read()
+
+    return write, read
+
+
 def write_spool(layout: DataFrame, path: str) -> None:
     """Layout between the two phases, written once; a spool that exists is an error."""
     layout.withColumn("spool_schema", F.lit(SPOOL_SCHEMA)).write.mode("errorifexists").parquet(path)

@@ -53,6 +53,14 @@ def words(blocks_: DataFrame) -> DataFrame:
     return out.withColumns({"wl": F.col("l") + step * F.col("word_idx"), "wr": F.col("l") + step * (F.col("word_idx") + 1)})
 
 
+def with_words(blocks_: DataFrame) -> DataFrame:
+    """Blocks with their words as an array of (word, wl, t, wr, b)."""
+    tokens = F.filter(F.split("text", " "), lambda w: w != "")
+    step = (F.col("r") - F.col("l")) / F.size("__w")
+    place = lambda w, i: F.struct(w.alias("word"), (F.col("l") + step * i).alias("wl"), F.col("t").alias("t"), (F.col("l") + step * (i + 1)).alias("wr"), F.col("b").alias("b"))
+    return blocks_.withColumn("__w", tokens).withColumn("words", F.transform("__w", place)).drop("__w")
+
+
 def pages(blocks_: DataFrame) -> DataFrame:
     """(doc_id, page_no, word_count, raster_image_count, largest_raster_ratio): every fifth page an image, textless."""
     bare = (F.col("doc_id") + F.col("page_no")) % 5 == 0
@@ -64,12 +72,14 @@ def pages(blocks_: DataFrame) -> DataFrame:
 
 
 def layout(blocks_: DataFrame) -> DataFrame:
-    """A layout box a block, every third shifted by an eighth of a line; kinds by line number."""
-    shift = F.when((F.col("doc_id") + F.col("block_seq")) % 3 == 0, F.lit(0.015625)).otherwise(F.lit(0.0))
+    """A layout box a block, every third begins an eighth of a line lower and on some pages ends in the next line; kinds by line number."""
+    third = (F.col("doc_id") + F.col("block_seq")) % 3 == 0
+    shift = F.when(third, F.lit(0.015625)).otherwise(F.lit(0.0))
+    reach = F.when(third & ((F.col("doc_id") + F.col("page_no")) % 9 == 4), F.lit(0.015625)).otherwise(F.lit(0.0))
     labels = F.array(*(F.lit(x) for x in ("text", "paragraph_title", "figure_title", "image", "table", "text", "formula", " Text ", "seal")))
     return blocks_.select(
         "doc_id", "page_no", F.col("block_seq").alias("obs_seq"), F.col("block_seq").alias("reading_order"),
-        F.element_at(labels, (F.col("line_no") % 9 + 1).cast("int")).alias("raw_label"), "l", (F.col("t") + shift).alias("t"), "r", (F.col("b") + shift).alias("b"),
+        F.element_at(labels, (F.col("line_no") % 9 + 1).cast("int")).alias("raw_label"), "l", (F.col("t") + shift).alias("t"), "r", (F.col("b") + reach).alias("b"),
     )
 
 

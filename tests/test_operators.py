@@ -129,10 +129,11 @@ def test_reconciliation(spark, status, native, ocr, want):
 def test_extent_spans_the_words_between(spark):
     words = spark.createDataFrame([(1, 1, 0, i, w, l, l + 0.1, 0.1, 0.2) for i, (w, l) in enumerate([("first", 0.0), ("middle", 0.8), ("last", 0.2)])], "doc_id long, page_no int, block_seq int, word_idx int, word string, wl double, wr double, t double, b double")
     box = spark.createDataFrame([(1, 1, 5, "Text", 0.0, 0.0, 0.5, 0.5), (1, 1, 6, "Text", 0.9, 0.2, 1.0, 0.4)], "doc_id long, page_no int, obs_seq int, kind string, l double, t double, r double, b double")
-    extents = reconcile.native_extents(words, words, box)
+    blocks = spark.createDataFrame([(1, 1, 0, 0.0, 0.1, 1.0, 0.2)], "doc_id long, page_no int, block_seq int, l double, t double, r double, b double")
+    extents = reconcile.native_extents(reconcile.with_words(blocks, words), box)
     r = extents.collect()
     assert [(x.obs_seq, x.first_word, x.last_word, x.intersecting) for x in r] == [(5, 0, 2, 2)]
-    got = {x.obs_seq: (x.status, x.native_text) for x in reconcile.pairings(box, extents, words).collect()}
+    got = {x.obs_seq: (x.status, x.native_text) for x in reconcile.pairings(box, extents).collect()}
     assert got == {5: ("Comparable", "first middle last"), 6: ("NoNativeEvidence", None)}
 
 
@@ -206,12 +207,14 @@ def test_fingerprint_bytes():
     import hashlib
     import struct
 
-    e = {"text": "é", "page_no": 1, "order": 2, "l": -0.0, "t": 0.5, "r": 1.0, "b": 1.0, "kind": "Text", "origin": "Native", "reconciled": True}
-    body = struct.pack("<i", 1) + struct.pack("<i", 2) + "é".encode()
+    text = lambda x: struct.pack("<i", len(x)) + x
+    e = {"text": "é", "page_no": 9, "order": 2, "l": -0.0, "t": 0.5, "r": 1.0, "b": 1.0, "kind": "Caption", "origin": "Ocr", "block_seq": 7, "reconciled": True}
+    body = text(b"dual-run-selected-text-sequence-v1") + struct.pack("<i", 1) + text("é".encode())
     assert measures.fingerprint([e], False) == hashlib.sha256(body).hexdigest()
-    full = body + struct.pack("<ii4d", 1, 2, 0.0, 0.5, 1.0, 1.0) + struct.pack("<i", 4) + b"Text" + struct.pack("<i", 6) + b"Native" + b"\x01"
-    assert measures.fingerprint([e], True) == hashlib.sha256(full).hexdigest()
-    assert measures.fingerprint([{**e, "l": 0.0}], True) == measures.fingerprint([e], True) != measures.fingerprint([{**e, "text": None}], True)
+    start = text(b"dual-run-text-projection-v1") + struct.pack("<iii4d", 1, 2, 2, 0.0, 0.5, 1.0, 1.0) + text("é".encode()) + struct.pack("<i", 2)
+    assert measures.fingerprint([e], True) == hashlib.sha256(start + b"\x01" + struct.pack("<i", 7) + b"\x01").hexdigest()
+    assert measures.fingerprint([{**e, "block_seq": None}], True) == hashlib.sha256(start + b"\x00" + b"\x01").hexdigest()
+    assert measures.fingerprint([{**e, "l": 0.0}], True) == measures.fingerprint([e], True) == measures.fingerprint([{**e, "page_no": 1}], True)
 
 
 def brute_edits(a, b):
@@ -254,15 +257,68 @@ def test_error_rates(spark):
     rows = [("The inter-\nnational “wörld”", 'the international "world"'), ("", ""), ("", "x"), ("a b c", "a c")]
     got = evaluate.error_rates(spark.createDataFrame(rows, "reference string, recognised string")).collect()
     assert [(r.char_edits, r.word_edits) for r in got] == [(1, 1), (0, 0), (1, 1), (2, 1)]
-    assert [r.cer for r in got][1:3] == [0.0, 1.0]
+    assert [r.cer for r in got][1:3] == [0.0, 0.0] and [r.wer for r in got][1:3] == [0.0, 0.0]
+    strict = evaluate.strict_error_rates(spark.createDataFrame([("abc", "abd"), ("", "x")], "reference string, recognised string")).collect()
+    assert [r.cer for r in strict] == [1 / 3, 0.0]
+
+
+def test_character_folding(spark):
+    fold = lambda x: one(spark, evaluate.cer_text(F.lit(x)))
+    assert fold("A\u2018b\u2019c\u02bc \u201cd\u201d\u2013e\u2015\u00a0f\u00ad") == "a'b'c' \"d\"-e- f"
+    assert fold("\u201a\u201b\u201e\u201f\u2212") == "\u201a\u201b\u201e\u201f\u2212"
+    assert fold("split-\u2003\n\u00a0word, ODO\u03a3") == "splitword, odo\u03c3"
 
 
 def test_containment_and_bands(spark):
-    inside = lambda a, b: one(spark, evaluate.contained(F.lit(a), F.lit(b)))
-    assert inside("ABCDEFGH", "XXABCDEFGHXX") and not inside("ABCDEFG", "ABCDEFGX") and not inside("ABCDEFGH", "ABCDEFGH" + "X" * 33)
-    kinds = [one(spark, evaluate.band(F.lit(False), F.lit(False), F.lit(s), F.lit(a), F.lit(b))) for s, a, b in [(3, 0.7, 0.5), (2, 0.5, 0.1), (1, 1.0, 1.0), (0, 0.0, 0.0)]]
-    assert kinds == ["High", "Moderate", "Weak", "None"]
-    assert one(spark, evaluate.label_relation(F.lit("1.2 A"), F.lit(" 1.2 B"))) == "SameLabel"
+    inside = lambda a, b: one(spark, evaluate.containment(F.lit(a), F.lit(b)))
+    assert inside("ABCDEFGH", "XXABCDEFGHXX") == "OutlineWithinCandidate" and inside("XXABCDEFGHXX", "ABCDEFGH") == "CandidateWithinOutline"
+    assert inside("ABCDEFG", "ABCDEFGX") == inside("ABCDEFGH", "ABCDEFGH" + "X" * 33) == inside("", "") == "None" and inside("A", "A") == "Equal"
+    kinds = [one(spark, evaluate.band(F.lit("None"), F.lit(s), F.lit(a), F.lit(b))) for s, a, b in [(3, 0.7, 0.5), (2, 0.5, 0.1), (1, 1.0, 1.0), (0, 0.0, 0.0)]]
+    assert kinds == ["HighOverlap", "ModerateOverlap", "WeakOverlap", "None"]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("x", "y", "BothMissing"), ("Chapter 12 x", "y", "OutlineOnly"), ("x", " 3. y", "CandidateOnly"), ("excursus 7", "7", "Same"), ("1.2", "1.3", "Same"), ("1", "2", "Different"),
+        ("12345", "x", "BothMissing"), ("7th", "x", "BothMissing"), ("Appendix 3", "x", "BothMissing"),
+    ],
+)
+def test_labels(spark, a, b, want):
+    assert one(spark, evaluate.label_relation(F.lit(a), F.lit(b))) == want
+
+
+def test_outline_levels_of_any_depth(spark):
+    rows = [(1, i, i - 1 if i else None) for i in range(300)] + [(2, 0, None), (2, 1, 5), (2, 3, 4), (2, 4, 3), (2, 6, 6), (2, 7, 0)]
+    got = {(r.doc_id, r.ordinal): r.level for r in evaluate.outline_levels(spark.createDataFrame(rows, "doc_id long, ordinal long, parent_ordinal long")).collect()}
+    assert got == {(1, i): i + 1 for i in range(300)} | {(2, 0): 1, (2, 7): 2}
+
+
+def test_alignment_ranks_shared_tokens_before_pages(spark):
+    outline = spark.createDataFrame([(1, 0, "alpha beta gamma delta", 5, None, None)], "doc_id long, ordinal long, title string, target_page int, left double, top double")
+    box = (0.0, 0.0, 1.0, 0.1)
+    rows = [(1, 6, 0, "alpha beta xx yy", *box), (1, 4, 0, "alpha beta xx yy", *box), (1, 5, 0, "alpha zz", *box), (1, 8, 0, "alpha beta gamma delta", *box)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page_no int, block_seq int, norm_text string, l double, t double, r double, b double")
+    got = evaluate.align_outline(outline, blocks).orderBy("rank").collect()
+    assert [(r.page_no, r.band, r.shared, r.distance) for r in got] == [(4, "ModerateOverlap", 2, None), (6, "ModerateOverlap", 2, None), (5, "WeakOverlap", 1, None)]
+
+
+def test_title_match(spark):
+    titles = spark.createDataFrame([(1, 1, "The Long Title"), (1, 2, " "), (1, 3, "nothing alike")], "doc_id long, page_no int, title string")
+    regions = spark.createDataFrame([(1, 1, 3, "noise"), (1, 1, 5, "the long"), (1, 1, 9, "title"), (1, 1, 10, "title"), (1, 2, 0, "x"), (1, 3, 0, "y z")], "doc_id long, page_no int, seq int, text string")
+    got = evaluate.match_titles(titles, regions).collect()
+    assert [(r.page_no, r.band, r.first_region, r["size"]) for r in got] == [(1, "ExactEquivalent", 1, 2)]
+
+
+def test_specimens(spark):
+    schema = "document_id string, name string, year int, chars int, regions int, score double"
+    rows = [("a", "1", 1500, 999, 9, 0.0), ("b", "1", 1510, 1000, 1, 0.0), ("c", "1", 1750, 2000, 1, 0.0), ("d", "1", 1850, 2000, 1, 0.0), ("e", "1", None, 10, 5, 0.0)]
+    pick = lambda r: [(x.category, x.document_id) for x in evaluate.select_specimens(spark.createDataFrame(r, schema)).orderBy("place").collect()]
+    assert pick(rows) == [("early-print", "b"), ("eighteenth-century", "c"), ("nineteenth-century", "d"), ("complex-layout-fallback", "a")]
+    more = [*rows, ("f", "hilbert_zahlkoerper_1897_0379.xml", None, 5, 1, 0.9), ("g", "1", None, 1000, 1, 0.5)]
+    assert pick(more)[2:] == [("nineteenth-century", "f"), ("multi-column", "g")]
+    with pytest.raises(ValueError, match="eighteenth"):
+        pick([r for r in more if r[0] != "c"])
 
 
 def test_raster_measurements():
