@@ -182,7 +182,7 @@ OTHER = [
 #: Too common to speak for a licence by themselves.
 COMMON = frozenset(
     "a all and any are as at be by for from in is it may must no not of on or shall that the this to under was with without you your see more details use used used work document copy copies "
-    "person part file forms source above following provided version released distributed available article program project notice free terms published obtain code available 0 1 2 3 4 2020 http www org can thank later met except".split()
+    "person part file forms source above following provided version released distributed available article program project notice free terms published obtain code available 0 1 2 3 4 2020 http www org can thank later met except if la le les de del der die das und sous bajo unter made form appear appears subject fee library program accompanying materials purpose list binary one v".split()
 )
 WORD = r"[a-z0-9]+"
 EPOCHS, RATE, L1 = 400, 0.5, 2e-3
@@ -411,8 +411,13 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
 
 def paragraphs(text: Column) -> Column:
     """The text with a paragraph a line: lines end without blanks, wrapped lines are joined by JOINT."""
-    ends = F.regexp_replace(F.replace(text, F.lit(JOINT), F.lit(" ")), r"[ \t\r\f\x0B]+(?=\n)", "")
-    return F.regexp_replace(ends, rf"(?<=(?:^|\n)[^\n]{{1,{WRAPPED}}})\n(?=[^\n]{{1,{WRAPPED}}}(?:\n|$))", JOINT)
+    body = F.replace(text, F.lit(JOINT), F.lit(" "))
+    loose = F.lit(False)
+    for blank in " \t\r\f\x0b":
+        loose = loose | F.contains(body, F.lit(blank + "\n"))
+    ends = F.when(loose, F.regexp_replace(body, r"[ \t\r\f\x0B]+(?=\n)", "")).otherwise(body)
+    # the newline comes first in the pattern: what stands before it is looked at there alone
+    return F.regexp_replace(ends, rf"\n(?<=(?:^|\n)[^\n]{{1,{WRAPPED}}}\n)(?=[^\n]{{1,{WRAPPED}}}(?:\n|$))", JOINT)
 
 
 def _pairs(notice: str) -> set[str]:

@@ -151,7 +151,7 @@ def test_wrapped_notices(spark):
     w = notice.split()
     lines = [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)]
     long = prose(5, 400).replace("\n", " ")
-    rows = [(1, long + "\n" + "\n".join(lines) + "\n" + long), (2, "\r\n".join(lines) + "\r\n  \r\nLicensed under the ISC License.\n\nbye"), (3, "\n".join(lines[:2])), (4, "a\n\nb\nc\n" + long)]
+    rows = [(1, long + "\n" + "\n".join(lines) + "\n" + long), (2, "\r\n".join(lines) + "\r\n  \r\nLicensed under the ISC License.\n\nbye"), (3, lines[0]), (4, "a\n\nb\nc\n" + long)]
     got = {x.doc_id: x for x in ls.scan_licenses(docs(spark, rows)).collect()}
     assert [(f.family, f.paragraph) for f in got[1].findings if f.confirmed] == [("mit", 1)] and got[1].n_paragraphs == 3
     assert [f.family for f in got[2].findings if f.confirmed] == ["mit", "isc"] and got[2].n_paragraphs == 3
