@@ -5,7 +5,8 @@ register for each hash function: the leading-zero count of the function's least
 and the mantissa bits behind the leading one, packed into 16 bits. Every function sees
 every shingle, so the sketch of a one-shingle set has no empty register.
 
-1. Equal sets form a class; from here on a class counts once, however many copies it has.
+1. Equal sets form a class, named by 64 bits and told apart by 128; from here on a class
+   counts once, however many copies it has.
 2. Compressed registers, three to a band, give 21 band keys; classes that share a key are
    candidates. A pair at similarity 0.85 shares none with probability 2e-9.
 3. In each bucket, every member is tested against one centre, the member that lies in the
@@ -88,13 +89,14 @@ def compress(least: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
     return ((zeros << U64(mantissa)) | bits).astype(np.uint16)
 
 
-def digests(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each set, equal for equal sets."""
+def digests(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit values for each set, equal for equal sets: the class, and a check of it."""
     sums = []
-    for salt in (0, 0x5851F42D4C957F2D):
+    for salt in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F):
         total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(keys ^ U64(salt)), dtype=U64)])
         sums.append(total[bounds[1:]] - total[bounds[:-1]])
-    return mix(sums[0] + mix(sums[1]) + np.diff(bounds).astype(U64))
+    size = np.diff(bounds).astype(U64)
+    return mix(sums[0] + mix(sums[1]) + size), mix(sums[2] ^ mix(sums[1] + size))
 
 
 def sketch(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -166,16 +168,18 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, bounds = shingle_sets([t for _, t in part])
             sizes = np.diff(bounds)
             registers = sketch(keys, bounds)
+            named, check = digests(keys, bounds)
             ids, text_keys = (batch.column(i).slice(part[0][0], len(part)) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
                     text_keys,
                     pa.array(sizes),
-                    pa.array(digests(keys, bounds).view(np.int64)),
+                    pa.array(named.view(np.int64)),
+                    pa.array(check.view(np.int64)),
                     pa.array([r.tobytes() if s else None for r, s in zip(registers, sizes, strict=True)], type=pa.binary()),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "class", "registers"],
+                names=["doc_id", "text_key", "n_shingles", "class", "check", "registers"],
             )
 
 
@@ -185,8 +189,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(list(enumerate(_texts(batch))), lambda r: len(r[1]) + 64, CHUNK_BYTES):
             keys, bounds = shingle_sets([t for _, t in part])
             shingles = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.view(np.int64)))
-            asked = batch.column(0).slice(part[0][0], len(part))
-            same = pa.array(asked.to_numpy() == digests(keys, bounds).view(np.int64))
+            asked, check = (batch.column(i).slice(part[0][0], len(part)) for i in (0, 1))
+            same = pa.array(check.to_numpy() == digests(keys, bounds)[1].view(np.int64))
             yield pa.RecordBatch.from_arrays([asked, shingles], names=["class", "shingles"]).filter(same)
 
 
@@ -315,8 +319,8 @@ def _star_pairs(percent: int):
 
 def _sets(nodes: DataFrame, source: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, shingles) of the classes named, from the text of a row of each."""
-    wanted = nodes.join(classes.select("class", F.col("first_id").alias("wanted_id")), "class")
-    texts = source.join(maybe_broadcast(wanted, 24), source["doc_id"].eqNullSafe(wanted["wanted_id"])).select("class", "__text")
+    wanted = nodes.join(classes.select("class", "check", F.col("first_id").alias("wanted_id")), "class")
+    texts = source.join(maybe_broadcast(wanted, 32), source["doc_id"].eqNullSafe(wanted["wanted_id"])).select("class", "check", "__text")
     return map_arrow(texts, _set_rows, "class long, shingles array<long>").dropDuplicates(["class"])
 
 
@@ -360,12 +364,21 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     scratch = Scratch(spark, "near-dedup")
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("__text"))
     keyed = source.select("doc_id", text_key(F.col("__text")).alias("text_key"), "__text")
-    rows = scratch.save(map_arrow(keyed, _sketch_rows, "doc_id long, text_key long, n_shingles long, class long, registers binary"), "rows")
+    rows = scratch.save(map_arrow(keyed, _sketch_rows, "doc_id long, text_key long, n_shingles long, class long, check long, registers binary"), "rows")
 
-    full = rows.filter("n_shingles > 0")
     # the sketch is a function of the set: any member's will do
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = scratch.save(classes, "classes")
+    facts = [F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
+    classes_of = lambda r: r.filter("n_shingles > 0").groupBy("class").agg(*facts, F.min("check").alias("check"), F.max("check").alias("other"))
+    classes = scratch.save(classes_of(rows), "classes")
+    twins = classes.filter("check <> other").select("class", "check")
+    if not twins.isEmpty():
+        # unlike sets under one 64-bit class: all but one of them get names from both values
+        twins = maybe_broadcast(scratch.save(twins.withColumnRenamed("check", "__first"), "twins"), 16)
+        renamed = F.when(F.col("__first") != F.col("check"), F.xxhash64("class", "check")).otherwise(F.col("class"))
+        rows = rows.join(twins, "class", "left").withColumn("class", renamed).select(*rows.columns)
+        rows = scratch.save(rows, "rows-apart")
+        classes = scratch.save(classes_of(rows), "classes-apart")
+    classes = classes.drop("other")
 
     banded = map_arrow(classes.select("class", "registers"), _band_rows, "bucket long, class long")
     crowd = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -417,7 +430,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     result = result.select("doc_id", "n_shingles", component.alias("component_id"), "class_id", "group_id", "text_key")
     result = result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    scratch.drop(*(t for t in list(scratch.paths) if t not in ("rows", "label")))
+    scratch.drop(*(t for t in list(scratch.paths) if t not in ("rows", "rows-apart", "label")))
     return result.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "group_id", "text_key")
 
 

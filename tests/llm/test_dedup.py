@@ -84,6 +84,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_unlike_sets_of_one_class_name(spark, monkeypatch):
+    """As if the first 64 bits of unlike sets were often equal."""
+    real = nd.digests
+    part = nd._sketch_rows
+
+    def poor(batches):
+        for batch in part(batches):
+            at = batch.schema.get_field_index("class")
+            yield batch.set_column(at, "class", nd.pa.array(batch.column(at).to_numpy() % 7))
+
+    monkeypatch.setattr(nd, "_sketch_rows", poor)
+    rows = near_rows()[-140:] + odd_rows()
+    got = nd.near_duplicates(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
+    assert real is nd.digests
+
+
 def test_no_rows(spark):
     assert nd.near_duplicates(docs(spark, [(1, "a")]).limit(0)).count() == 0
     assert [tuple(r)[:4] for r in nd.near_duplicates(docs(spark, [(3, None)])).collect()] == [(3, 0, 3, True)]
