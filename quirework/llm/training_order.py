@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.common import Scratch, map_arrow, maybe_broadcast, shuffle_partitions
-from quirework.llm.curve_packing import with_range
 from quirework.llm.hashing import U64, chunks, mix
 from quirework.llm.token_ids import coder, tokenizer_path
 
@@ -44,6 +43,7 @@ KEY = 0x5DEECE66D
 SHARD_SEQUENCES = 2048  # 8 MB a shard
 RANGE_ROWS = 1 << 20
 MOST_TASKS = 20_000
+COPY_BLOCK = 256
 
 
 def feistel(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -189,19 +189,16 @@ def training_sequences(
     distinct = scratch.save(distinct, "distinct")
     rows, total = distinct.agg(F.count("*"), F.sum(F.col("n") * F.col("copies"))).first()
     total = total or 0
-    ranges = int(min(10_000, max(1, shuffle_partitions(spark), -(-rows // RANGE_ROWS))))
-    marks = [i / ranges for i in range(1, ranges)]
-    found = distinct.agg(F.percentile_approx("doc_id", marks, max(10_000, 10 * ranges))).first()[0] if marks else []
-    bounds = np.unique(np.array(found or [], dtype=np.int64))
-    keyed = distinct.select("doc_id", "text_key", "n", "copies", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("curve"))
-    ranged = map_arrow(keyed, with_range(bounds), "doc_id long, text_key long, n long, copies long, curve long, part int")
-    ranged = scratch.save(ranged, "ranged")
+    # ranges by id and text: neither null ids nor one id with many texts are a range of their own
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key").asc()]
+    ranges = int(min(MOST_TASKS, max(1, shuffle_partitions(spark), -(-rows // RANGE_ROWS))))
+    ranged = scratch.save(distinct.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "ranged")
     sums = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum(F.col("n") * F.col("copies")).alias("s")).collect()}
     first, at = [], 0
-    for p in range(len(bounds) + 1):
+    for p in sorted(sums):
         first.append((p, at))
-        at += sums.get(p, 0)
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text_key").rowsBetween(Window.unboundedPreceding, -1)
+        at += sums[p]
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     base = spark.createDataFrame(first, "part int, base long")
     starts = ranged.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("copies")).over(inside), F.lit(0))).join(F.broadcast(base), "part")
     starts = starts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("base") + F.col("before")).alias("__start"), "n", "copies")
@@ -213,7 +210,10 @@ def training_sequences(
     repeated = starts.filter("copies > 1").withColumnRenamed("n", "size")
     single = tokens.join(maybe_broadcast(starts.filter("copies = 1").drop("n"), 32), same).select(F.col("__start").alias("start"), "ids")
     many = tokens.join(maybe_broadcast(repeated, 40), same).dropDuplicates(["__id", "__key"])
-    many = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # copies in blocks, so that one text with very many of them is not one task
+    many = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPY_BLOCK)))).repartition("__id", "__key", "block")
+    last = F.least(F.col("block") + (COPY_BLOCK - 1), F.col("copies") - 1)
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("block"), last)))
     placed = single.unionByName(many.select((F.col("__start") + F.col("copy") * F.col("size")).alias("start"), "ids"))
     pieces = map_arrow(placed, _pieces(total, stride, key, shard_sequences), "shard long, slot long, sequence_id long, at int, ids binary")
     shards = -(-(-(-total // stride)) // shard_sequences)
