@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.functions.shipping import ship
+from quirework.functions.shipping import shared_folder, ship
 from quirework.llm import hashing
 
 #: A side is broadcast only when its measured row count times row width stays below this.
@@ -30,21 +29,13 @@ ROW_GROUP_BYTES = 16 << 20
 BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_own_roots: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = sc.applicationId
-        if app not in _own_roots:
-            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="quirework-")
-        root = _own_roots[app]
+    """Folder for intermediate tables: ``spark.checkpoint.dir``; an own one in a local session without it, an error on a cluster."""
+    sc, root = spark.sparkContext, shared_folder(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    return root
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -137,7 +137,7 @@ def mix_sources(
 
     # documents of the blocks at the end of a budget, in their keyed order, up to the cut
     ends = blocks.filter(F.col("start") + F.col("words") > F.col("budget"))
-    inside = blocked.join(F.broadcast(ends.drop("words", "budget")), ["__source", "__block"])  # one block for each source
+    inside = blocked.join(maybe_broadcast(ends.drop("words", "budget"), 64), ["__source", "__block"])  # one block for each source
     inside = inside.withColumn("order", _key(seed, "doc", F.col("__epoch"), F.col("__doc")))
     taken = Window.partitionBy("__source", "__epoch", "__block").orderBy("order").rangeBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.col("start") + F.coalesce(F.sum("__n_words").over(taken), F.lit(0))).filter(F.col("at") < F.col("budget"))

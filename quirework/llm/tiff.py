@@ -415,16 +415,14 @@ def _page_rows(batches: Iterator[pa.RecordBatch], kept: int, schema: pa.Schema)
 def tiff_pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """One row for each page of each file in a binary column, with the columns to keep.
 
-    keep columns come first, under their names with PAGE_COLUMNS' names taking precedence
-    after them; a kept column may not be named like one of those.
+    keep columns come first, under their names, then PAGE_COLUMNS; one of these that is named
+    like a kept column gets ``tiff_`` before its name.
     """
-    if clash := sorted(set(keep) & set(PAGE_COLUMNS)):
-        raise ValueError(f"rename {clash} first: the pages have columns of these names")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     source = df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{content}`").cast("binary").alias("__content"))
-    added = _parse_datatype_string(", ".join(f"{k} {t}" for k, t in PAGE_COLUMNS.items()))
+    added = _parse_datatype_string(", ".join(f"{'tiff_' if k in keep else ''}{k} {t}" for k, t in PAGE_COLUMNS.items()))
     out = StructType([source.schema[k] for k in keep] + list(added.fields))
     arrow, n = to_arrow_schema(out), len(keep)
     return map_arrow(source, lambda batches: _page_rows(batches, n, arrow), out)

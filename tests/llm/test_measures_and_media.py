@@ -96,8 +96,9 @@ def test_tiff_pages_operator(spark):
     rows = tiff.tiff_pages(df, "file", ["id"]).collect()
     assert sorted((r.id, r.page, r.error) for r in rows) == [(1, 0, None), (1, 1, None), (2, -1, "empty"), (3, -1, "not a TIFF file")]
     assert tiff.tiff_pages(df.limit(0), "file", ["id"]).count() == 0
-    with pytest.raises(ValueError):
-        tiff.tiff_pages(df.withColumnRenamed("id", "page"), "file", ["page"])
+    clash = tiff.tiff_pages(df.withColumnRenamed("id", "page"), "file", ["page"])
+    assert clash.columns == ["page", *("tiff_page" if c == "page" else c for c in tiff.PAGE_COLUMNS)]
+    assert sorted((r.page, r.tiff_page, r.error) for r in clash.collect()) == [(1, 0, None), (1, 1, None), (2, -1, "empty"), (3, -1, "not a TIFF file")]
 
 
 # --- operator 3 -----------------------------------------------------------------------------
