@@ -27,11 +27,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-#: The rest runs in the driver's own comparison; these are quick and touch every family.
-CHOSEN = ["normalize_text", "recurring_margins", "segments_native", "document_preflight", "text_requirements", "column_flow", "counterfactual_policies", "native_dehyphenation", "layout_figures", "inserted_source_figures", "blocks_beside_visuals", "outline_matches", "character_error_rate", "book_elements", "asset_violations"]
-
-
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(engine.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     frame = engine.QUERIES[name](spark, DATA)
     columns = sorted(frame.columns)
