@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.measures import projection_fingerprint, text_fingerprint
+from quirework.operators.assemble import deferred_elements, reconciled_elements
+from quirework.operators.reconcile import READ_KINDS
 
 BUCKETS = 10_000
 
@@ -57,6 +59,56 @@ def candidate_report(comparison: DataFrame) -> DataFrame:
     return comparison.groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if("same_text").alias("same_text"), F.count_if("same_projection").alias("same_projection"), F.bool_and("same_text").alias("text_exact"), F.bool_and("same_projection").alias("projection_exact"))
 
 
+#: The candidate text modes and the only native state each is valid for.
+CANDIDATE_MODES = {"TargetedOcrRecovery": "Missing", "TargetedOcrVerification": "Unverified", "TargetedOcrReconciliation": "Suspicious"}
+
+
+def candidate_pages(plans: DataFrame) -> DataFrame:
+    """(doc_id, page_no, mode, status) of pages that a candidate run reads, and whether it may.
+
+    A page whose mode doesn't belong to its native state fails; pages without a text mode
+    aren't run.
+    """
+    valid = F.lit(False)
+    for mode, state in CANDIDATE_MODES.items():
+        valid = valid | ((F.col("mode") == mode) & (F.col("status") == state))
+    out = plans.filter(F.col("mode") != "NativeText")
+    return out.select("doc_id", "page_no", "mode", "status", F.when(F.coalesce(valid, F.lit(False)), "Completed").otherwise("Failed").alias("outcome"))
+
+
+def candidate_elements(pages: DataFrame, reconciled: DataFrame, layout: DataFrame) -> DataFrame:
+    """Of completed pages, the reconciled boxes and, as neutral evidence, boxes that are neither text nor figures."""
+    key = ["doc_id", "page_no"]
+    done = pages.filter("outcome = 'Completed'").select(*key)
+    rest = layout.filter(~F.col("kind").isin(*READ_KINDS, "Figure"))
+    return reconciled_elements(reconciled).unionByName(deferred_elements(rest)).join(done, key, "left_semi")
+
+
+#: In the order a run goes through them.
+PLANNING_STAGES = ("Capability", "NativeNormalization", "RasterObservation", "StructuralEnrichment", "CandidatePlanning")
+
+
+def planning_outcomes(documents: DataFrame, failures: DataFrame) -> DataFrame:
+    """(doc_id, status, stage, message) of a candidate planning run of each document.
+
+    documents: doc_id, supported, pages, authoritative and candidate (planned pages of both
+    sides). failures: doc_id, stage, message. The first stage that fails ends a run; a plan
+    that doesn't cover all pages fails at Capability (authoritative) or CandidatePlanning.
+    """
+    place = F.array_position(F.array(*map(F.lit, PLANNING_STAGES)), F.col("stage"))
+    told = failures.select("doc_id", place.alias("at"), "stage", "message")
+    covers = lambda side: F.concat(F.col(side).cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit(" pages"))
+    short = [(1, "Capability", "authoritative"), (len(PLANNING_STAGES), "CandidatePlanning", "candidate")]
+    for at, stage, side in short:
+        missing = documents.filter(F.col(side) != F.col("pages")).select("doc_id", F.lit(at).cast("long").alias("at"), F.lit(stage).alias("stage"), covers(side).alias("message"))
+        told = told.unionByName(missing)
+    first = told.groupBy("doc_id").agg(F.min(F.struct("at", "message", "stage")).alias("first"))
+    out = documents.join(first, "doc_id", "left")
+    failed = F.col("supported") & F.col("first").isNotNull()
+    status = F.when(~F.col("supported"), "UnsupportedFormat").when(failed, "Failed").otherwise("Completed")
+    return out.select("doc_id", status.alias("status"), F.when(failed, F.col("first.stage")).alias("stage"), F.when(failed, F.col("first.message")).alias("message"))
+
+
 def fingerprints(elements: DataFrame) -> DataFrame:
     """(doc_id, text_fingerprint, projection_fingerprint) of the elements with a text of their own, in order."""
     own = elements.filter(F.col("text").isNotNull() & F.col("origin").isin("Native", "Ocr"))

@@ -111,6 +111,54 @@ def element_fingerprints(spark, sf_dir):
     return dualrun.fingerprints(boxes)
 
 
+@register(
+    "candidate_elements",
+    "WITH " + pq.RECONCILED + tq._PLANS.removeprefix(ev.PAGES) + """,
+    ran AS (SELECT doc_id, page_no FROM plans WHERE (mode, status) IN (('TargetedOcrRecovery', 'Missing'), ('TargetedOcrVerification', 'Unverified'), ('TargetedOcrReconciliation', 'Suspicious')))
+    SELECT r.doc_id, r.page_no, reading_order AS ord, CASE WHEN selected_text IS NULL THEN 'UnresolvedText' WHEN kind = 'Heading' THEN 'Heading' WHEN kind = 'Caption' THEN 'Caption' ELSE 'Text' END AS kind, selected_text AS text, origin, obs_seq
+      FROM rec r JOIN ran USING (doc_id, page_no)
+    UNION ALL SELECT l.doc_id, l.page_no, reading_order, 'Deferred', NULL, 'None', obs_seq FROM layout l JOIN ran USING (doc_id, page_no) WHERE kind NOT IN ('Text', 'Heading', 'Caption', 'Table', 'Figure')""",
+)
+def candidate_elements(spark, sf_dir):
+    """N9."""
+    pages = assess.assess_pages(ev.pages(spark, sf_dir))
+    plans = assess.compile_plans(pages, tq._visuals(pages)).select("doc_id", "page_no", "mode", "status")
+    out = dualrun.candidate_elements(dualrun.candidate_pages(plans), pq.reconciled(spark, sf_dir), pq.layout(spark, sf_dir))
+    return _long(out.withColumnRenamed("order", "ord"), "page_no", "ord", "obs_seq").select("doc_id", "page_no", "ord", "kind", "text", "origin", "obs_seq")
+
+
+@register(
+    "candidate_page_outcomes",
+    "WITH " + tq._PLANS + """ SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 6 = 1 THEN 'TargetedOcrRecovery' ELSE mode END AS mode, status,
+    CASE WHEN (CASE WHEN (doc_id + page_no) % 6 = 1 THEN 'TargetedOcrRecovery' ELSE mode END, status) IN (('TargetedOcrRecovery', 'Missing'), ('TargetedOcrVerification', 'Unverified'), ('TargetedOcrReconciliation', 'Suspicious'))
+      THEN 'Completed' ELSE 'Failed' END AS outcome FROM plans WHERE (doc_id + page_no) % 6 = 1 OR mode <> 'NativeText'""",
+)
+def candidate_page_outcomes(spark, sf_dir):
+    """Some pages are given a mode that isn't theirs."""
+    pages = assess.assess_pages(ev.pages(spark, sf_dir))
+    plans = assess.compile_plans(pages, tq._visuals(pages)).select("doc_id", "page_no", "mode", "status")
+    wrong = F.when((F.col("doc_id") + F.col("page_no")) % 6 == 1, "TargetedOcrRecovery").otherwise(F.col("mode"))
+    return _long(dualrun.candidate_pages(plans.withColumn("mode", wrong)), "page_no")
+
+
+@register(
+    "planning_outcomes",
+    "WITH " + ev.BLOCKS + """, p AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM blocks GROUP BY doc_id), d AS (SELECT *, doc_id % 13 <> 5 AS supported, n + (doc_id % 10 = 3)::INT AS a, n + (doc_id % 9 = 2)::INT AS c,
+      CASE WHEN doc_id % 7 = 1 THEN 'StructuralEnrichment' WHEN doc_id % 7 = 4 THEN 'NativeNormalization' END AS told FROM p),
+    f AS (SELECT *, CASE WHEN a <> n THEN 'Capability' WHEN told IS NOT NULL THEN told WHEN c <> n THEN 'CandidatePlanning' END AS stage FROM d)
+    SELECT doc_id, CASE WHEN NOT supported THEN 'UnsupportedFormat' WHEN stage IS NOT NULL THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN supported THEN stage END AS stage,
+      CASE WHEN supported THEN CASE WHEN a <> n THEN a::VARCHAR || ' of ' || n::VARCHAR || ' pages' WHEN told IS NOT NULL THEN 'raised' WHEN c <> n THEN c::VARCHAR || ' of ' || n::VARCHAR || ' pages' END END AS message FROM f""",
+)
+def planning_outcomes(spark, sf_dir):
+    """Documents with stages that fail and plans that don't cover their pages."""
+    d = F.col("doc_id")
+    docs = ev.blocks(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"))
+    docs = docs.withColumns({"supported": d % 13 != 5, "authoritative": F.col("pages") + (d % 10 == 3).cast("int"), "candidate": F.col("pages") + (d % 9 == 2).cast("int")})
+    stage = F.when(d % 7 == 1, "StructuralEnrichment").when(d % 7 == 4, "NativeNormalization")
+    failures = docs.select("doc_id", stage.alias("stage"), F.lit("raised").alias("message")).filter("stage is not null")
+    return dualrun.planning_outcomes(docs, failures)
+
+
 # --- error rates ------------------------------------------------------------------------------
 
 def _joined(x: str) -> str:

@@ -203,6 +203,19 @@ def test_sampling_is_stable(spark):
     assert dualrun.select_profile(spark.createDataFrame([("0" * 64,)], "sha256 string"), "Sampled", 0).first().selected is False
 
 
+def test_candidate_runs(spark):
+    plans = spark.createDataFrame(
+        [(1, 1, "TargetedOcrRecovery", "Missing"), (1, 2, "TargetedOcrRecovery", "Suspicious"), (1, 3, "NativeText", "Healthy"), (1, 4, "TargetedOcrVerification", None)], "doc_id long, page_no int, mode string, status string"
+    )
+    assert {r.page_no: r.outcome for r in dualrun.candidate_pages(plans).collect()} == {1: "Completed", 2: "Failed", 4: "Failed"}
+    docs = spark.createDataFrame([(1, True, 3, 3, 3), (2, False, 3, 1, 3), (3, True, 3, 3, 2), (4, True, 3, 2, 3), (5, True, 3, 3, 3)], "doc_id long, supported boolean, pages long, authoritative long, candidate long")
+    failures = spark.createDataFrame([(3, "RasterObservation", "no raster"), (5, "StructuralEnrichment", "b"), (5, "NativeNormalization", "a"), (4, "NativeNormalization", "late")], "doc_id long, stage string, message string")
+    got = {r.doc_id: tuple(r)[1:] for r in dualrun.planning_outcomes(docs, failures).collect()}
+    assert got == {
+        1: ("Completed", None, None), 2: ("UnsupportedFormat", None, None), 3: ("Failed", "RasterObservation", "no raster"), 4: ("Failed", "Capability", "2 of 3 pages"), 5: ("Failed", "NativeNormalization", "a"),
+    }
+
+
 def test_fingerprint_bytes():
     import hashlib
     import struct
