@@ -142,16 +142,24 @@ def judge(urls: list[str | None], rules: list[tuple[str, str, str]], globs: list
     split = [canonical(u) for u in urls]
     found = automaton.run([b"." + h.encode() + bytes([SEPARATOR]) + p.encode() for h, p in split])
     names = [host + path for _, host, path in rules]
-    by_length = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
+    by_length = np.array(sorted(range(len(rules)), key=lambda i: (-len(names[i]), i)), dtype=np.int64)
+    rule = _first(found[:, by_length], by_length)
+    glob = _first(found[:, len(rules) :], np.arange(len(globs)))
     out = []
-    for (host, path), row in zip(split, found, strict=True):
-        rule = next((i for i in by_length if row[i]), None)
-        glob = next((j for j in range(len(globs)) if row[len(rules) + j]), None) if host else None
-        verdict = rules[rule][0] if rule is not None else "block" if glob is not None else "allow"
-        out.append((host, path, names[rule] if rule is not None else None, verdict, "".join(globs[glob]) if glob is not None else None))
+    for (host, path), i, j in zip(split, rule.tolist(), glob.tolist(), strict=True):
+        j = j if host else -1
+        verdict = rules[i][0] if i >= 0 else "block" if j >= 0 else "allow"
+        out.append((host, path, names[i] if i >= 0 else None, verdict, "".join(globs[j]) if j >= 0 else None))
     return out
 
 
+def _first(hits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Name of the first hit in each row, or -1."""
+    if not len(names):
+        return np.full(len(hits), -1)
+    return np.where(hits.any(axis=1), names[hits.argmax(axis=1)], -1)
+
+
 def filter_urls(
     df: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] | None = None, globs: list[tuple[str, str]] | None = None
 ) -> DataFrame:
