@@ -387,9 +387,9 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     weighed = members.join(weight, "class")
     centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "class")).alias("top")).select("bucket", F.col("top.class").alias("centre"))
     centres = scratch.save(centres, "centres")
-    star = members.join(centres, "bucket").filter("class <> centre")
-    star = star.select(F.greatest("class", "centre").alias("u"), F.least("class", "centre").alias("v")).distinct()
-    tested = scratch.save(star, "star")
+    # who meets around a centre: the other members of its buckets
+    met = scratch.save(members.join(centres, "bucket").filter("class <> centre").select("centre", "class").distinct(), "met")
+    tested = scratch.save(met.select(F.greatest("class", "centre").alias("u"), F.least("class", "centre").alias("v")).distinct(), "star")
 
     def sides(pairs: DataFrame) -> DataFrame:
         """Adds size and sketch of both ends."""
@@ -401,11 +401,8 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
     links = _verified(near, source, classes, scratch, "star", percent)
     merged = connected_components(links, scratch, "merged")
 
-    # who meets around a centre: its buckets' members and itself, each with its merged group
-    around = tested.select(F.col("u").alias("class"), F.col("v").alias("other")).join(centres.select(F.col("centre").alias("other")).distinct(), "other")
-    other = tested.select(F.col("v").alias("class"), F.col("u").alias("other")).join(centres.select(F.col("centre").alias("other")).distinct(), "other")
-    around = around.unionByName(other).select(F.col("other").alias("centre"), "class").distinct()
-    around = around.join(merged.withColumnRenamed("node", "class"), "class", "left")
+    # each with its merged group
+    around = met.join(merged.withColumnRenamed("node", "class"), "class", "left")
     around = around.select("centre", "class", F.coalesce("component", "class").alias("component"))
     counts = around.groupBy("centre", "component").agg(F.count("*").alias("n"))
     major = counts.groupBy("centre").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
