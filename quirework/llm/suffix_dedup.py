@@ -344,7 +344,15 @@ def _merge(spans, length: int) -> list[list[int]]:
     return out
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs of starts, some hundred in a long text, to the few spans of bytes they remove."""
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    for batch in batches:
+        spans = [[{"lo": lo, "hi": hi} for lo, hi in _merge(runs, length)] for runs in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "text_key", "__spans"])
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Row number, byte counts, digest and text of what is left."""
     for batch in batches:
         texts = _binary(batch, "__text")
@@ -352,11 +360,11 @@ def _cut_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         for part in chunks(list(range(len(texts))), lambda i: len(texts[i]) + 256, 8 << 20):
             counts, removed, runs, digests, kept = [], [], [], [], []
             for i in part:
-                t, cuts = texts[i], _merge(spans[i] or [], length)
+                t, cuts = texts[i], spans[i] or []
                 at, left = 0, []
-                for s, e in cuts:
-                    left.append(t[at:s])
-                    at = e
+                for cut in cuts:
+                    left.append(t[at : cut["lo"]])
+                    at = cut["hi"]
                 left.append(t[at:])
                 rest = b"".join(left) if cuts else t
                 counts.append(len(t))
@@ -391,7 +399,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     source = df.select(number.alias("doc_id"), key.alias("text_key"), body.alias("__text"))
     starts = repeated_starts(source.filter(F.octet_length("__text") >= length), scratch, length)
     spans = starts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
-    spans = scratch.save(spans, "spans")
+    kind = "doc_id long, text_key long, __spans array<struct<lo:int,hi:int>>"
+    spans = scratch.save(map_arrow(spans, lambda b: _span_rows(b, length), kind), "spans")
     scratch.drop(*(t for t in list(scratch.paths) if t != "spans"))
 
     counts = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -406,7 +415,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     added = [("__n_bytes", LongType()), ("__n_removed", LongType()), ("__n_spans", LongType()), ("__sha", StringType()), ("__kept", StringType())]
     schema = StructType([joined.schema[a] for a in inner.values()] + [StructField(n, t) for n, t in added])
-    cut = map_arrow(joined, lambda b: _cut_rows(b, length), schema)
+    cut = map_arrow(joined, _cut_rows, schema)
     named = [F.col(f"__{n}").alias(n) for n in counts[:3]] + [F.col("__sha").alias("kept_sha256")]
     if not with_text:
         return cut.select(F.col(inner[doc_id]).alias(doc_id), *named)
