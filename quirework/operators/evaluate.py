@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.measures import ordered_overlap, token_edits, word_edits
 from quirework.operators.segment import compact_key, heading_key
-from quirework.operators.text import SPACE, nfc, upper_invariant
+from quirework.operators.text import SPACE, collapse_ends, nfc, upper_invariant
 
 NEAR_PAGES, MOST_CLUSTER, BEST_MATCHES, LEXICAL_MATCHES = 2, 3, 5, 3
 LEAST_CONTAINED, LEAST_SHARE = 8, 0.20
@@ -110,16 +110,19 @@ def outline_levels(entries: DataFrame) -> DataFrame:
 
 
 def match_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each title's block on its page by equality in any case, then by heading key, then by compact key; the first block."""
+    """Each title's block on its page by equality in any case, then by heading key, then by compact key; the first block.
+
+    Keys without a letter or digit match nothing.
+    """
     page = (F.col("o.doc_id") == F.col("x.doc_id")) & (F.col("o.target_page") == F.col("x.page_no"))
-    keys = lambda df, text: df.withColumns({"k0": upper_invariant(F.col(text)), "k1": heading_key(F.col(text)), "k2": compact_key(F.col(text))})
+    keys = lambda df, text: df.withColumns({"k0": upper_invariant(collapse_ends(F.col(text))), "k1": heading_key(F.col(text)), "k2": compact_key(F.col(text))})
     titles, found = keys(outline, "title").alias("o"), keys(blocks, "norm_text").alias("x")
-    same = [F.col(f"o.k{i}") == F.col(f"x.k{i}") for i in range(3)]
+    same = [(F.col(f"o.k{i}") == F.col(f"x.k{i}")) & ((F.length(f"o.k{i}") > 0) if i else F.lit(True)) for i in range(3)]
     rank = F.when(same[0], 0).when(same[1], 1).when(same[2], 2)
     hits = titles.join(found, page & (same[0] | same[1] | same[2])).select("o.doc_id", "o.ordinal", "x.block_seq", rank.alias("rank"))
     best = hits.groupBy("doc_id", "ordinal").agg(F.min(F.struct("rank", "block_seq")).alias("best"))
     out = outline.join(best, ["doc_id", "ordinal"], "left")
-    kind = F.when(F.col("best.rank") == 0, "Exact").when(F.col("best.rank") == 1, "Normalized").when(F.col("best.rank") == 2, "Compact").otherwise("None")
+    kind = F.when(F.col("best.rank") == 0, "ExactText").when(F.col("best.rank") == 1, "NormalizedText").when(F.col("best.rank") == 2, "CompactText").otherwise("None")
     return out.select("doc_id", "ordinal", F.col("best.block_seq").alias("block_seq"), kind.alias("match"))
 
 
@@ -271,16 +274,21 @@ def page_set_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def sentinel_order(regions: DataFrame, sentinels: DataFrame) -> DataFrame:
-    """The first region of each sentinel, and whether sentinels come in their order.
+    """(doc_id, page_no, passed, reason): is the first of a page's two sentinels read before the second?
 
-    regions: doc_id, page_no, seq, text. sentinels: doc_id, page_no, position, sentinel.
+    regions: doc_id, page_no, seq, text, in reading order. sentinels: doc_id, page_no, position,
+    sentinel. A sentinel is where the first text holds it; both in one text aren't in order.
     """
-    clean = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), SPACE, " ")))
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), SPACE, " "))
     same = (F.col("s.doc_id") == F.col("g.doc_id")) & (F.col("s.page_no") == F.col("g.page_no")) & F.contains(clean("g.text"), clean("s.sentinel"))
-    found = sentinels.alias("s").join(regions.alias("g"), same, "left").groupBy("s.doc_id", "s.page_no", "s.position", "s.sentinel").agg(F.min("g.seq").alias("seq"))
-    flow = Window.partitionBy("doc_id", "page_no").orderBy("position")
-    before = F.max("seq").over(flow.rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("in_order", F.col("seq").isNotNull() & (before.isNull() | (F.col("seq") >= before)))
+    found = sentinels.alias("s").join(regions.alias("g"), same, "left").groupBy("s.doc_id", "s.page_no", "s.position").agg(F.min("g.seq").alias("seq"))
+    held = F.array_sort(F.collect_list(F.struct("position", "seq")))
+    pages = found.groupBy("doc_id", "page_no").agg(held.alias("held"))
+    at = [F.col("held")[i]["seq"] for i in (0, 1)]
+    reason = (
+        F.when(F.size("held") != 2, "not two sentinels").when(at[0].isNull(), "first not found").when(at[1].isNull(), "second not found").when(at[0] >= at[1], "not in order")
+    )
+    return pages.select("doc_id", "page_no", reason.isNull().alias("passed"), reason.alias("reason"))
 
 
 def compare_expectations(found: DataFrame, expected: DataFrame, key: list[str], facts: list[str]) -> DataFrame:
@@ -308,17 +316,21 @@ def _area(s: str) -> Column:
 
 
 def box_matches(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """The best predicted box of each expected one by overlap over union, with both coverages."""
+    """The best predicted box of each expected one, by the greater of overlap over union and coverage of the expected box.
+
+    Ties go to the coverage, the overlap over union, the first box. A page without predicted
+    boxes has rows without measures.
+    """
     page = (F.col("e.doc_id") == F.col("p.doc_id")) & (F.col("e.page_no") == F.col("p.page_no"))
     w = F.greatest(F.lit(0.0), F.least(F.col("e.r"), F.col("p.r")) - F.greatest(F.col("e.l"), F.col("p.l")))
     h = F.greatest(F.lit(0.0), F.least(F.col("e.b"), F.col("p.b")) - F.greatest(F.col("e.t"), F.col("p.t")))
-    union = _area("e") + _area("p") - w * h
-    ratio = lambda x, y: F.bround(F.when(y > 0, x / y).otherwise(F.lit(0.0)), 6)
+    both = w * h
+    ratio = lambda y: F.when(F.col("p.seq").isNotNull(), F.when(y > 0, both / y).otherwise(F.lit(0.0)))
     pairs = expected.alias("e").join(predicted.alias("p"), page, "left").select(
-        "e.doc_id", "e.page_no", F.col("e.seq").alias("seq"), F.col("p.seq").alias("predicted"), F.coalesce(ratio(w * h, union), F.lit(0.0)).alias("iou"),
-        F.coalesce(ratio(w * h, _area("e")), F.lit(0.0)).alias("expected_coverage"), F.coalesce(ratio(w * h, _area("p")), F.lit(0.0)).alias("predicted_coverage"),
-    )
-    best = Window.partitionBy("doc_id", "page_no", "seq").orderBy(F.desc("iou"), F.asc_nulls_last("predicted"))
+        "e.doc_id", "e.page_no", F.col("e.seq").alias("seq"), F.col("p.seq").alias("predicted"), ratio(_area("p") + _area("e") - both).alias("iou"), ratio(_area("e")).alias("expected_coverage"), ratio(_area("p")).alias("predicted_coverage")
+    )
+    pairs = pairs.withColumn("score", F.greatest("iou", "expected_coverage"))
+    best = Window.partitionBy("doc_id", "page_no", "seq").orderBy(F.desc("score"), F.desc("expected_coverage"), F.desc("iou"), F.asc_nulls_last("predicted"))
     return pairs.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
 
 
@@ -328,19 +340,31 @@ def x_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(narrow <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / narrow)
 
 
-def vertical_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """P5."""
-    return F.greatest(F.lit(0.0), b0 - a1, a0 - b1)
+def vertical_gap(upper_bottom: Column, lower_top: Column) -> Column:
+    """P5: from the upper box down to the lower one."""
+    return F.greatest(F.lit(0.0), lower_top - upper_bottom)
+
+
+#: Fixed values of the column rule, in shares of the page.
+LEAST_COLUMN_WIDTH, MOST_COLUMN_WIDTH, LEAST_COLUMN_HEIGHT, LEAST_SEPARATION, LEAST_BESIDE, MOST_CROSSING = 0.18, 0.70, 0.08, 0.22, 0.30, 0.05
 
 
 def multi_column_score(regions: DataFrame) -> DataFrame:
-    """Pairs of boxes side by side on a page."""
+    """Of every page, the best two boxes side by side: distance of their middles and shared height; 0 without any.
+
+    regions: doc_id, page_no, seq, l, t, r, b in shares of the page.
+    """
+    key = ["doc_id", "page_no"]
+    width, height = F.col("r") - F.col("l"), F.col("b") - F.col("t")
+    columns = regions.filter(width.between(LEAST_COLUMN_WIDTH, MOST_COLUMN_WIDTH) & (height >= LEAST_COLUMN_HEIGHT))
     page = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_no") == F.col("b.page_no")) & (F.col("a.seq") < F.col("b.seq"))
     centre = lambda s: (F.col(f"{s}.l") + F.col(f"{s}.r")) / 2
+    apart = F.abs(centre("a") - centre("b"))
     high = x_overlap(F.col("a.t"), F.col("a.b"), F.col("b.t"), F.col("b.b"))
     wide = F.greatest(F.lit(0.0), F.least(F.col("a.r"), F.col("b.r")) - F.greatest(F.col("a.l"), F.col("b.l")))
-    beside = (F.abs(centre("a") - centre("b")) >= 0.22) & (high >= 0.30) & (wide <= 0.05 * F.least(F.col("a.r") - F.col("a.l"), F.col("b.r") - F.col("b.l")))
-    return regions.alias("a").join(regions.alias("b"), page & beside).groupBy("a.doc_id", "a.page_no").agg(F.count("*").alias("pairs"), F.bround(F.max(high), 6).alias("score"))
+    beside = (apart >= LEAST_SEPARATION) & (high >= LEAST_BESIDE) & (wide <= MOST_CROSSING)
+    best = columns.alias("a").join(columns.alias("b"), page & beside).groupBy("a.doc_id", "a.page_no").agg(F.count("*").alias("pairs"), F.max(apart + high).alias("score"))
+    return regions.select(*key).distinct().join(best, key, "left").fillna({"pairs": 0, "score": 0.0})
 
 
 #: Fixed values of the specimen rules: category, first and last year; least characters; the page preferred for the nineteenth century.

@@ -43,6 +43,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def collapse_ends(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+
+
 def normalize(text: Column, compose: bool = True) -> Column:
     """B1: composition, line ends, dehyphenation, white space."""
     return collapse(dehyphenate(line_ends(nfc(text) if compose else text)))

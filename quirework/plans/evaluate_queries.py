@@ -283,10 +283,10 @@ _COMPACT = lambda x: ev.upper_sql(f"regexp_replace({x}, '[^\\p{{L}}\\p{{Nd}}]',
 @register(
     "outline_matches",
     "WITH " + _OUTLINE + f""",
-    a AS (SELECT *, {ev.upper_sql("title")} AS k0, {ev.key_sql("title")} AS k1, {_COMPACT("title")} AS k2 FROM outline), z AS (SELECT doc_id, page_no, block_seq, {ev.upper_sql("norm_text")} AS k0, {ev.key_sql("norm_text")} AS k1, {_COMPACT("norm_text")} AS k2 FROM headed),
-    h AS (SELECT a.doc_id, a.ordinal, z.block_seq, CASE WHEN a.k0 = z.k0 THEN 0 WHEN a.k1 = z.k1 THEN 1 ELSE 2 END AS rank FROM a JOIN z ON a.doc_id = z.doc_id AND a.target_page = z.page_no AND (a.k0 = z.k0 OR a.k1 = z.k1 OR a.k2 = z.k2)),
+    a AS (SELECT *, {ev.upper_sql("trim(title)")} AS k0, {ev.key_sql("title")} AS k1, {_COMPACT("title")} AS k2 FROM outline), z AS (SELECT doc_id, page_no, block_seq, {ev.upper_sql("norm_text")} AS k0, {ev.key_sql("norm_text")} AS k1, {_COMPACT("norm_text")} AS k2 FROM headed),
+    h AS (SELECT a.doc_id, a.ordinal, z.block_seq, CASE WHEN a.k0 = z.k0 THEN 0 WHEN a.k1 = z.k1 AND a.k1 <> '' THEN 1 ELSE 2 END AS rank FROM a JOIN z ON a.doc_id = z.doc_id AND a.target_page = z.page_no AND (a.k0 = z.k0 OR (a.k1 = z.k1 AND a.k1 <> '') OR (a.k2 = z.k2 AND a.k2 <> ''))),
     f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY rank, block_seq) = 1)
-    SELECT a.doc_id, a.ordinal, f.block_seq, CASE f.rank WHEN 0 THEN 'Exact' WHEN 1 THEN 'Normalized' WHEN 2 THEN 'Compact' ELSE 'None' END AS match FROM a LEFT JOIN f ON f.doc_id = a.doc_id AND f.ordinal = a.ordinal""",
+    SELECT a.doc_id, a.ordinal, f.block_seq, CASE f.rank WHEN 0 THEN 'ExactText' WHEN 1 THEN 'NormalizedText' WHEN 2 THEN 'CompactText' ELSE 'None' END AS match FROM a LEFT JOIN f ON f.doc_id = a.doc_id AND f.ordinal = a.ordinal""",
 )
 def outline_matches(spark, sf_dir):
     """O20."""
@@ -417,18 +417,19 @@ def page_set_differences(spark, sf_dir):
 
 @register(
     "sentinel_order",
-    "WITH " + ev.BLOCKS + """, s AS (SELECT DISTINCT doc_id, page_no, i AS position, ['the', 'tion', 'of the', 'zzz'][(doc_id + i) % 4 + 1] AS sentinel FROM blocks, range(0, 3) AS x(i)),
-    f AS (SELECT s.doc_id, s.page_no, position, sentinel, min(block_seq) AS seq FROM s LEFT JOIN blocks g ON g.doc_id = s.doc_id AND g.page_no = s.page_no AND contains(lower(trim(regexp_replace(g.text, '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g'))), sentinel) GROUP BY ALL),
-    o AS (SELECT *, max(seq) OVER (PARTITION BY doc_id, page_no ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
-    SELECT doc_id, page_no, position, sentinel, seq, seq IS NOT NULL AND (before IS NULL OR seq >= before) AS in_order FROM o""",
+    "WITH " + ev.BLOCKS + """, s AS (SELECT DISTINCT doc_id, page_no, i AS position, ['the', 'tion', 'of the', 'zzz'][(doc_id + i) % 4 + 1] AS sentinel FROM blocks, range(0, 2) AS x(i)),
+    f AS (SELECT s.doc_id, s.page_no, position, min(block_seq) AS seq FROM s LEFT JOIN blocks g ON g.doc_id = s.doc_id AND g.page_no = s.page_no AND contains(trim(regexp_replace(lower(g.text), '[\\t\\n\\x0B\\f\\r\\x85\\p{Z}]+', ' ', 'g')), sentinel) GROUP BY ALL),
+    r AS (SELECT a.doc_id, a.page_no, CASE WHEN a.seq IS NULL THEN 'first not found' WHEN z.seq IS NULL THEN 'second not found' WHEN a.seq >= z.seq THEN 'not in order' END AS reason
+      FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.page_no = a.page_no AND a.position = 0 AND z.position = 1)
+    SELECT doc_id, page_no, reason IS NULL AS passed, reason FROM r""",
 )
 def sentinel_order(spark, sf_dir):
     """O35."""
     blocks = ev.blocks(spark, sf_dir)
     marks = F.array(*map(F.lit, ("the", "tion", "of the", "zzz")))
-    sentinels = blocks.select("doc_id", "page_no").distinct().withColumn("position", F.explode(F.array(*map(F.lit, range(3)))))
+    sentinels = blocks.select("doc_id", "page_no").distinct().withColumn("position", F.explode(F.array(F.lit(0), F.lit(1))))
     sentinels = sentinels.withColumn("sentinel", F.element_at(marks, ((F.col("doc_id") + F.col("position")) % 4 + 1).cast("int")))
-    return _long(evaluate.sentinel_order(blocks.withColumn("seq", F.col("block_seq")), sentinels), "page_no", "position", "seq")
+    return _long(evaluate.sentinel_order(blocks.withColumn("seq", F.col("block_seq")), sentinels), "page_no")
 
 
 @register(
@@ -458,9 +459,10 @@ _SHARED = "greatest(0e0, least(e.r, p.r) - greatest(e.l, p.l)) * greatest(0e0, l
 @register(
     "box_matches",
     "WITH " + ev.BLOCKS + pq.VISUALS.split(",\nstructural")[0] + f""", m AS (SELECT e.doc_id, e.page_no, e.visual_idx AS seq, p.block_seq AS predicted,
-    coalesce(round_even(CASE WHEN {_AREA("e")} + {_AREA("p")} - {_SHARED} > 0 THEN {_SHARED} / ({_AREA("e")} + {_AREA("p")} - {_SHARED}) ELSE 0e0 END, 6), 0e0) AS iou,
-    coalesce(round_even(CASE WHEN {_AREA("e")} > 0 THEN {_SHARED} / ({_AREA("e")}) ELSE 0e0 END, 6), 0e0) AS expected_coverage, coalesce(round_even(CASE WHEN {_AREA("p")} > 0 THEN {_SHARED} / ({_AREA("p")}) ELSE 0e0 END, 6), 0e0) AS predicted_coverage
-    FROM visuals e LEFT JOIN blocks p ON p.doc_id = e.doc_id AND p.page_no = e.page_no) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, seq ORDER BY iou DESC, predicted NULLS LAST) = 1""",
+    CASE WHEN p.doc_id IS NULL THEN NULL WHEN {_AREA("p")} + {_AREA("e")} - {_SHARED} > 0 THEN {_SHARED} / ({_AREA("p")} + {_AREA("e")} - {_SHARED}) ELSE 0e0 END AS iou,
+    CASE WHEN p.doc_id IS NULL THEN NULL WHEN {_AREA("e")} > 0 THEN {_SHARED} / ({_AREA("e")}) ELSE 0e0 END AS expected_coverage, CASE WHEN p.doc_id IS NULL THEN NULL WHEN {_AREA("p")} > 0 THEN {_SHARED} / ({_AREA("p")}) ELSE 0e0 END AS predicted_coverage
+    FROM visuals e LEFT JOIN blocks p ON p.doc_id = e.doc_id AND p.page_no = e.page_no)
+    SELECT *, greatest(iou, expected_coverage) AS score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, seq ORDER BY score DESC, expected_coverage DESC, iou DESC, predicted NULLS LAST) = 1""",
 )
 def box_matches(spark, sf_dir):
     """P4."""
@@ -471,7 +473,7 @@ def box_matches(spark, sf_dir):
 
 @register(
     "box_gaps",
-    "WITH " + ev.BLOCKS + """ SELECT a.doc_id, a.page_no, a.block_seq AS seq, CASE WHEN least(a.r - a.l, z.r - z.l) <= 0 THEN 0e0 ELSE greatest(0e0, least(a.r, z.r) - greatest(a.l, z.l)) / least(a.r - a.l, z.r - z.l) END AS x_overlap, greatest(0e0, z.t - a.b, a.t - z.b) AS gap
+    "WITH " + ev.BLOCKS + """ SELECT a.doc_id, a.page_no, a.block_seq AS seq, CASE WHEN least(a.r - a.l, z.r - z.l) <= 0 THEN 0e0 ELSE greatest(0e0, least(a.r, z.r) - greatest(a.l, z.l)) / least(a.r - a.l, z.r - z.l) END AS x_overlap, greatest(0e0, z.t - a.b) AS gap
     FROM blocks a JOIN blocks z ON z.doc_id = a.doc_id AND z.page_no = a.page_no AND z.block_seq = a.block_seq + 2""",
 )
 def box_gaps(spark, sf_dir):
@@ -479,7 +481,7 @@ def box_gaps(spark, sf_dir):
     blocks = ev.blocks(spark, sf_dir)
     same = (F.col("a.doc_id") == F.col("z.doc_id")) & (F.col("a.page_no") == F.col("z.page_no")) & (F.col("z.block_seq") == F.col("a.block_seq") + 2)
     c = lambda s, *k: [F.col(f"{s}.{x}") for x in k]
-    out = blocks.alias("a").join(blocks.alias("z"), same).select("a.doc_id", "a.page_no", F.col("a.block_seq").alias("seq"), evaluate.x_overlap(*c("a", "l", "r"), *c("z", "l", "r")).alias("x_overlap"), evaluate.vertical_gap(*c("a", "t", "b"), *c("z", "t", "b")).alias("gap"))
+    out = blocks.alias("a").join(blocks.alias("z"), same).select("a.doc_id", "a.page_no", F.col("a.block_seq").alias("seq"), evaluate.x_overlap(*c("a", "l", "r"), *c("z", "l", "r")).alias("x_overlap"), evaluate.vertical_gap(F.col("a.b"), F.col("z.t")).alias("gap"))
     return _long(out, "page_no", "seq")
 
 
@@ -488,8 +490,10 @@ _BESIDE = "CASE WHEN least(a.b - a.t, z.b - z.t) <= 0 THEN 0e0 ELSE greatest(0e0
 
 @register(
     "multi_column_scores",
-    "WITH " + ev.BLOCKS + f""", tall AS (SELECT doc_id, page_no, block_seq AS seq, l, t, r, b + 125e-3 AS b FROM blocks) SELECT a.doc_id, a.page_no, count(*) AS pairs, round_even(max({_BESIDE}), 6) AS score FROM tall a JOIN tall z ON z.doc_id = a.doc_id AND z.page_no = a.page_no AND a.seq < z.seq
-    AND abs((a.l + a.r) / 2 - (z.l + z.r) / 2) >= 22e-2 AND {_BESIDE} >= 3e-1 AND greatest(0e0, least(a.r, z.r) - greatest(a.l, z.l)) <= 5e-2 * least(a.r - a.l, z.r - z.l) GROUP BY a.doc_id, a.page_no""",
+    "WITH " + ev.BLOCKS + f""", tall AS (SELECT doc_id, page_no, block_seq AS seq, l, t, r, b + 125e-3 AS b FROM blocks), cols AS (SELECT * FROM tall WHERE r - l BETWEEN 18e-2 AND 7e-1 AND b - t >= 8e-2),
+    best AS (SELECT a.doc_id, a.page_no, count(*) AS pairs, max(abs((a.l + a.r) / 2 - (z.l + z.r) / 2) + {_BESIDE}) AS score FROM cols a JOIN cols z ON z.doc_id = a.doc_id AND z.page_no = a.page_no AND a.seq < z.seq
+      AND abs((a.l + a.r) / 2 - (z.l + z.r) / 2) >= 22e-2 AND {_BESIDE} >= 3e-1 AND greatest(0e0, least(a.r, z.r) - greatest(a.l, z.l)) <= 5e-2 GROUP BY a.doc_id, a.page_no)
+    SELECT p.doc_id, p.page_no, coalesce(pairs, 0) AS pairs, coalesce(score, 0e0) AS score FROM (SELECT DISTINCT doc_id, page_no FROM tall) p LEFT JOIN best ON best.doc_id = p.doc_id AND best.page_no = p.page_no""",
 )
 def multi_column_scores(spark, sf_dir):
     """Blocks made one line taller."""

@@ -27,8 +27,8 @@ _long = pq._long
 
 
 @ev.shared
-def elements(spark, sf_dir):
-    """Elements of every page: native blocks where the page is healthy, boxes with reconciled text and visuals elsewhere."""
+def _raw_elements(spark, sf_dir):
+    """Elements as assembled; margins, typography and segments each look at them, so they are made once."""
     key = ["doc_id", "page_no"]
     blocks, layout = ev.blocks(spark, sf_dir), pq.layout(spark, sf_dir)
     healthy = assess.assess_pages(ev.pages(spark, sf_dir)).filter("status = 'Healthy'").select(*key)
@@ -41,7 +41,18 @@ def elements(spark, sf_dir):
     failed = pq.page_outcomes(spark, sf_dir).filter("outcome = 'Failed'").select(*key)
     boxes = boxes.join(failed, key, "left_anti")
     boxes = boxes.join(layout.select(*key, "obs_seq", "t", "b"), [*key, "obs_seq"]).withColumns({"median_pt": F.lit(None).cast("double"), "word_count": F.lit(None).cast("int")})
-    out = assemble.normalize_elements(native.unionByName(boxes))
+    return native.unionByName(boxes)
+
+
+@ev.shared
+def _normalized_elements(spark, sf_dir):
+    return assemble.normalize_elements(_raw_elements(spark, sf_dir))
+
+
+@ev.shared
+def elements(spark, sf_dir):
+    """Elements of every page: native blocks where the page is healthy, boxes with reconciled text and visuals elsewhere."""
+    out = _normalized_elements(spark, sf_dir)
     live = out.filter("exclusion is null and norm_text <> '' and median_pt is not null")
     out = out.join(segment.body_font_size(live), "doc_id", "left")
     return out.withColumn("ratio", segment.font_ratio(F.col("median_pt"), F.col("body_pt"))).drop("body_pt")

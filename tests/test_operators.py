@@ -316,6 +316,43 @@ def test_alignment_ranks_shared_tokens_before_pages(spark):
     assert [(r.page_no, r.band, r.shared, r.distance) for r in got] == [(4, "ModerateOverlap", 2, None), (6, "ModerateOverlap", 2, None), (5, "WeakOverlap", 1, None)]
 
 
+BOXES = "doc_id long, page_no int, seq int, l double, t double, r double, b double"
+
+
+def test_box_matches(spark):
+    expected = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 0.2, 0.2), (1, 2, 0, 0.0, 0.0, 0.1, 0.1)], BOXES)
+    # the large box covers the expected one whole, the small one has the greater overlap over union
+    predicted = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 0.2, 0.16), (1, 1, 1, 0.0, 0.0, 1.0, 1.0), (1, 1, 2, 0.0, 0.0, 1.0, 1.0)], BOXES)
+    got = {r.page_no: r for r in evaluate.box_matches(expected, predicted).collect()}
+    assert got[1].predicted == 1 and got[1].score == got[1].expected_coverage == pytest.approx(1.0) and got[1].iou == pytest.approx(0.04)
+    assert got[2].predicted is None and got[2].score is None
+
+
+def test_columns_beside_each_other(spark):
+    rows = [
+        (1, 1, 0, 0.05, 0.1, 0.45, 0.5), (1, 1, 1, 0.55, 0.1, 0.95, 0.5), (1, 1, 2, 0.05, 0.3, 0.45, 0.9),  # two columns
+        (1, 2, 0, 0.05, 0.1, 0.2, 0.5), (1, 2, 1, 0.55, 0.1, 0.95, 0.5),  # too narrow
+        (1, 3, 0, 0.05, 0.1, 0.85, 0.5), (1, 3, 1, 0.55, 0.1, 0.95, 0.5),  # too wide
+        (1, 4, 0, 0.05, 0.1, 0.45, 0.15), (1, 4, 1, 0.55, 0.1, 0.95, 0.5),  # too low
+    ]
+    got = {r.page_no: (r.pairs, r.score) for r in evaluate.multi_column_score(spark.createDataFrame(rows, BOXES)).collect()}
+    assert got[1] == (2, pytest.approx(1.5)) and got[2] == got[3] == got[4] == (0, 0.0)
+
+
+def test_sentinels(spark):
+    regions = spark.createDataFrame([(1, p, s, t) for p in (1, 2, 3, 4) for s, t in enumerate(["The  First", "second line", "first again"])], "doc_id long, page_no int, seq int, text string")
+    marks = [(1, 1, 0, "the first"), (1, 1, 1, "SECOND"), (1, 2, 0, "first"), (1, 2, 1, "the"), (1, 3, 0, "none"), (1, 3, 1, "second"), (1, 4, 0, "second")]
+    got = evaluate.sentinel_order(regions, spark.createDataFrame(marks, "doc_id long, page_no int, position int, sentinel string")).collect()
+    assert {r.page_no: (r.passed, r.reason) for r in got} == {1: (True, None), 2: (False, "not in order"), 3: (False, "first not found"), 4: (False, "not two sentinels")}
+
+
+def test_outline_matches(spark):
+    outline = spark.createDataFrame([(1, 0, " Title One ", 1), (1, 1, "* title one", 1), (1, 2, "TitleOne", 1), (1, 3, "***", 1)], "doc_id long, ordinal long, title string, target_page int")
+    blocks = spark.createDataFrame([(1, 1, 0, "---"), (1, 1, 1, "title one"), (1, 1, 2, "Title One")], "doc_id long, page_no int, block_seq int, norm_text string")
+    got = {r.ordinal: (r.block_seq, r.match) for r in evaluate.match_outline(outline, blocks).collect()}
+    assert got == {0: (1, "ExactText"), 1: (1, "NormalizedText"), 2: (1, "CompactText"), 3: (None, "None")}
+
+
 def test_title_match(spark):
     titles = spark.createDataFrame([(1, 1, "The Long Title"), (1, 2, " "), (1, 3, "nothing alike")], "doc_id long, page_no int, title string")
     regions = spark.createDataFrame([(1, 1, 3, "noise"), (1, 1, 5, "the long"), (1, 1, 9, "title"), (1, 1, 10, "title"), (1, 2, 0, "x"), (1, 3, 0, "y z")], "doc_id long, page_no int, seq int, text string")
