@@ -171,7 +171,8 @@ def layout_figures(layout: DataFrame) -> DataFrame:
     key = ["doc_id", "page_no", "obs_seq"]
     page = lambda s: (F.col("f.doc_id") == F.col(f"{s}.doc_id")) & (F.col("f.page_no") == F.col(f"{s}.page_no"))
     _, gap = _vertical(*_c("f", "t", "b"), *_c("c", "t", "b"))
-    strong = (F.col("f.reading_order") < F.col("c.reading_order")) & (overlap_ratio(*_c("f", "l", "r"), *_c("c", "l", "r")) >= LAYOUT_CAPTION_OVERLAP) & (F.coalesce(gap, F.lit(0.0)) <= LAYOUT_CAPTION_GAP)
+    place = lambda s: F.coalesce(F.col(f"{s}.reading_order"), F.col(f"{s}.obs_seq"))
+    strong = (place("f") < place("c")) & (overlap_ratio(*_c("f", "l", "r"), *_c("c", "l", "r")) >= LAYOUT_CAPTION_OVERLAP) & (F.coalesce(gap, F.lit(0.0)) <= LAYOUT_CAPTION_GAP)
     counted = figures.alias("f").join(captions.alias("c"), page("c")).groupBy(*(f"f.{k}" for k in key)).agg(F.count("*").alias("captions"), F.count_if(strong).alias("strong"))
     meets = (F.col("f.l") < F.col("x.r")) & (F.col("x.l") < F.col("f.r")) & (F.col("f.t") < F.col("x.b")) & (F.col("x.t") < F.col("f.b"))
     touched = figures.alias("f").join(layout.filter("kind in ('Text', 'Heading', 'Table')").alias("x"), page("x") & meets, "left_semi").select(*key, F.lit(True).alias("touched"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.functions.shipping import ship
+from quirework.functions.shipping import shared_folder, ship
 from quirework.operators.segment import with_headings
 from quirework.operators.text import normalize_blocks
 from quirework.sources import plaintext
 
-_kept: dict[tuple, tuple[str, DataFrame]] = {}
+_kept: dict[tuple, tuple[str, str, DataFrame]] = {}
 
 
 def _state(spark: SparkSession, path: str) -> str:
@@ -20,28 +23,43 @@ def _state(spark: SparkSession, path: str) -> str:
     return ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
 
 
+def _drop(key: tuple) -> None:
+    state, path, frame = _kept.pop(key)
+    sc = frame.sparkSession.sparkContext
+    if sc._jsc is not None and sc.applicationId == state.split(" ")[0]:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
 def forget() -> None:
-    """Lets go of kept evidence; the next query computes its own."""
-    for _, frame in _kept.values():
-        frame.unpersist()
-    _kept.clear()
+    """Deletes kept evidence; the next query makes its own."""
+    for key in list(_kept):
+        try:
+            _drop(key)
+        except Exception:  # the session may be gone; the folder is scratch
+            _kept.pop(key, None)
 
 
 def shared(build):
-    """Evidence that many queries of a session start from is computed once and kept in memory and on disk.
+    """Evidence that many queries of a session start from is a table, written once to the shared folder and read again.
 
-    One version is kept: other files, or another state of the same, take the place of the last.
+    So a query's plan begins at files, whatever stands behind them, and a lost executor costs a
+    read. One version is kept: other files, or another state of the same, take the last one's
+    place.
     """
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (build.__module__, build.__name__)
         state = f"{spark.sparkContext.applicationId} {_state(spark, f'{sf_dir}/documents.parquet')}"
-        held = _kept.get(key)
-        if held is None or held[0] != state:
-            if held is not None and held[0].split(" ")[0] == spark.sparkContext.applicationId:
-                held[1].unpersist()
-            _kept[key] = (state, build(spark, sf_dir).persist())
-        return _kept[key][1]
+        if key in _kept and _kept[key][0] != state:
+            _drop(key)
+        if key not in _kept:
+            frame = build(spark, sf_dir)
+            path = f"{shared_folder(spark)}/quirework-evidence-{uuid.uuid4().hex[:12]}"
+            frame.write.parquet(path)
+            _kept[key] = (state, path, spark.read.schema(frame.schema).parquet(path))
+        return _kept[key][2]
 
     get.__doc__ = build.__doc__
     return get
