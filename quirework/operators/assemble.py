@@ -16,34 +16,34 @@ def textual_kind(layout_kind: Column) -> Column:
     return F.when(layout_kind == "Heading", "Heading").when(layout_kind == "Caption", "Caption").when(layout_kind.isin("Text", "Table"), "Text")
 
 
-def _element(df: DataFrame, **columns: Column) -> DataFrame:
+def _element(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
     null = {"text": F.lit(None).cast("string"), "obs_seq": F.lit(None).cast("int"), "block_seq": F.lit(None).cast("int"), "decision": F.lit(None).cast("string"), "origin": F.lit("None")}
     made = null | columns
-    return df.select("doc_id", "page_no", *(made[c].alias(c) for c in ELEMENT[2:]))
+    return df.select("doc_id", "page_no", *(made[c].alias(c) for c in ELEMENT[2:]), *(keep or []))
 
 
-def native_elements(blocks: DataFrame) -> DataFrame:
-    """H1 and H5: a block's own reading order, or its sequence."""
+def native_elements(blocks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """H1 and H5: a block's own reading order, or its sequence. keep: columns to carry along, here as below."""
     order = F.coalesce(F.col("reading_order"), F.col("block_seq")) if "reading_order" in blocks.columns else F.col("block_seq")
-    return _element(blocks, order=order, kind=F.lit("Text"), text=F.col("text"), origin=F.lit("Native"), block_seq=F.col("block_seq"))
+    return _element(blocks, keep, order=order, kind=F.lit("Text"), text=F.col("text"), origin=F.lit("Native"), block_seq=F.col("block_seq"))
 
 
-def reconciled_elements(reconciled: DataFrame) -> DataFrame:
+def reconciled_elements(reconciled: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """H1: a resolved box is text of its kind, an unresolved one has none."""
     done = F.col("selected_text").isNotNull()
     kind = F.when(done, textual_kind(F.col("kind"))).otherwise("UnresolvedText")
     order = F.coalesce("reading_order", F.lit(2147483647))
-    return _element(reconciled, order=order, kind=kind, text=F.col("selected_text"), origin=F.col("origin"), obs_seq=F.col("obs_seq"), decision=F.col("decision"))
+    return _element(reconciled, keep, order=order, kind=kind, text=F.col("selected_text"), origin=F.col("origin"), obs_seq=F.col("obs_seq"), decision=F.col("decision"))
 
 
-def visual_elements(figures: DataFrame) -> DataFrame:
+def visual_elements(figures: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """H1 and H9: (reading_order, obs_seq, element_kind) of preserved and deferred figures."""
-    return _element(figures, order=F.col("reading_order"), kind=F.col("element_kind"), obs_seq=F.col("obs_seq"))
+    return _element(figures, keep, order=F.col("reading_order"), kind=F.col("element_kind"), obs_seq=F.col("obs_seq"))
 
 
-def deferred_elements(layout: DataFrame) -> DataFrame:
+def deferred_elements(layout: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """H6: boxes of kinds that nothing processes."""
-    return _element(layout, order=F.coalesce("reading_order", F.lit(2147483647)), kind=F.lit("Deferred"), obs_seq=F.col("obs_seq"))
+    return _element(layout, keep, order=F.coalesce("reading_order", F.lit(2147483647)), kind=F.lit("Deferred"), obs_seq=F.col("obs_seq"))
 
 
 def assembly_violations(elements: DataFrame, word_ranges: DataFrame | None = None) -> DataFrame:

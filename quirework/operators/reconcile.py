@@ -92,35 +92,40 @@ def native_extents(blocks: DataFrame, layout: DataFrame) -> DataFrame:
     out = near.select("n.doc_id", "n.page_no", "o.obs_seq", "o.kind", "n.block_seq", "n.words", met.alias("met")).filter(F.size("met") > 0)
     out = out.withColumns({"first_word": F.array_min("met"), "last_word": F.array_max("met"), "intersecting": F.size("met").cast("long")})
     extent = F.slice("words", F.col("first_word") + 1, F.col("last_word") - F.col("first_word") + 1)
-    return out.withColumn("words", extent).drop("met")
+    out = out.withColumn("extent", extent)
+    part = lambda c: F.transform("extent", lambda w: w[c])
+    bounds = [F.array_min(part("wl")).alias("l"), F.array_min(part("t")).alias("t"), F.array_max(part("wr")).alias("r"), F.array_max(part("b")).alias("b")]
+    return out.select("doc_id", "page_no", "obs_seq", "kind", "block_seq", "first_word", "last_word", "intersecting", F.array_join(part("word"), " ").alias("text"), *bounds)
 
 
 def pairings(layout: DataFrame, extents: DataFrame) -> DataFrame:
-    """Of each box to be read, its native text, bounds and status.
+    """Of each box to be read, its native text, bounds and status, with the box's kind and reading order.
 
     A word that more than one box owns makes all of them ambiguous. The boxes of a block are
     compared with each other in one row a block: as many as meet it on its page.
     """
     box = ["doc_id", "page_no", "obs_seq"]
-    wanted = layout.filter(F.col("kind").isin(*READ_KINDS)).select(*box)
-    own = F.collect_list(F.struct("obs_seq", "first_word", "last_word", "words"))
+    told = [c for c in ("kind", "reading_order") if c in layout.columns]
+    wanted = layout.filter(F.col("kind").isin(*READ_KINDS)).select(*box, *told)
+    own = F.collect_list(F.struct("obs_seq", "first_word", "last_word", "text", "l", "t", "r", "b"))
     of_block = extents.filter(F.col("kind").isin(*READ_KINDS)).groupBy("doc_id", "page_no", "block_seq").agg(own.alias("boxes"))
 
     def shared(x: Column) -> Column:
         def owned(i: Column) -> Column:
             return F.exists("boxes", lambda y: (y["obs_seq"] != x["obs_seq"]) & i.between(y["first_word"], y["last_word"]))
 
-        return F.size(F.filter(F.sequence(x["first_word"], x["last_word"]), owned))
+        alone = ~F.exists("boxes", lambda y: (y["obs_seq"] != x["obs_seq"]) & (y["first_word"] <= x["last_word"]) & (x["first_word"] <= y["last_word"]))
+        return F.when(alone, F.lit(0)).otherwise(F.size(F.filter(F.sequence(x["first_word"], x["last_word"]), owned)))
 
-    counted = F.transform("boxes", lambda x: F.struct(x["obs_seq"].alias("obs_seq"), x["words"].alias("words"), shared(x).alias("shared")))
-    each = of_block.select("doc_id", "page_no", "block_seq", F.explode(counted).alias("x")).select("doc_id", "page_no", "x.obs_seq", "block_seq", "x.words", "x.shared")
-    held = F.array_sort(F.collect_list(F.struct("block_seq", "words")))
-    native = each.groupBy(*box).agg(F.flatten(F.transform(held, lambda h: h["words"])).alias("words"), F.sum("shared").alias("ambiguous_words"))
-    status = F.when(F.col("words").isNull(), "NoNativeEvidence").when(F.col("ambiguous_words") > 0, "AmbiguousWordOwnership").otherwise("Comparable")
-    part = lambda c: F.transform("words", lambda w: w[c])
-    bounds = [F.array_min(part("wl")).alias("l"), F.array_min(part("t")).alias("t"), F.array_max(part("wr")).alias("r"), F.array_max(part("b")).alias("b")]
+    counted = F.transform("boxes", lambda x: F.struct(*(x[c].alias(c) for c in ("obs_seq", "text", "l", "t", "r", "b")), shared(x).alias("shared")))
+    each = of_block.select("doc_id", "page_no", "block_seq", F.explode(counted).alias("x")).select("doc_id", "page_no", "block_seq", "x.*")
+    held = F.array_sort(F.collect_list(F.struct("block_seq", "text")))
+    native = each.groupBy(*box).agg(
+        F.array_join(F.transform(held, lambda h: h["text"]), " ").alias("native_text"), F.sum("shared").alias("ambiguous_words"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b")
+    )
+    status = F.when(F.col("native_text").isNull(), "NoNativeEvidence").when(F.col("ambiguous_words") > 0, "AmbiguousWordOwnership").otherwise("Comparable")
     out = wanted.join(native, box, "left")
-    return out.select(*box, status.alias("status"), F.array_join(part("word"), " ").alias("native_text"), F.coalesce("ambiguous_words", F.lit(0)).alias("ambiguous_words"), *bounds)
+    return out.select(*box, *told, status.alias("status"), "native_text", F.coalesce("ambiguous_words", F.lit(0)).alias("ambiguous_words"), "l", "t", "r", "b")
 
 
 def page_outcomes(pairs: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirework.operators import assess, reconcile, visual
@@ -114,7 +115,8 @@ def reading_plan(spark, sf_dir):
 @register("native_extents", "WITH " + ev.BLOCKS + PAIRS + " SELECT doc_id, page_no, obs_seq, block_seq, first_word, last_word, intersecting FROM hits")
 def native_extents(spark, sf_dir):
     """D1."""
-    out = reconcile.native_extents(plaintext.with_words(ev.blocks(spark, sf_dir)), layout(spark, sf_dir)).drop("kind", "words")
+    out = reconcile.native_extents(plaintext.with_words(ev.blocks(spark, sf_dir)), layout(spark, sf_dir))
+    out = out.select("doc_id", "page_no", "obs_seq", "block_seq", "first_word", "last_word", "intersecting")
     return _long(out, "page_no", "obs_seq", "block_seq", "first_word", "last_word")
 
 
@@ -131,7 +133,7 @@ def pairings_of(spark, sf_dir):
 @register("native_pairings", "WITH " + ev.BLOCKS + PAIRS + " SELECT doc_id, page_no, obs_seq, status, native_text, ambiguous_words, l, t, r, b FROM pairs")
 def native_pairings(spark, sf_dir):
     """D2 and D3."""
-    return _long(pairings_of(spark, sf_dir)[1], "page_no", "obs_seq")
+    return _long(pairings_of(spark, sf_dir)[1], "page_no", "obs_seq").drop("kind", "reading_order")
 
 
 @register("ocr_dehyphenation", "WITH " + ev.BLOCKS + OCR + " SELECT * FROM joined")
@@ -190,15 +192,16 @@ rec AS (SELECT *, CASE WHEN decision = 'OcrOnly' THEN 'Ocr' WHEN decision IN ('N
 def reconciled(spark, sf_dir):
     """Every readable box of pages that don't fail, with its page's status, native and recognised text."""
     blocks = ev.blocks(spark, sf_dir)
-    boxes, pairs = pairings_of(spark, sf_dir)
+    pairs = pairings_of(spark, sf_dir)[1]
     statuses = assess.assess_pages(ev.pages(spark, sf_dir)).select("doc_id", "page_no", F.col("status").alias("page_status"))
     read = reconcile.ocr_fragments(plaintext.recognised(blocks)).withColumn("ocr_text", reconcile.dehyphenate_fragments(F.col("fragments"), native=False)["text"])
-    done = reconcile.page_outcomes(pairs, statuses).filter("outcome = 'Completed'").select("doc_id", "page_no")
-    pairs = pairs.join(done, ["doc_id", "page_no"], "left_semi").join(statuses, ["doc_id", "page_no"]).join(read.select("doc_id", "page_no", "obs_seq", "ocr_text"), ["doc_id", "page_no", "obs_seq"], "left")
+    # a page fails if one of its boxes is ambiguous (reconcile.page_outcomes), unless it has no native text to pair
+    crossed = F.max(F.col("status") == "AmbiguousWordOwnership").over(Window.partitionBy("doc_id", "page_no"))
+    pairs = pairs.withColumn("crossed", crossed).join(statuses, ["doc_id", "page_no"]).filter("page_status = 'Missing' or not crossed").drop("crossed")
+    pairs = pairs.join(read.select("doc_id", "page_no", "obs_seq", "ocr_text"), ["doc_id", "page_no", "obs_seq"], "left")
     native = (F.col("status") == "Comparable") & (F.col("page_status") != "Missing")
     pairs = pairs.withColumns({"native_text": F.when(native, F.col("native_text")), "status": F.when(native, F.col("page_status")).otherwise("Missing")})
-    out = reconcile.reconcile(pairs)
-    return out.join(boxes.select("doc_id", "page_no", "obs_seq", "kind", "reading_order"), ["doc_id", "page_no", "obs_seq"])
+    return reconcile.reconcile(pairs)
 
 
 @register(

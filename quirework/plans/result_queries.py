@@ -32,15 +32,17 @@ def _raw_elements(spark, sf_dir):
     key = ["doc_id", "page_no"]
     blocks, layout = ev.blocks(spark, sf_dir), pq.layout(spark, sf_dir)
     healthy = assess.assess_pages(ev.pages(spark, sf_dir)).filter("status = 'Healthy'").select(*key)
-    native = assemble.native_elements(blocks.join(healthy, key, "left_semi"))
-    native = native.join(blocks.select(*key, "block_seq", "t", "b", "median_pt", F.col("word_count").cast("int").alias("word_count")), [*key, "block_seq"])
-    read = assemble.reconciled_elements(pq.reconciled(spark, sf_dir))
+    facts = ["t", "b", "median_pt", "word_count"]
+    native = assemble.native_elements(blocks.join(healthy, key, "left_semi"), facts)
+    place = layout.select(*key, "obs_seq", "t", "b")
+    read = assemble.reconciled_elements(pq.reconciled(spark, sf_dir).drop("t", "b").join(place, [*key, "obs_seq"]), ["t", "b"])
     figures = visual.layout_figures(layout).withColumn("disposition", assess.mapped(F.col("kind"), assess.DISPOSITION))
     figures = visual.execute_visuals(figures).withColumn("reading_order", F.col("obs_seq"))
-    boxes = read.unionByName(assemble.visual_elements(figures)).unionByName(assemble.deferred_elements(layout.filter("kind = 'Unknown'"))).join(healthy, key, "left_anti")
+    shown = assemble.visual_elements(figures.join(place, [*key, "obs_seq"]), ["t", "b"])
+    boxes = read.unionByName(shown).unionByName(assemble.deferred_elements(layout.filter("kind = 'Unknown'"), ["t", "b"])).join(healthy, key, "left_anti")
     failed = pq.page_outcomes(spark, sf_dir).filter("outcome = 'Failed'").select(*key)
     boxes = boxes.join(failed, key, "left_anti")
-    boxes = boxes.join(layout.select(*key, "obs_seq", "t", "b"), [*key, "obs_seq"]).withColumns({"median_pt": F.lit(None).cast("double"), "word_count": F.lit(None).cast("int")})
+    boxes = boxes.withColumns({"median_pt": F.lit(None).cast("double"), "word_count": F.lit(None).cast("int")})
     return native.unionByName(boxes)
 
 
