@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import BROADCAST_BYTES, Scratch, map_arrow, maybe_broadcast
+from quirework.llm.common import BROADCAST_BYTES, Scratch, map_arrow, maybe_broadcast, shuffle_partitions
 from quirework.llm.hashing import U64, PrefixHash, chunks, mix, stream
 
 LENGTH = 400
@@ -327,7 +327,8 @@ def repeated_starts(source: DataFrame, scratch: Scratch, length: int = LENGTH) -
     stretches = map_arrow(texts, lambda b: _stretch_rows(b, length), "rank long, doc_id long, text_key long, anchor int, lo int, hi int, bytes binary, done boolean")
     stretches = scratch.save(stretches.join(open_ranks.select("rank", "stretches"), "rank"), "bytes")
 
-    few = stretches.filter(F.col("stretches") <= PAIRWISE).groupBy("rank")
+    # comparing takes time by pairs, not by bytes: as many tasks as the session deals out, not as few as the bytes ask for
+    few = stretches.filter(F.col("stretches") <= PAIRWISE).repartition(shuffle_partitions(source.sparkSession), "rank").groupBy("rank")
     few = few.agg(F.collect_set(F.struct("doc_id", "text_key", "anchor", "lo", "hi", "bytes", "done")).alias("members"))
     starts = scratch.save(map_arrow(few.select("members"), lambda b: _pairwise(b, length), "doc_id long, text_key long, lo int, hi int"), "pairwise")
     crowded = _crowded(stretches.filter(F.col("stretches") > PAIRWISE), scratch, length)
