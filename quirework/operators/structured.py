@@ -14,23 +14,35 @@ def visual_candidates(usages: DataFrame) -> DataFrame:
     """A row for each resource of a document, first seen first, with its uses folded.
 
     usages: doc_id, use_idx, resource, in_figure, presentation, empty_alt, is_cover, is_nav,
-    is_preliminary, byte_length.
+    is_preliminary, byte_length, and where known is_auxiliary, has_boundary, is_terminal (else
+    false). preferred_use is the first that is neither cover, navigation, presentation nor
+    auxiliary, or else the first.
     """
+    known = lambda c: F.col(c) if c in usages.columns else F.lit(False)
+    plain = ~(F.col("is_cover") | F.col("is_nav") | F.col("presentation") | known("is_auxiliary"))
     out = usages.groupBy("doc_id", "resource").agg(
-        F.count("*").alias("uses"), F.min("use_idx").alias("first_use"), F.bool_or("in_figure").alias("is_figure"), F.bool_and("presentation").alias("is_presentation"), F.bool_or("is_cover").alias("is_cover"),
-        F.bool_and("is_nav").alias("is_nav"), F.bool_and("is_preliminary").alias("is_preliminary"), F.bool_and(F.col("empty_alt") & ~F.col("in_figure")).alias("mute"), F.max("byte_length").alias("byte_length"),
+        F.count("*").alias("uses"), F.min("use_idx").alias("first_use"), F.min(F.when(plain, F.col("use_idx"))).alias("plain_use"), F.bool_or("in_figure").alias("is_figure"),
+        F.bool_and("presentation").alias("is_presentation"), F.bool_or("is_cover").alias("is_cover"), F.bool_and("is_nav").alias("is_nav"), F.bool_and("is_preliminary").alias("is_preliminary"),
+        F.bool_and(known("is_auxiliary")).alias("is_auxiliary"), F.bool_and(known("has_boundary")).alias("has_boundary"), F.bool_and(known("is_terminal")).alias("is_terminal"),
+        F.bool_and(F.col("empty_alt") & ~F.col("in_figure")).alias("mute"), F.max("byte_length").alias("byte_length"),
     )
-    repeated = (F.col("uses") > 1) & F.col("mute") & (F.col("byte_length") <= REPEATED_BYTES)
+    repeated = (F.col("uses") > 1) & F.col("mute") & F.coalesce(F.col("byte_length") <= REPEATED_BYTES, F.lit(False))
     order = Window.partitionBy("doc_id").orderBy("first_use", "resource")
-    return out.withColumns({"is_repeated": repeated, "candidate": (F.row_number().over(order) - 1).cast("long")}).drop("mute")
+    out = out.withColumns({"is_repeated": repeated, "candidate": (F.row_number().over(order) - 1).cast("long"), "preferred_use": F.coalesce("plain_use", "first_use")})
+    return out.withColumn("candidate_id", F.format_string("structured-visual-%06d", F.col("candidate") + 1)).drop("mute", "plain_use")
 
 
 def terminal_units(units: DataFrame) -> DataFrame:
-    """The last unit of a document, if it is images for show: no text, or several images with as many links."""
+    """The last unit of a document, if it is images for show: no text, or several unlisted images with as many links.
+
+    units: doc_id, unit_no, images, links, blocks, listed, and where known boundary (the book
+    marks where its body is: then nothing is for show).
+    """
     last = Window.partitionBy("doc_id").orderBy(F.desc("unit_no"))
     out = units.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
-    show = (F.col("images") > 0) & ~F.col("listed") & ((F.col("blocks") == 0) | ((F.col("images") >= 2) & (F.col("links") >= F.col("images"))))
-    return out.withColumn("terminal", show)
+    boundary = F.col("boundary") if "boundary" in units.columns else F.lit(False)
+    linked = (F.col("images") >= 2) & ~F.col("listed") & (F.col("links") >= F.col("images"))
+    return out.withColumn("terminal", ~boundary & (F.col("images") > 0) & ((F.col("blocks") == 0) | linked))
 
 
 def project_units(blocks: DataFrame, units: DataFrame) -> DataFrame:

@@ -162,30 +162,35 @@ def web_blocks(spark, sf_dir):
 @register(
     "visual_candidates",
     "WITH " + ev.BLOCKS + """, u AS (SELECT doc_id, line_no AS use_idx, 'img-' || (line_no % 4)::VARCHAR AS resource, line_no % 8 = 3 AS in_figure, line_no % 4 = 2 AS presentation, line_no % 4 <> 1 AS empty_alt, line_no = 0 AS is_cover, line_no % 4 = 3 AND doc_id % 2 = 0 AS is_nav,
-    line_no < 3 AS is_preliminary, (line_no % 4) * 500 AS byte_length FROM blocks), g AS (SELECT doc_id, resource, count(*) AS uses, min(use_idx) AS first_use, bool_or(in_figure) AS is_figure, bool_and(presentation) AS is_presentation, bool_or(is_cover) AS is_cover,
-    bool_and(is_nav) AS is_nav, bool_and(is_preliminary) AS is_preliminary, bool_and(empty_alt AND NOT in_figure) AS mute, max(byte_length) AS byte_length FROM u GROUP BY ALL)
-    SELECT doc_id, resource, uses, is_figure, is_presentation, is_cover, is_nav, is_preliminary, uses > 1 AND mute AND byte_length <= 1024 AS is_repeated, row_number() OVER (PARTITION BY doc_id ORDER BY first_use, resource) - 1 AS candidate FROM g""",
+    line_no < 3 AS is_preliminary, doc_id % 5 = 1 OR line_no % 8 = 1 AS is_auxiliary, doc_id % 3 = 1 AS has_boundary, doc_id % 7 = 2 AND line_no > 0 AS is_terminal, (line_no % 4) * 500 AS byte_length FROM blocks),
+    g AS (SELECT doc_id, resource, count(*) AS uses, min(use_idx) AS first_use, min(use_idx) FILTER (WHERE NOT (is_cover OR is_nav OR presentation OR is_auxiliary)) AS plain_use, bool_or(in_figure) AS is_figure, bool_and(presentation) AS is_presentation, bool_or(is_cover) AS is_cover,
+    bool_and(is_nav) AS is_nav, bool_and(is_preliminary) AS is_preliminary, bool_and(is_auxiliary) AS is_auxiliary, bool_and(has_boundary) AS has_boundary, bool_and(is_terminal) AS is_terminal, bool_and(empty_alt AND NOT in_figure) AS mute, max(byte_length) AS byte_length FROM u GROUP BY ALL)
+    SELECT doc_id, resource, uses, is_figure, is_presentation, is_cover, is_nav, is_preliminary, is_auxiliary, has_boundary, is_terminal, uses > 1 AND mute AND byte_length <= 1024 AS is_repeated, coalesce(plain_use, first_use) AS preferred_use,
+      printf('structured-visual-%06d', row_number() OVER (PARTITION BY doc_id ORDER BY first_use, resource)) AS candidate_id FROM g""",
 )
 def visual_candidates(spark, sf_dir):
     """Uses of four images by line."""
-    n = F.col("line_no")
+    n, d = F.col("line_no"), F.col("doc_id")
     uses = ev.blocks(spark, sf_dir).select(
         "doc_id", n.alias("use_idx"), F.concat(F.lit("img-"), (n % 4).cast("string")).alias("resource"), (n % 8 == 3).alias("in_figure"), (n % 4 == 2).alias("presentation"), (n % 4 != 1).alias("empty_alt"), (n == 0).alias("is_cover"),
-        ((n % 4 == 3) & (F.col("doc_id") % 2 == 0)).alias("is_nav"), (n < 3).alias("is_preliminary"), (n % 4 * 500).alias("byte_length"),
+        ((n % 4 == 3) & (d % 2 == 0)).alias("is_nav"), (n < 3).alias("is_preliminary"), ((d % 5 == 1) | (n % 8 == 1)).alias("is_auxiliary"), (d % 3 == 1).alias("has_boundary"), ((d % 7 == 2) & (n > 0)).alias("is_terminal"), (n % 4 * 500).alias("byte_length"),
     )
-    return structured.visual_candidates(uses).select("doc_id", "resource", "uses", "is_figure", "is_presentation", "is_cover", "is_nav", "is_preliminary", "is_repeated", "candidate")
+    facts = ["is_figure", "is_presentation", "is_cover", "is_nav", "is_preliminary", "is_auxiliary", "has_boundary", "is_terminal", "is_repeated", "preferred_use", "candidate_id"]
+    return _long(structured.visual_candidates(uses), "preferred_use").select("doc_id", "resource", "uses", *facts)
 
 
 @register(
     "terminal_units",
-    "WITH " + ev.BLOCKS + """, u AS (SELECT doc_id, page_no AS unit_no, doc_id % 3 AS images, doc_id % 4 AS links, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE count(*) END AS blocks, doc_id % 7 = 0 AS listed FROM blocks GROUP BY doc_id, page_no)
-    SELECT doc_id, unit_no, images > 0 AND NOT listed AND (blocks = 0 OR (images >= 2 AND links >= images)) AS terminal FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY unit_no DESC) = 1""",
+    "WITH " + ev.BLOCKS + """, u AS (SELECT doc_id, page_no AS unit_no, doc_id % 3 AS images, doc_id % 4 AS links, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE count(*) END AS blocks, doc_id % 7 < 3 AS listed, doc_id % 11 = 6 AS boundary FROM blocks GROUP BY doc_id, page_no)
+    SELECT doc_id, unit_no, NOT boundary AND images > 0 AND (blocks = 0 OR (images >= 2 AND NOT listed AND links >= images)) AS terminal FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY unit_no DESC) = 1""",
 )
 def terminal_units(spark, sf_dir):
     """J6."""
     d = F.col("doc_id")
     units = ev.blocks(spark, sf_dir).groupBy("doc_id", F.col("page_no").alias("unit_no")).agg(F.count("*").alias("n"))
-    units = units.select("doc_id", "unit_no", (d % 3).alias("images"), (d % 4).alias("links"), F.when(d % 5 == 0, 0).otherwise(F.col("n")).alias("blocks"), (d % 7 == 0).alias("listed"))
+    units = units.select(
+        "doc_id", "unit_no", (d % 3).alias("images"), (d % 4).alias("links"), F.when(d % 5 == 0, 0).otherwise(F.col("n")).alias("blocks"), (d % 7 < 3).alias("listed"), (d % 11 == 6).alias("boundary")
+    )
     return _long(structured.terminal_units(units), "unit_no").select("doc_id", "unit_no", "terminal")
 
 

@@ -393,6 +393,18 @@ def test_components_of_shapes():
     assert sorted(p[0] for p in measures._components(mask)) == [2, 3, 4]
 
 
+def test_preferred_uses_and_terminal_units(spark):
+    schema = "doc_id long, use_idx int, resource string, in_figure boolean, presentation boolean, empty_alt boolean, is_cover boolean, is_nav boolean, is_preliminary boolean, is_auxiliary boolean, has_boundary boolean, is_terminal boolean, byte_length int"
+    no, yes = False, True
+    rows = [(1, 0, "x", no, no, yes, yes, no, no, no, yes, yes, 10), (1, 1, "x", no, no, yes, no, no, no, yes, yes, yes, 10), (1, 2, "x", no, no, yes, no, no, no, no, yes, no, 10), (1, 3, "y", no, yes, yes, no, no, no, yes, yes, yes, None)]
+    got = {r.resource: r for r in structured.visual_candidates(spark.createDataFrame(rows, schema)).collect()}
+    assert (got["x"].preferred_use, got["x"].candidate_id, got["x"].is_auxiliary, got["x"].is_terminal, got["x"].is_repeated) == (2, "structured-visual-000001", no, no, yes)
+    assert (got["y"].preferred_use, got["y"].candidate_id, got["y"].is_auxiliary, got["y"].has_boundary, got["y"].is_repeated) == (3, "structured-visual-000002", yes, yes, no)
+    units = [(1, 1, 1, 0, 0, yes, no), (2, 1, 2, 2, 3, no, no), (3, 1, 2, 2, 3, yes, no), (4, 1, 2, 2, 0, no, yes), (5, 1, 1, 5, 3, no, no), (6, 1, 0, 0, 0, no, no)]
+    frame = spark.createDataFrame(units, "doc_id long, unit_no int, images int, links int, blocks int, listed boolean, boundary boolean")
+    assert {r.doc_id: r.terminal for r in structured.terminal_units(frame).collect()} == {1: yes, 2: yes, 3: no, 4: no, 5: no, 6: no}
+
+
 def test_visual_candidates_and_units(spark):
     schema = "doc_id long, use_idx int, resource string, in_figure boolean, presentation boolean, empty_alt boolean, is_cover boolean, is_nav boolean, is_preliminary boolean, byte_length int"
     rows = [(1, 0, "b", False, True, True, False, False, False, 900), (1, 1, "a", False, False, False, True, False, True, 10), (1, 2, "b", False, True, True, False, False, True, 900), (1, 3, "c", True, False, True, False, False, False, 900), (1, 4, "c", False, False, True, False, False, False, 900)]
