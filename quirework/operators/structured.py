@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.operators.assess import DISPOSITION, mapped
 from quirework.operators.text import collapse
 
 REPEATED_BYTES = 1024
@@ -58,6 +59,25 @@ def project_units(blocks: DataFrame, units: DataFrame) -> DataFrame:
     return out.select("doc_id", "unit_no", "block_idx", F.format_string("element-%06d", "element_no").alias("element_id"), F.format_string("segment-%06d", "segment_no").alias("segment_id"), "kind", "text", F.sha2("text", 256).alias("text_sha256"))
 
 
+def append_visuals(elements: DataFrame, visuals: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, element_id, kind, segment_id, qualification): preserved images behind a document's text.
+
+    visuals: doc_id, candidate, kind (of G9). Those that are preserved or still to be looked at
+    become elements in the order of their candidates, outside all segments; the others aren't
+    part of the result.
+    """
+    kept = visuals.withColumn("disposition", mapped(F.col("kind"), DISPOSITION)).filter(F.col("disposition").isin("PreserveMeaningfulVisual", "RequiresVisualAnalysis"))
+    order = Window.partitionBy("doc_id").orderBy("candidate")
+    texts = elements.groupBy("doc_id").agg(F.count("*").alias("texts"))
+    behind = kept.withColumn("nth", F.row_number().over(order)).join(texts, "doc_id", "left")
+    number = F.coalesce("texts", F.lit(0)) + F.col("nth")
+    meaningful = F.when(F.col("kind") == "StructuredContentMeaningfulVisual", "Meaningful").otherwise("Unqualified")
+    shown = behind.select("doc_id", (number - 1).cast("long").alias("ordinal"), F.format_string("element-%06d", number).alias("element_id"), F.lit("Visual").alias("kind"), F.lit(None).cast("string").alias("segment_id"), meaningful.alias("qualification"))
+    number = F.substring("element_id", 9, 20).cast("long") - 1
+    told = elements.select("doc_id", number.alias("ordinal"), "element_id", "kind", "segment_id", F.lit(None).cast("string").alias("qualification"))
+    return told.unionByName(shown)
+
+
 def unit_segments(elements: DataFrame) -> DataFrame:
     """A segment a unit; its first heading names it."""
     held = F.array_sort(F.collect_list(F.struct("block_idx", "text")))

@@ -153,6 +153,27 @@ def book_segments(spark, sf_dir):
     return structured.unit_segments(structured.project_units(blocks, units))
 
 
+_KINDS3 = ("StructuredContentMeaningfulVisual", "Unknown", "PublicationPresentationVisual")
+
+
+@register(
+    "book_results",
+    "WITH " + _LINES4 + """, e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no, block_idx) AS n, printf('segment-%06d', dense_rank() OVER (PARTITION BY doc_id ORDER BY unit_no)) AS segment_id, kind FROM book),
+    v AS (SELECT doc_id, i, ['StructuredContentMeaningfulVisual', 'Unknown', 'PublicationPresentationVisual'][(doc_id + i) % 3 + 1] AS k FROM documents, range(0, 4) AS x(i)),
+    p AS (SELECT v.doc_id, k, (SELECT count(*) FROM e WHERE e.doc_id = v.doc_id) + row_number() OVER (PARTITION BY v.doc_id ORDER BY i) AS n FROM v WHERE k <> 'PublicationPresentationVisual')
+    SELECT doc_id, n - 1 AS ordinal, printf('element-%06d', n) AS element_id, kind, segment_id, NULL::VARCHAR AS qualification FROM e
+    UNION ALL SELECT doc_id, n - 1, printf('element-%06d', n), 'Visual', NULL, CASE WHEN k = 'Unknown' THEN 'Unqualified' ELSE 'Meaningful' END FROM p""",
+)
+def book_results(spark, sf_dir):
+    """All units' text, and four images of each document behind it."""
+    books = _books(spark, sf_dir)
+    blocks = books.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+    units = books.select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.unit_no", "u.presentation_only")
+    images = ev.documents(spark, sf_dir).select("doc_id", F.explode(F.expr("sequence(0, 3)")).alias("candidate"))
+    images = images.withColumn("kind", F.element_at(F.array(*map(F.lit, _KINDS3)), ((F.col("doc_id") + F.col("candidate")) % 3 + 1).cast("int")))
+    return structured.append_visuals(structured.project_units(blocks, units), images)
+
+
 @register("web_blocks")
 def web_blocks(spark, sf_dir):
     """J1 and J3 on web pages, which aren't well formed; tests hold the parser against fixtures."""

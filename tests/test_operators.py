@@ -393,6 +393,17 @@ def test_components_of_shapes():
     assert sorted(p[0] for p in measures._components(mask)) == [2, 3, 4]
 
 
+def test_visuals_behind_the_text(spark):
+    texts = spark.createDataFrame([(1, "element-000001", "Heading", "segment-000001"), (1, "element-000002", "Text", "segment-000001")], "doc_id long, element_id string, kind string, segment_id string")
+    kinds = ["PublicationPresentationVisual", "Unknown", "StructuredContentMeaningfulVisual"]
+    images = spark.createDataFrame([(1, 5, kinds[2]), (1, 2, kinds[1]), (1, 0, kinds[0]), (2, 0, kinds[1])], "doc_id long, candidate long, kind string")
+    got = structured.append_visuals(texts, images).orderBy("doc_id", "ordinal").collect()
+    assert [(r.doc_id, r.ordinal, r.element_id, r.kind, r.qualification) for r in got] == [
+        (1, 0, "element-000001", "Heading", None), (1, 1, "element-000002", "Text", None), (1, 2, "element-000003", "Visual", "Unqualified"), (1, 3, "element-000004", "Visual", "Meaningful"),
+        (2, 0, "element-000001", "Visual", "Unqualified"),
+    ]
+
+
 def test_preferred_uses_and_terminal_units(spark):
     schema = "doc_id long, use_idx int, resource string, in_figure boolean, presentation boolean, empty_alt boolean, is_cover boolean, is_nav boolean, is_preliminary boolean, is_auxiliary boolean, has_boundary boolean, is_terminal boolean, byte_length int"
     no, yes = False, True
