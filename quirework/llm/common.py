@@ -27,7 +27,9 @@ BROADCAST_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
 #: Bytes of an Arrow batch on its way to a Python worker; a single larger row still goes alone.
 BATCH_BYTES = 2 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that the Parquet reader decodes at once; 4096 long texts would be vectors of tens of megabytes.
+READ_ROWS = 512
+_MEMORY_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,7 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        bound_memory(spark)
         self.spark, self.root = spark, f"{shared_root(spark)}/quirework-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
         _live.setdefault(spark.sparkContext.applicationId, []).append(self)
@@ -112,18 +114,24 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     objects and the JVM's buffers would take the executor's memory several times over.
     """
     spark = df.sparkSession
-    ship(spark)
-    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    bound_memory(spark)
     return df.mapInArrow(_lean(run), schema)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bound_memory(spark: SparkSession) -> None:
+    """Sends the sources once, and bounds what the session's readers and batches hold."""
     ship(spark)
+    for key, value in _MEMORY_CONF.items():
+        spark.conf.set(key, value)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    bound_memory(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
