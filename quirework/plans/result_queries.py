@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirework.operators import assemble, assess, provenance, segment, visual
+from quirework.operators import assemble, assess, provenance, segment, text, visual
 from quirework.plans import evidence as ev
 from quirework.plans import page_queries as pq
 from quirework.sources import plaintext
@@ -34,16 +34,19 @@ def _raw_elements(spark, sf_dir):
     healthy = assess.assess_pages(ev.pages(spark, sf_dir)).filter("status = 'Healthy'").select(*key)
     facts = ["t", "b", "median_pt", "word_count"]
     native = assemble.native_elements(blocks.join(healthy, key, "left_semi"), facts)
+    # pages go before the parts are put together: a union is dealt out by nothing
+    failed = pq.page_outcomes(spark, sf_dir).filter("outcome = 'Failed'").select(*key)
+    layout = layout.join(healthy, key, "left_anti").join(failed, key, "left_anti")
     place = layout.select(*key, "obs_seq", "t", "b")
-    read = assemble.reconciled_elements(pq.reconciled(spark, sf_dir).drop("t", "b").join(place, [*key, "obs_seq"]), ["t", "b"])
+    beside = place.select(*key, "obs_seq", F.col("t").alias("box_t"), F.col("b").alias("box_b"))
+    read = pq.reconciled(spark, sf_dir, beside).withColumns({"t": F.col("box_t"), "b": F.col("box_b")})
+    read = assemble.reconciled_elements(read, ["t", "b"])
     figures = visual.layout_figures(layout).withColumn("disposition", assess.mapped(F.col("kind"), assess.DISPOSITION))
     figures = visual.execute_visuals(figures).withColumn("reading_order", F.col("obs_seq"))
     shown = assemble.visual_elements(figures.join(place, [*key, "obs_seq"]), ["t", "b"])
-    boxes = read.unionByName(shown).unionByName(assemble.deferred_elements(layout.filter("kind = 'Unknown'"), ["t", "b"])).join(healthy, key, "left_anti")
-    failed = pq.page_outcomes(spark, sf_dir).filter("outcome = 'Failed'").select(*key)
-    boxes = boxes.join(failed, key, "left_anti")
+    boxes = read.unionByName(shown).unionByName(assemble.deferred_elements(layout.filter("kind = 'Unknown'"), ["t", "b"]))
     boxes = boxes.withColumns({"median_pt": F.lit(None).cast("double"), "word_count": F.lit(None).cast("int")})
-    return native.unionByName(boxes)
+    return native.unionByName(boxes).withColumn("composed", text.recomposed("text"))
 
 
 @ev.shared
@@ -51,7 +54,6 @@ def _normalized_elements(spark, sf_dir):
     return assemble.normalize_elements(_raw_elements(spark, sf_dir))
 
 
-@ev.shared
 def elements(spark, sf_dir):
     """Elements of every page: native blocks where the page is healthy, boxes with reconciled text and visuals elsewhere."""
     out = _normalized_elements(spark, sf_dir)
@@ -319,7 +321,7 @@ def membership_violations(spark, sf_dir):
 def evidence_violations(spark, sf_dir):
     """M5."""
     n = F.col("line_no")
-    rows = ev.blocks(spark, sf_dir).select(
+    rows = ev.blocks_as_they_lie(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("e"), n.cast("string")).alias("element_id"), (n % 2 == 0).alias("has_layout"), (n % 3 != 0).alias("has_raster"), F.when(n % 4 == 1, "Ocr").otherwise("Native").alias("origin"), (n % 5 != 0).alias("ocr_in_manifest"),
         F.when(n % 3 == 2, "Agreement").alias("decision"), (n % 7 != 0).alias("has_reconciler"), (n % 5 == 1).alias("changed"), F.lit("a").alias("source_sha256"), F.when(n % 4 == 0, "b").otherwise("a").alias("norm_sha256"),
     )

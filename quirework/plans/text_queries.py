@@ -40,7 +40,7 @@ def normalize_text(spark, sf_dir):
 @register("canonical_text", "WITH " + ev.NORM_BLOCKS + " SELECT doc_id, line_no, key FROM norm1")
 def canonical_text(spark, sf_dir):
     """B2."""
-    blocks = ev.blocks(spark, sf_dir)
+    blocks = ev.blocks_as_they_lie(spark, sf_dir)
     return blocks.select("doc_id", F.col("line_no").cast("long"), text.canonical(text.normalize(F.col("text"))).alias("key"))
 
 
@@ -54,7 +54,7 @@ def collapse_whitespace(spark, sf_dir):
 @register("recurring_margins", "WITH " + ev.NORM_BLOCKS + " SELECT doc_id, zone, key, pages FROM margins")
 def recurring_margins(spark, sf_dir):
     """B3 and B4."""
-    blocks = ev.blocks(spark, sf_dir).withColumn("norm_text", text.normalize(F.col("text")))
+    blocks = ev.blocks(spark, sf_dir).withColumn("norm_text", text.normalize(F.coalesce("composed", "text"), compose=False))
     return text.recurring_margins(blocks)
 
 
@@ -294,13 +294,13 @@ def typography_bands(spark, sf_dir):
 @register("size_distribution", "WITH " + ev.BLOCKS + " SELECT round(median_pt, 3) AS size, count(*) AS blocks, sum(word_count)::BIGINT AS words FROM blocks GROUP BY 1")
 def size_distribution(spark, sf_dir):
     """O13."""
-    return metrics.size_distribution(ev.blocks(spark, sf_dir))
+    return metrics.size_distribution(ev.blocks_as_they_lie(spark, sf_dir))
 
 
 @register("top_fonts", "WITH " + ev.BLOCKS + " SELECT font, sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g')))::BIGINT AS letters FROM blocks GROUP BY font ORDER BY letters DESC, font LIMIT 3")
 def top_fonts(spark, sf_dir):
     """A top-k report."""
-    return metrics.top_fonts(ev.blocks(spark, sf_dir), 3)
+    return metrics.top_fonts(ev.blocks_as_they_lie(spark, sf_dir), 3)
 
 
 @register(
