@@ -46,16 +46,17 @@ def terminal_units(units: DataFrame) -> DataFrame:
     return out.withColumn("terminal", ~boundary & (F.col("images") > 0) & ((F.col("blocks") == 0) | linked))
 
 
-def project_units(blocks: DataFrame, units: DataFrame) -> DataFrame:
+def project_units(blocks: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Elements with ids from 1, hashes and the segment of their unit; units for show and blank blocks go.
 
-    blocks: doc_id, unit_no, block_idx, kind, text. units: doc_id, unit_no, presentation_only.
+    blocks: doc_id, unit_no, block_idx, kind, text. units: doc_id, unit_no, presentation_only;
+    without them each block has its unit's presentation_only. One sort numbers both.
     """
-    live = blocks.join(units.filter("not presentation_only").select("doc_id", "unit_no"), ["doc_id", "unit_no"], "left_semi")
+    live = blocks.filter("not presentation_only") if units is None else blocks.join(units.filter("not presentation_only").select("doc_id", "unit_no"), ["doc_id", "unit_no"], "left_semi")
     live = live.withColumn("text", collapse(F.col("text"))).filter("text <> ''")
     flow = Window.partitionBy("doc_id").orderBy("unit_no", "block_idx")
-    held = live.select("doc_id", "unit_no").distinct().withColumn("segment_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_no")))
-    out = live.withColumn("element_no", F.row_number().over(flow)).join(held, ["doc_id", "unit_no"])
+    out = live.withColumns({"element_no": F.row_number().over(flow), "__new": F.coalesce(F.lag("unit_no").over(flow) != F.col("unit_no"), F.lit(True)).cast("int")})
+    out = out.withColumn("segment_no", F.sum("__new").over(flow.rowsBetween(Window.unboundedPreceding, 0)))
     return out.select("doc_id", "unit_no", "block_idx", F.format_string("element-%06d", "element_no").alias("element_id"), F.format_string("segment-%06d", "segment_no").alias("segment_id"), "kind", "text", F.sha2("text", 256).alias("text_sha256"))
 
 

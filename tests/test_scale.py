@@ -6,15 +6,18 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import quirework.queries as engine
 from quirework.plans import evidence as ev
 from quirework.plans import page_queries as pq
 from quirework.plans import result_queries as rq
+from quirework.plans import source_queries as sq
+from quirework.sources import epub
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 BY_DOCUMENT = (
-    "segment_quality", "segment_provenance", "segment_assignment", "document_quality", "counterfactual_policies", "outline_levels", "gate_comparisons", "title_matches", "page_results",
+    "segment_quality", "segment_provenance", "segment_assignment", "document_quality", "counterfactual_policies", "outline_levels", "gate_comparisons", "book_results", "book_segments", "title_matches", "book_elements", "page_results",
     "outline_alignment", "segments_native", "body_font_size", "normalization_metrics", "lexical_candidates", "hybrid_segments",
 )
 
@@ -37,7 +40,7 @@ def test_evidence_stays_where_it_lies(spark, shuffled, name):
     assert exchanges(engine.QUERIES[name](spark, DATA)) == []
 
 
-@pytest.mark.parametrize("get", [ev.norm_blocks, ev.heading_blocks, ev.pages, pq._pairings, rq._raw_elements, rq._normalized_elements, rq.members])
+@pytest.mark.parametrize("get", [ev.norm_blocks, ev.heading_blocks, ev.pages, pq._pairings, rq._raw_elements, rq._normalized_elements, rq.members, sq._book_blocks])
 def test_evidence_is_made_where_it_lies(spark, shuffled, get):
     assert exchanges(get.build(spark, DATA)) == []
 
@@ -58,3 +61,28 @@ def test_buckets_follow_the_input(spark, monkeypatch):
             assert sorted(map(repr, engine.QUERIES[n](spark, DATA).collect())) == rows
     finally:
         ev.forget()
+
+
+def test_frames_of_books_are_bounded(spark, monkeypatch):
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words\n', 2000)").alias("text"))
+    most = 0
+    frame, real = epub.pd.DataFrame, epub.read_book
+
+    def made(rows, columns):
+        nonlocal most
+        most = max(most, sum(len(b[3]) for r in rows for b in r[6]))
+        return frame(rows, columns=columns)
+
+    class Source:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _schema):
+            return run
+
+    content = [bytes(r.content) for r in docs.select(sq._as_book("doc_id", "text").alias("content")).collect()]
+    run = epub.read_books(Source())
+    monkeypatch.setattr(epub, "FRAME_BYTES", 1 << 20)
+    monkeypatch.setattr(epub.pd, "DataFrame", made)
+    out = list(run(iter([frame({"doc_id": range(40), "content": content})])))
+    assert real is epub.read_book and sum(map(len, out)) == 40 and len(out) > 5 and most < 1 << 20
