@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.operators.segment import hinted, native_heading, numbered_segments
+from quirework.operators.segment import hint_keys, hinted, native_heading, numbered_segments
 from quirework.operators.text import normalize_blocks
 
 ELEMENT = ["doc_id", "page_no", "order", "kind", "text", "origin", "obs_seq", "block_seq", "decision"]
@@ -100,12 +100,13 @@ def segment_members(elements: DataFrame, hints: list[str] | None = None) -> Data
     word_count, obs_seq. A heading box always begins a segment, other text by hint, and by
     type only where no layout box backs it.
     """
-    live = elements.filter("exclusion is null")
-    by_hint = hinted(F.col("norm_text"), F.col("text"), hints or [])
+    key, first = hint_keys(F.col("norm_text"), F.col("text"))
+    live = elements.filter("exclusion is null").withColumns({"__key": key, "__first": first})
+    by_hint = hinted(F.col("norm_text"), F.col("text"), hints or [], (F.col("__key"), F.col("__first")))
     typographic = F.col("obs_seq").isNull() & native_heading(F.col("norm_text"), F.col("word_count"), F.col("ratio"))
     plain = (F.col("kind") == "Text") & F.col("norm_text").isNotNull() & (by_hint | typographic)
     marked = live.withColumn("is_heading", F.coalesce((F.col("kind") == "Heading") | plain, F.lit(False)))
-    return numbered_segments(marked, ["page_no", "order"])
+    return numbered_segments(marked.drop("__key", "__first"), ["page_no", "order"])
 
 
 def segments_of_members(members: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.operators.segment import CHAPTER, MOST_HEADING_CHARS, MOST_WORDS, SECTION, SUBSECTION, hinted, native_heading, sentence_like
+from quirework.operators.segment import CHAPTER, MOST_HEADING_CHARS, MOST_WORDS, SECTION, SUBSECTION, hint_keys, hinted, native_heading, sentence_like
 from quirework.operators.text import upper_invariant
 
 WIDE, MIDDLE = 0.55, 0.5
@@ -152,8 +152,9 @@ GATES = (("B-TypographyOnly", "E-StrictTypographyOnly"), ("D-TypographyPlusHints
 def policy_choices(blocks: DataFrame, hints: list[str]) -> DataFrame:
     """Blocks (norm_text, text, word_count, ratio) with one boolean a policy, named p0, p1, ..."""
     text, words, ratio = F.col("norm_text"), F.col("word_count"), F.col("ratio")
-    facts = {"__t": typography_heading(text, words, ratio), "__s": native_heading(text, words, ratio), "__e": strong_heading(text, words, ratio), "__h": hinted(text, F.col("text"), hints)}
-    named = blocks.withColumns(facts)
+    facts = {"__t": typography_heading(text, words, ratio), "__s": native_heading(text, words, ratio), "__e": strong_heading(text, words, ratio), "__h": hinted(text, F.col("text"), hints, (F.col("__key"), F.col("__first")))}
+    key, first = hint_keys(text, F.col("text"))
+    named = blocks.withColumns({"__key": key, "__first": first}).withColumns(facts)
     chosen = [rule(*(F.col(c) for c in facts)).alias(f"p{i}") for i, rule in enumerate(POLICIES.values())]
     return named.select("doc_id", "page_no", "block_seq", F.length("norm_text").alias("chars"), *chosen)
 

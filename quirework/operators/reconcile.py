@@ -89,7 +89,8 @@ def native_extents(blocks: DataFrame, layout: DataFrame) -> DataFrame:
         return F.when(meets, i)
 
     met = F.filter(F.transform("n.words", place), lambda i: i.isNotNull())
-    out = near.select("n.doc_id", "n.page_no", "o.obs_seq", "o.kind", "n.block_seq", "n.words", met.alias("met")).filter(F.size("met") > 0)
+    # exploded, as a plain column would be worked out again in the filter and in the join's condition
+    out = near.select("n.doc_id", "n.page_no", "o.obs_seq", "o.kind", "n.block_seq", "n.words", F.explode(F.array(met)).alias("met")).filter(F.size("met") > 0)
     out = out.withColumns({"first_word": F.array_min("met"), "last_word": F.array_max("met"), "intersecting": F.size("met").cast("long")})
     extent = F.slice("words", F.col("first_word") + 1, F.col("last_word") - F.col("first_word") + 1)
     out = out.withColumn("extent", extent)

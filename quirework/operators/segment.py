@@ -65,12 +65,17 @@ def clean_hints(hints: list[str]) -> list[str]:
     return list(out.values())
 
 
-def hinted(text: Column, source: Column, hints: list[str]) -> Column:
-    """Equal keys, a short decoration before the hint, or an equal compact first line."""
+def hint_keys(text: Column, source: Column) -> tuple[Column, Column]:
+    """What hints are compared with: the heading key, and the compact first line. As columns they are made once a row."""
+    return heading_key(text), compact_key(F.regexp_extract(F.regexp_replace(source, "\r\n?", "\n"), r"^\s*([^\n]*)", 1))
+
+
+def hinted(text: Column, source: Column, hints: list[str], keys: tuple[Column, Column] | None = None) -> Column:
+    """Equal keys, a short decoration before the hint, or an equal compact first line. keys: hint_keys, where they are known."""
     hints = clean_hints(hints)
     if not hints:
         return F.lit(False)
-    key, first = heading_key(text), compact_key(F.regexp_extract(F.regexp_replace(source, "\r\n?", "\n"), r"^\s*([^\n]*)", 1))
+    key, first = keys or hint_keys(text, source)
     out = F.lit(False)
     for h in hints:
         wanted, compact = heading_key(F.lit(h)), compact_key(F.lit(h))
@@ -85,7 +90,11 @@ def with_headings(blocks: DataFrame, hints: list[str] | None = None) -> DataFram
     live = blocks.filter("exclusion is null and norm_text <> ''")
     out = live.join(body_font_size(live), "doc_id", "left").withColumn("ratio", font_ratio(F.col("median_pt"), F.col("body_pt")))
     typographic = native_heading(F.col("norm_text"), F.col("word_count"), F.col("ratio"))
-    return out.withColumn("is_heading", typographic | hinted(F.col("norm_text"), F.col("text"), hints or []))
+    if not clean_hints(hints or []):
+        return out.withColumn("is_heading", typographic)
+    key, first = hint_keys(F.col("norm_text"), F.col("text"))
+    named = hinted(F.col("norm_text"), F.col("text"), hints, (F.col("__key"), F.col("__first")))
+    return out.withColumns({"__key": key, "__first": first}).withColumn("is_heading", typographic | named).drop("__key", "__first")
 
 
 def numbered_segments(blocks: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
