@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import quirework.queries as engine
+from quirework.plans import evaluate_queries as eq
 from quirework.plans import evidence as ev
 from quirework.plans import page_queries as pq
 from quirework.plans import result_queries as rq
@@ -86,3 +87,15 @@ def test_frames_of_books_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(epub.pd, "DataFrame", made)
     out = list(run(iter([frame({"doc_id": range(40), "content": content})])))
     assert real is epub.read_book and sum(map(len, out)) == 40 and len(out) > 5 and most < 1 << 20
+
+
+def test_numbers_are_read_before_the_pairs(spark, shuffled):
+    plan = eq.outline_alignment(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan.split("Join Inner")[0]
+    assert "cluster_text" not in ranked and "regexp_extract" not in ranked
+
+
+def test_words_that_meet_a_box_are_found_once(spark, shuffled):
+    plan = pq.native_extents(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any("lambda" in line for line in joins)
